@@ -22,19 +22,20 @@ def _join(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
     return a.join(b, list(by)) if by else a.crossJoin(F.broadcast(b))
 
 
-def bucket_of(value: Column, bounds: Column, parts: int = PARTS) -> Column:
-    """Number of ascending bounds at or below a value, by binary search."""
+def bucket_of(value: Column, bounds: Column, parts: int = PARTS, strict: bool = False) -> Column:
+    """Number of ascending bounds at or below (``strict``: below) a value, by binary
+    search."""
     steps, n = [], 1
     while n <= parts:
         steps.append(n)
         n *= 2
-    return F.aggregate(
-        F.array(*[F.lit(x) for x in reversed(steps)]),
-        F.lit(0),
-        lambda i, step: F.when(
-            (i + step <= F.size(bounds)) & (F.try_element_at(bounds, i + step) <= value), i + step
-        ).otherwise(i),
-    )
+
+    def move(i: Column, step: Column) -> Column:
+        bound = F.try_element_at(bounds, i + step)
+        under = bound < value if strict else bound <= value
+        return F.when((i + step <= F.size(bounds)) & under, i + step).otherwise(i)
+
+    return F.aggregate(F.array(*[F.lit(x) for x in reversed(steps)]), F.lit(0), move)
 
 
 def value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:

@@ -6,6 +6,7 @@ The ``*_cols`` helpers return window columns for use inside a stage of
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -97,8 +98,9 @@ def rolling(
 # however many of them are missing (a gap keeps more of the old mean than as many
 # values would, so this is well above 36 / -log(1 - alpha)).
 EWM_REACH = 480
-# Blocks stay short enough for the growing weights to stay finite.
-EWM_ROWS = 1440
+# Weights grow over a block and are centred on 1, so a double holds e**(2 * 650).
+EWM_SHIFT = 460.0
+EWM_ROWS = 2880
 
 
 def ewm_stages(c: str, name: str, span: int = 8) -> list:
@@ -130,9 +132,9 @@ def ewm_stages(c: str, name: str, span: int = 8) -> list:
         }
 
     def total(s: Series) -> dict[str, Column]:
-        body = F.sum(F.col("_e_gain") * F.coalesce(x, F.lit(0.0)) * F.exp(-F.col("_e_log")))
+        body = F.sum(F.col("_e_gain") * F.coalesce(x, F.lit(0.0)) * F.exp(-F.col("_e_log") - EWM_SHIFT))
         started = F.count(x).over(s.upto) > 0
-        return {name: F.when(started, F.exp(F.col("_e_log")) * body.over(s.upto))}
+        return {name: F.when(started, F.exp(F.col("_e_log") + EWM_SHIFT) * body.over(s.upto))}
 
     return [gaps, shares, total]
 
@@ -143,7 +145,8 @@ EWM_TEMPS = ("_e_prev", "_e_gain", "_e_log")
 def ewm(df: DataFrame, s: Series, c: str, name: str, span: int = 8) -> DataFrame:
     """Exponential mean at any gap length: the halo covers the decay, and where even
     the halo is empty the mean of the last value before it is carried in."""
-    s = s.cut(min(s.rows, EWM_ROWS))
+    longest = int(1300 / -math.log(1 - 2.0 / (span + 1.0))) - EWM_REACH
+    s = s.cut(min(s.rows, EWM_ROWS, longest))
     cut = spread(df, s, back=EWM_REACH)
     for stage in ewm_stages(c, name, span):
         cut = cut.withColumns(dict(stage(s)))
