@@ -1,4 +1,4 @@
 from gridtide.catalog.core import REGISTRY
-from gridtide.catalog import align, features, tables  # noqa: F401
+from gridtide.catalog import align, features, reports, tables  # noqa: F401
 
 __all__ = ["REGISTRY"]

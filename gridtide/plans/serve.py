@@ -111,7 +111,7 @@ def status_table(
     future."""
     got = actual.select(*keys, "ts", F.col(value).alias("_a"))
     text = (
-        F.when(F.col("_a").isNotNull(), F.format_string("%.1f", F.col("_a")))
+        F.when(F.col("_a").isNotNull(), F.format_string("%.1f", F.round("_a", 1)))
         .when(F.col("ts") > now, F.lit("—"))
         .otherwise(F.lit("pending"))
     )
