@@ -110,8 +110,9 @@ def status_table(
     """Forecast rows with the actual as text: the value, "pending", or a dash for the
     future."""
     got = actual.select(*keys, "ts", F.col(value).alias("_a"))
+    # The tiny shift keeps values midway between two texts from depending on noise.
     text = (
-        F.when(F.col("_a").isNotNull(), F.format_string("%.1f", F.round("_a", 1)))
+        F.when(F.col("_a").isNotNull(), F.format_string("%.1f", F.round(F.col("_a") + 1e-9, 1)))
         .when(F.col("ts") > now, F.lit("—"))
         .otherwise(F.lit("pending"))
     )
