@@ -16,6 +16,7 @@ from gridtide.operators.blocks import QUARTER
 from gridtide.operators.grid import ffill
 from gridtide.plans import adapters as A
 from gridtide.plans import evaluate, forecast
+from gridtide.session import materialize
 
 
 def _wx_with_hour(spark, sf):
@@ -65,7 +66,7 @@ def linear_baseline(spark, sf):
 def _history(spark, sf):
     """Dense imbalance series without long holes."""
     cols = ["imbl_price", "direction", "up_reg_price", "down_reg_price", "imbl_spot_diff"]
-    return ffill(A.dense_imbalance(spark, sf), QUARTER, cols, limit=12)
+    return materialize(ffill(A.dense_imbalance(spark, sf), QUARTER, cols, limit=12), "history")
 
 
 def _features(spark, sf):
@@ -103,7 +104,7 @@ def walk_forward(spark, sf):
 @query("recursive_forecast", "zone:s generated_at:t ts:t p05:d p50:d p95:d")
 def recursive_forecast(spark, sf):
     hist = _history(spark, sf)
-    feats = imbalance_features(hist)
+    feats = materialize(imbalance_features(hist), "features")
     model, _ = forecast.fit_imbalance(feats, test_days=6, trees=10, depth=5)
     runs = hist.groupBy("zone").agg(F.max("ts").alias("generated_at"))
     return forecast.forecast_recursive(hist, feats, model, runs)
@@ -112,7 +113,7 @@ def recursive_forecast(spark, sf):
 @query("spike_forecast", "zone:s generated_at:t ts:t spike_proba:d regime:s")
 def spike_forecast(spark, sf):
     hist = _history(spark, sf)
-    feats = imbalance_features(hist)
+    feats = materialize(imbalance_features(hist), "features")
     model, _ = forecast.fit_spike_model(feats, test_days=6, rounds=5, least=100)
     runs = hist.groupBy("zone").agg(F.max("ts").alias("generated_at"))
     return forecast.forecast_spike(hist, feats, model, runs)
@@ -121,14 +122,14 @@ def spike_forecast(spark, sf):
 @query("hindcast", "zone:s generated_at:t ts:t p05:d p50:d p95:d spike_proba:d regime:s")
 def hindcast(spark, sf):
     hist = _history(spark, sf)
-    feats = imbalance_features(hist)
+    feats = materialize(imbalance_features(hist), "features")
     prices, _ = forecast.fit_imbalance(feats, test_days=6, trees=10, depth=5)
     spikes, _ = forecast.fit_spike_model(feats, test_days=6, rounds=5, least=100)
     return forecast.hindcast(hist, feats, prices, spikes, "2024-01-24", "2024-01-29")
 
 
 def _spot_features(spark, sf):
-    return spot_features(spot_frame_of(spark, sf))
+    return materialize(spot_features(spot_frame_of(spark, sf)), "features")
 
 
 @query("spot_model_metrics", "zone:s n:i mae:d rmse:d mape:d coverage:d night_mae:d peak_mae:d")
@@ -141,7 +142,7 @@ def spot_model_metrics(spark, sf):
 
 @query("spot_forecast", "zone:s ts:t p05:d p50:d p95:d")
 def spot_forecast(spark, sf):
-    hist = spot_frame_of(spark, sf)
+    hist = materialize(spot_frame_of(spark, sf), "history")
     model, _ = forecast.fit_spot(spot_features(hist), test_days=6, core=["price_lag_168h"], trees=10, depth=5)
     return forecast.forecast_spot(hist, A.weather(spark, sf), model)
 

@@ -14,6 +14,7 @@ from gridtide.functions.scalars import is_spike
 from gridtide.models.quantile import assemble
 from gridtide.models.splits import augmented_weight, clean, tail_fraction
 from gridtide.operators.blocks import QUARTER, Series
+from gridtide.session import materialize
 
 CLASS_WEIGHT = 25.0
 
@@ -73,11 +74,13 @@ def fit_spike(
     vec = assemble(clean(rows, features), features).select(
         "_features", F.col(label).cast("double").alias("_y"), "weight", "valid"
     )
+    vec = materialize(vec)
     grower = GBTClassifier(
         featuresCol="_features", labelCol="_y", weightCol="weight", validationIndicatorCol="valid",
-        probabilityCol="_proba", rawPredictionCol="_raw", predictionCol="_pred",
-        maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=seed,
+        predictionCol="_pred", maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8,
+        seed=seed,
     )
+    grower.setProbabilityCol("_proba").setRawPredictionCol("_raw")
     return SpikeModel(list(features), grower.fit(vec), threshold)
 
 

@@ -24,6 +24,7 @@ from gridtide.operators.blocks import HOURLY, QUARTER, Series
 from gridtide.operators.grid import ffill, future_grid
 from gridtide.operators.joins import nearest, run_history
 from gridtide.plans import evaluate
+from gridtide.session import materialize
 
 SPOT_CORE = ("price_roll_720h_mean", "price_roll_168h_mean", "price_lag_168h")
 
@@ -84,13 +85,14 @@ def fit_spot(
     trees: int = 20, depth: int = 6,
 ) -> tuple[SpotModel, DataFrame]:
     """Model and the frame of held-out rows it was not trained on."""
-    rows = time_split(feats.dropna(subset=["price_eur_mwh", *core]), test_days, s.keys, s.ts)
+    # Several fits read these rows, so they are written once.
+    rows = materialize(time_split(feats.dropna(subset=["price_eur_mwh", *core]), test_days, s.keys, s.ts))
     train, test = rows.where("part = 'train'"), rows.where("part = 'test'")
     features = fs.feature_list(feats.columns)
     neutral = linear.fit_neutralizer(train, features)
     flat = linear.neutralize(train, neutral)
     base = linear.fit_baseline(flat, "price_eur_mwh")
-    resid = tail_fraction(linear.with_baseline(flat, base, "price_eur_mwh"), s, 0.1)
+    resid = materialize(tail_fraction(linear.with_baseline(flat, base, "price_eur_mwh"), s, 0.1))
     forest = fit_quantiles(
         resid.where("not valid"), features, "residual", resid.where("valid"), trees=trees, depth=depth
     )
@@ -110,7 +112,7 @@ def posttrain_spot(
     """Adapt to the recent window: new baseline, frozen neutraliser and first stage,
     and a second forest on what the first stage leaves there."""
     recent = time_split(feats.dropna(subset=["price_eur_mwh"]), window_days, s.keys, s.ts)
-    recent = recent.where("part = 'test'").drop("part")
+    recent = materialize(recent.where("part = 'test'").drop("part"))
     n = recent.count()
     if n < least_rows:
         raise ValueError(f"only {n} recent rows, {least_rows} needed")
@@ -118,7 +120,7 @@ def posttrain_spot(
     base = linear.fit_baseline(flat, "price_eur_mwh", model.baseline.basis)
     left = linear.with_baseline(flat, base, "price_eur_mwh")
     left = model.forest.transform(left).withColumn("residual", F.col("residual") - F.col("p50"))
-    left = tail_fraction(left.drop("p05", "p50", "p95"), s, 0.15, 24)
+    left = materialize(tail_fraction(left.drop("p05", "p50", "p95"), s, 0.15, 24))
     second = fit_quantiles(
         left.where("not valid"), model.features, "residual", left.where("valid"), trees=trees, depth=depth
     )
@@ -160,7 +162,8 @@ def fit_imbalance(
     trees: int = 20, depth: int = 6, label: str = "target_price",
 ) -> tuple[QuantileForest, DataFrame]:
     rows = time_split(feats.dropna(subset=[label, *CORE_LAGS]), test_days, s.keys, s.ts)
-    train = tail_fraction(rows.where("part = 'train'"), s, 0.1)
+    rows = materialize(rows)
+    train = materialize(tail_fraction(rows.where("part = 'train'"), s, 0.1))
     features = fi.feature_list(feats.columns, "regression", known)
     model = fit_quantiles(
         train.where("not valid"), features, label, train.where("valid"), trees=trees, depth=depth
@@ -179,10 +182,10 @@ def fit_spike_model(
 ) -> tuple[SpikeModel, DataFrame]:
     """Classifier with its most profitable threshold on the held-out rows."""
     rows = feats.dropna(subset=["target_binary", "target_price", *CORE_LAGS])
-    rows = time_split(rows, test_days, s.keys, s.ts)
+    rows = materialize(time_split(rows, test_days, s.keys, s.ts))
     features = fi.feature_list(feats.columns, "spike", known)
     model = fit_spike(rows.where("part = 'train'"), features, s, rounds=rounds, least=least)
-    scored = model.transform(rows.where("part = 'test'").drop("part"))
+    scored = materialize(model.transform(rows.where("part = 'test'").drop("part")))
     curve = evaluate.profit_curve(scored, "spike_proba", "target_binary", "target_price")
     model.threshold = float(evaluate.profit_threshold(curve).first()["threshold"] or model.threshold)
     return model, scored
@@ -417,7 +420,7 @@ def walk_forward(
     known: set[str] | None = None,
 ) -> DataFrame:
     """Spike metrics per fold and their mean (fold 0)."""
-    rows = feats.dropna(subset=["target_binary", *CORE_LAGS])
+    rows = materialize(feats.dropna(subset=["target_binary", *CORE_LAGS]))
     features = fi.feature_list(feats.columns, "spike", known)
     parts = []
     for k, (train, test) in enumerate(folds(rows, n, days, test_days, s), start=1):

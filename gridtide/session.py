@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,17 +34,24 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in
-    ``spark.checkpoint.dir``; a local folder is used only where nothing is named."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables: the one the cluster names in
+    ``spark.checkpoint.dir``; a local one only where nothing is named."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
-        if not (sc.getCheckpointDir() or "").startswith(folder):
-            sc.setCheckpointDir(folder)
-    elif sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can read")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="gridtide-ckpt-"))
-    return df.checkpoint(eager=True)
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can read")
+    folder = tempfile.mkdtemp(prefix="gridtide-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def materialize(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write a frame that several jobs will read as a table in the shared folder and
+    return a scan of it.  Lost executors cost a re-read, not the whole plan, and later
+    jobs still prune columns."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
