@@ -23,7 +23,7 @@ def series(spark, columns: dict[str, list], minutes: int = 15, zone: str = "A",
     kinds = {
         c: "int" if all(isinstance(v, (int, type(None))) for v in columns[c]) else "double" for c in names
     }
-    schema = "zone string, ts timestamp, " + ", ".join(f"{c} {kinds[c]}" for c in names)
+    schema = "zone string, ts timestamp, " + ", ".join(f"`{c}` {kinds[c]}" for c in names)
     return spark.createDataFrame(rows, schema)
 
 
