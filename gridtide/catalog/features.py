@@ -14,7 +14,7 @@ from gridtide.features.spot import ANCHOR_WEIGHTS, spot_features
 from gridtide.functions import calendar as cal
 from gridtide.functions import scalars
 from gridtide.operators import quantiles
-from gridtide.operators.blocks import HOURLY, QUARTER
+from gridtide.operators.blocks import QUARTER, attach
 from gridtide.plans import adapters as A
 from gridtide.plans import master
 from gridtide.sources import feeds
@@ -149,7 +149,7 @@ def spike_class(spark, sf):
 def normal_class(spark, sf):
     normal = A.imbalance(spark, sf).where(F.col("imbl_price").between(-100, 200))
     q = quantiles.exact_percentiles(normal, [], "imbl_price", {"p33": 0.33, "p67": 0.67})
-    return normal.crossJoin(F.broadcast(q)).select(
+    return attach(normal, q, []).select(
         "zone", "ts",
         scalars.normal_class("imbl_price", F.col("p33"), F.col("p67")).alias("normal_class"),
     )

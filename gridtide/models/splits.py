@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridtide.functions.scalars import finite_or_zero
 from gridtide.operators.aggregates import dense_positions
-from gridtide.operators.blocks import Series
+from gridtide.operators.blocks import Series, attach
 from gridtide.operators.windows import near
 
 CORE_LAGS = ("imbl_lag_1", "imbl_lag_2", "imbl_roll_1h_mean")
@@ -18,7 +18,7 @@ CORE_LAGS = ("imbl_lag_1", "imbl_lag_2", "imbl_roll_1h_mean")
 def time_split(df: DataFrame, days: int, keys: Sequence[str] = ("zone",), ts: str = "ts") -> DataFrame:
     """Mark each row "train" up to the last time minus ``days``, "test" after it."""
     cut = df.groupBy(*keys).agg((F.max(ts) - F.make_dt_interval(days=F.lit(days))).alias("_cut"))
-    out = df.join(cut, list(keys)) if keys else df.crossJoin(F.broadcast(cut))
+    out = attach(df, cut, keys)
     part = F.when(F.col(ts) <= F.col("_cut"), "train").otherwise("test")
     return out.withColumn("part", part).drop("_cut")
 

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from gridtide.functions.calendar import LOCAL_ZONE, local
 from gridtide.functions.scalars import clip, is_spike, spike_class
-from gridtide.operators.blocks import Series, windowed
-from gridtide.operators.quantiles import exact_percentiles, _join
+from gridtide.operators.blocks import Series, attach, windowed
+from gridtide.operators.quantiles import exact_percentiles
 
 
 def share(cond: Column) -> Column:
@@ -41,7 +41,7 @@ def price_distribution(df: DataFrame, c: str, by: Sequence[str] = ()) -> DataFra
         (100 * share(x > 200)).alias("pct_above_200"),
         (100 * share(x > 1000)).alias("pct_above_1000"),
     )
-    return _join(base, exact_percentiles(df, by, c, {"median": 0.5}), by)
+    return attach(base, exact_percentiles(df, by, c, {"median": 0.5}), by)
 
 
 def mean_by(df: DataFrame, key: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -79,7 +79,7 @@ def class_split(df: DataFrame, price: str) -> DataFrame:
     """Rows and share per spike class."""
     counts = df.groupBy(spike_class(price).alias("spike_class")).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("_all"))
-    return counts.crossJoin(F.broadcast(total)).select(
+    return attach(counts, total, []).select(
         "spike_class", "n", (F.col("n") / F.col("_all")).alias("prevalence")
     )
 
@@ -148,21 +148,21 @@ def histogram(
     if clip_at:
         # Values beyond the percentiles are pulled to them, as a plotting clip does.
         edge = exact_percentiles(src, [], c, {"_q0": clip_at[0], "_q1": clip_at[1]})
-        src = src.crossJoin(F.broadcast(edge)).select(
+        src = attach(src, edge, []).select(
             *by, F.greatest(F.least(x, F.col("_q1")), F.col("_q0")).alias(c)
         )
     span = src.agg(F.min(c).alias("_lo"), F.max(c).alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
-    binned = src.crossJoin(F.broadcast(span)).withColumn(
+    binned = attach(src, span, []).withColumn(
         "bin",
         F.when(width > 0, F.least(F.floor((x - F.col("_lo")) / width), F.lit(bins - 1)))
         .otherwise(F.lit(0))
         .cast("int"),
     )
     counts = binned.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"))
-    grid = span.select("_lo", width.alias("_w"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    if by:
-        grid = grid.crossJoin(src.select(*by).distinct())
+    groups = src.select(*by).distinct() if by else df.sparkSession.range(1).select()
+    grid = attach(groups, span.select("_lo", width.alias("_w")), [])
+    grid = grid.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     out = grid.join(counts, [*by, "bin"], "left").select(
         *by,
         "bin",
@@ -172,7 +172,7 @@ def histogram(
     )
     if density:
         total = counts.groupBy(*by).agg(F.sum("n").alias("_all"))
-        out = _join(out, total, by).withColumn("density", F.col("n") / (F.col("_all") * F.col("_w")))
+        out = attach(out, total, by).withColumn("density", F.col("n") / (F.col("_all") * F.col("_w")))
         out = out.drop("_all")
     return out.drop("_w")
 
@@ -202,7 +202,7 @@ def binned_mean(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
     lo = F.col("_lo") + F.col("bin") * F.col("_w")
     low = F.when(F.col("bin") == 0, lo - 0.001 * F.col("_w") * bins).otherwise(lo)
     return (
-        src.crossJoin(F.broadcast(span))
+        attach(src, span, [])
         .withColumns({"bin": b, "_w": w})
         .groupBy("bin", "_lo", "_w")
         .agg(F.avg(y).alias("mean"), F.count(y).alias("n"))

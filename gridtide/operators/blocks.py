@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -45,11 +46,11 @@ class Series:
         """The block that owns a row."""
         return F.floor(F.col(POS) / F.lit(self.rows)).cast("long")
 
-    @property
+    @cached_property
     def over(self) -> WindowSpec:
         return Window.partitionBy(*self.keys, BLK).orderBy(POS)
 
-    @property
+    @cached_property
     def upto(self) -> WindowSpec:
         return self.over.rowsBetween(Window.unboundedPreceding, 0)
 
@@ -82,6 +83,15 @@ def settle(df: DataFrame, s: Series) -> DataFrame:
     return df.where(F.col(BLK) == s.home).drop(POS, BLK)
 
 
+def attach(df: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join per-key values to a frame; without keys ``other`` is one row, which is read
+    as a scalar subquery instead of joined."""
+    if keys:
+        return df.join(other, list(keys), how)
+    row = other.select(F.struct(*other.columns).alias("_row")).scalar()
+    return df.withColumn("_one", row).select("*", "_one.*").drop("_one")
+
+
 Stage = Callable[[Series], Mapping[str, Column]]
 
 

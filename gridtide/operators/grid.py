@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridtide.functions.calendar import LOCAL_ZONE, local
-from gridtide.operators.blocks import BLK, POS, Series, last_known, running_totals, spread
+from gridtide.operators.blocks import BLK, POS, Series, attach, last_known, running_totals, spread
 from gridtide.operators.quantiles import exact_percentiles
 
 
@@ -236,7 +236,7 @@ def fill_median(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) ->
     out = df
     for c in cols:
         med = exact_percentiles(df, list(keys), c, {"_med": 0.5})
-        out = out.join(med, list(keys), "left") if keys else out.crossJoin(F.broadcast(med))
+        out = attach(out, med, keys, "left")
         out = out.withColumn(c, F.coalesce(F.col(c), F.col("_med"))).drop("_med")
     return out
 

@@ -112,9 +112,12 @@ def nearest(
     both = r.unionByName(l, allowMissingColumns=True).withColumn(
         BLK, _block(F.col("_t"), block_seconds)
     )
-    w = Window.partitionBy(*keys, BLK).orderBy("_t")
-    past = w.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    coming = w.rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    # Both frames grow from their start, so each row costs the same: the rows still to
+    # come are read in falling time order.
+    w = Window.partitionBy(*keys, BLK)
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    past = w.orderBy(F.col("_t").asc()).rangeBetween(*upto)
+    coming = w.orderBy(F.col("_t").desc()).rangeBetween(*upto)
     ends = both.groupBy(*keys, BLK).agg(F.max("_row").alias("_hi"), F.min("_row").alias("_lo"))
     by = Window.partitionBy(*keys).orderBy(BLK)
     ends = ends.select(

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from gridtide.functions.calendar import LOCAL_ZONE
 from gridtide.functions.scalars import to_number
+from gridtide.operators.blocks import attach
 
 
 def rename(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
@@ -114,7 +115,7 @@ def upcoming(runs: DataFrame, now: Column, n: int, keys: Sequence[str] = ("zone"
 def tail_days(df: DataFrame, days: int, keys: Sequence[str] = ("zone",), ts: str = "ts") -> DataFrame:
     """Rows within the last days of each series."""
     top = df.groupBy(*keys).agg(F.max(ts).alias("_hi"))
-    out = df.join(top, list(keys)) if keys else df.crossJoin(F.broadcast(top))
+    out = attach(df, top, keys)
     return out.where(F.col(ts) > F.col("_hi") - F.make_dt_interval(days=F.lit(days))).drop("_hi")
 
 

@@ -10,18 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridtide.operators.blocks import attach, running_totals
+
 ACCURACY = 2000
 PARTS = 256
 
 
-def _join(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
-    # Without keys ``b`` is a single row, so its size is bounded.
-    return a.join(b, list(by)) if by else a.crossJoin(F.broadcast(b))
-
-
 def bucket_of(value: Column, bounds: Column, parts: int = PARTS, strict: bool = False) -> Column:
     """Number of ascending bounds at or below (``strict``: below) a value, by binary
     search."""
@@ -55,14 +52,12 @@ def ranked_values(
     ``df`` holds one row per (by, value).  Value buckets are quantiles of the
     distinct values, so they are of like size whatever the distribution.
     """
-    from gridtide.operators.blocks import running_totals
-
     sums = sums or {"_upto": F.col("_n")}
     cuts = [k / PARTS for k in range(1, PARTS)]
     bounds = df.groupBy(*by).agg(
         F.array_distinct(F.approx_percentile(value, cuts, F.lit(ACCURACY))).alias("_bounds")
     )
-    cut = _join(df, bounds, by).withColumn("_part", bucket_of(F.col(value), F.col("_bounds")))
+    cut = attach(df, bounds, by).withColumn("_part", bucket_of(F.col(value), F.col("_bounds")))
     cut = cut.drop("_bounds")
     if not ascending:
         cut = cut.withColumn("_part", -F.col("_part"))
@@ -96,7 +91,7 @@ def exact_percentiles(
             for k, p in enumerate(ps.values())
         ]
     )
-    tagged = _join(counts, sketch, by).withColumn("_ranges", ranges)
+    tagged = attach(counts, sketch, by).withColumn("_ranges", ranges)
     # Small groups are ranked whole: there the sketch margin is below one row.
     inside = (F.col("_size") <= 4 * ACCURACY) | F.exists(
         F.col("_ranges"), lambda r: (F.col(value) >= r["lo"]) & (F.col(value) <= r["hi"])
@@ -130,7 +125,7 @@ def ecdf(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     the last of its rows, with ranks spread evenly from 0 to 1."""
     counts = value_counts(df, by, value)
     size = counts.groupBy(*by).agg(F.sum("_n").alias("_size"))
-    ranked = _join(ranked_values(counts, by, value), size, by)
+    ranked = attach(ranked_values(counts, by, value), size, by)
     span = F.greatest(F.col("_size") - 1, F.lit(1))
     return ranked.select(
         *by,

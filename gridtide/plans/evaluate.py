@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from gridtide.functions import calendar as cal
 from gridtide.functions.scalars import accuracy_rating, clip, is_spike
-from gridtide.operators.quantiles import _join, bucket_of, exact_percentiles, ranked_values
+from gridtide.operators.blocks import attach
+from gridtide.operators.quantiles import bucket_of, exact_percentiles, ranked_values
 
 # Economics and guard rails of the spike threshold.
 COST_FP = 15.0
@@ -114,7 +115,7 @@ def score_curve(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -
     curve = ranked_values(
         counts, by, score, {"tp": F.col("pos"), "fp": F.col("neg")}, ascending=False
     )
-    return _join(curve, total, by)
+    return attach(curve, total, by)
 
 
 def auc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
@@ -178,10 +179,9 @@ def _at_thresholds(
     bounds = F.array(*[F.lit(float(t)) for t in grid])
     step = bucket_of(F.coalesce(F.col(score), F.lit(-1.0)), bounds, len(grid), strict)
     hits = df.withColumn("_k", step).groupBy(*by, "_k").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    spark = df.sparkSession
-    steps = spark.range(len(grid) + 1).select(F.col("id").cast("int").alias("_k"))
-    groups = hits.select(*by).distinct() if by else None
-    full = (steps.crossJoin(groups) if by else steps).join(hits, [*by, "_k"], "left")
+    steps = F.explode(F.sequence(F.lit(0), F.lit(len(grid)))).alias("_k")
+    groups = hits.select(*by).distinct() if by else df.sparkSession.range(1)
+    full = groups.select(*by, steps).join(hits, [*by, "_k"], "left")
     w = Window.partitionBy(*by).orderBy(F.col("_k").desc()).rowsBetween(Window.unboundedPreceding, 0)
     out = full.select(*by, "_k", *[F.coalesce(F.sum(n).over(w), F.lit(0)).alias(n) for n in sums])
     return out.where(F.col("_k") > 0).select(
@@ -227,7 +227,7 @@ def threshold_sweep(
     c = _at_thresholds(
         df, score, grid, {"_tp": _count(pos), "n_predicted": F.lit(1).cast("bigint")}, by, strict
     )
-    c = _join(c, total, by)
+    c = attach(c, total, by)
     c = c.withColumns(
         {
             "_r": F.col("_tp") / F.greatest(F.col("_pos"), F.lit(1)),
@@ -293,7 +293,7 @@ def cost_threshold(cost_fp: float = COST_FP, cost_fn: float = COST_FN) -> float:
 
 def eval_spike(df: DataFrame, score: str, label: str, threshold: float, by: Sequence[str] = ()) -> DataFrame:
     t = threshold_table(df, score, label, {"at": threshold}, by)
-    out = _join(t.select(*by, "recall", "precision", "f2"), auc(df, score, label, by), by)
+    out = attach(t.select(*by, "recall", "precision", "f2"), auc(df, score, label, by), by)
     return out.withColumn("threshold_used", F.lit(float(threshold)))
 
 

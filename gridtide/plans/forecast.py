@@ -20,7 +20,7 @@ from gridtide.models import linear
 from gridtide.models.quantile import MISSING, QuantileForest, fit_quantiles, leaf_of, node_tables
 from gridtide.models.spike import SpikeModel, fit_spike
 from gridtide.models.splits import CORE_LAGS, tail_fraction, time_split
-from gridtide.operators.blocks import HOURLY, QUARTER, Series
+from gridtide.operators.blocks import HOURLY, QUARTER, Series, attach
 from gridtide.operators.grid import ffill, future_grid
 from gridtide.operators.joins import nearest, run_history
 from gridtide.plans import evaluate
@@ -374,16 +374,12 @@ def _label(scored: DataFrame, hist: DataFrame, runs: DataFrame, s: Series) -> Da
 
 def run_cutoffs(hist: DataFrame, first: str, last: str, s: Series = QUARTER, tz: str = cal.LOCAL_ZONE, min_rows: int = 96) -> DataFrame:
     """(keys, generated_at): 23:45 local of each day, for series with enough rows then."""
-    spark = hist.sparkSession
-    days = spark.range(1).select(
-        F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("_day")
-    )
-    local = F.col("_day").cast("timestamp") + F.expr("INTERVAL '23:45' HOUR TO MINUTE")
-    cut = days.select(F.to_utc_timestamp(local, tz).alias("generated_at"))
-    # Days times series: one row per forecast to make.
+    day = F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date")))
     have = hist.groupBy(*s.keys).agg(F.min(s.ts).alias("_lo"))
+    local = F.col("_day").cast("timestamp") + F.expr("INTERVAL '23:45' HOUR TO MINUTE")
+    cut = have.withColumn("_day", day).withColumn("generated_at", F.to_utc_timestamp(local, tz))
     enough = F.unix_seconds("generated_at") - F.unix_seconds("_lo") >= (min_rows - 1) * s.step
-    return have.join(cut, enough).select(*s.keys, "generated_at")
+    return cut.where(enough).select(*s.keys, "generated_at")
 
 
 def hindcast(
@@ -431,7 +427,7 @@ def walk_forward(
         scored = model.transform(b)
         m = evaluate.threshold_table(scored, "spike_proba", "target_binary", {"at": threshold})
         prev = scored.agg(F.avg("target_binary").alias("spike_prevalence"))
-        parts.append(m.crossJoin(F.broadcast(prev)).withColumn("fold", F.lit(k)))
+        parts.append(attach(m, prev, []).withColumn("fold", F.lit(k)))
     if not parts:
         raise ValueError("no fold has enough rows")
     out = parts[0]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from gridtide.functions import calendar as cal
 from gridtide.functions.scalars import age_band, age_label, title_case, zscore_class
 from gridtide.operators import aggregates, projections, windows
-from gridtide.operators.blocks import QUARTER, Series
+from gridtide.operators.blocks import QUARTER, Series, attach
 from gridtide.operators.joins import asof_row, latest_run
 from gridtide.plans import evaluate
 
@@ -99,7 +99,7 @@ def last_valid(df: DataFrame, c: str, now: DataFrame, keys=KEYS, ts: str = "ts")
     known = F.when(F.col(c).isNotNull(), F.col(ts))
     last = df.groupBy(*keys).agg(F.max_by(c, known).alias(c), F.max(known).alias(ts))
     age = ((F.unix_seconds("_now") - F.unix_seconds(ts)) / 60).cast("long")
-    out = last.crossJoin(F.broadcast(now)).withColumn("age_minutes", age)
+    out = attach(last, now, []).withColumn("age_minutes", age)
     return out.withColumn("age", age_label("age_minutes")).drop("_now")
 
 
