@@ -61,10 +61,12 @@ class Ridge:
     r2: dict[str, float] = field(default_factory=dict)
 
     def explained(self, target: str) -> Column:
-        out = F.lit(self.intercepts[target])
-        for c, w in zip(self.basis, self.weights[target]):
-            out = out + F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * F.lit(w)
-        return out
+        """The linear prediction, as one SQL text (a sum over the basis)."""
+        terms = [
+            f"coalesce(CAST(`{c}` AS DOUBLE), 0D) * ({w!r}D)"
+            for c, w in zip(self.basis, self.weights[target])
+        ]
+        return F.expr(" + ".join([f"({self.intercepts[target]!r}D)", *terms]))
 
 
 def fit_ridge(df: DataFrame, basis: Sequence[str], targets: Sequence[str], alpha: float = 1.0) -> Ridge:

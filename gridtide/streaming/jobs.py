@@ -82,7 +82,9 @@ class StressTracker(StatefulProcessor):
     """Per zone: position in the current stress run and rows since the last stress.
 
     State is four numbers.  Rows are taken in time order; a row older than the last one
-    seen cannot be placed any more and is dropped (deduplicate and order upstream).
+    seen cannot be placed any more and is dropped (deduplicate and order upstream).  A
+    batch holds one row per slot and zone, so its size per zone is the time it spans;
+    ``maxFilesPerTrigger`` bounds that while catching up.
     """
 
     def __init__(self, limit: float = STRESS_HIGH):
