@@ -3,7 +3,7 @@
 ``percentile`` keeps every distinct value of a group in one hash map.  Here a
 bounded sketch (``approx_percentile``) brackets each wanted rank, values outside the
 brackets are only counted, and the few values inside are ranked by running sums over
-value buckets.  The answer is exact; the sketch only decides how much is ranked.
+value buckets.  Groups of bounded size skip that.  The answer is exact; the sketch only decides how much is ranked.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from gridtide.operators.blocks import attach, running_totals
 
 ACCURACY = 2000
+# Above this size the sketch margin is several rows wide, so brackets hold their ranks.
+SMALL = 4 * ACCURACY
 PARTS = 256
 
 
@@ -70,7 +72,8 @@ def exact_percentiles(
 ) -> DataFrame:
     """Interpolated percentiles (rank ``1 + p(n-1)``), one column per entry of ``ps``.
 
-    Groups without any value give no row.
+    Groups up to ``SMALL`` rows, a fixed bound, are ranked whole by ``percentile``; larger
+    ones go by brackets.  Groups without any value give no row.
     """
     counts = value_counts(df, by, value)
     eps = 2.0 / ACCURACY
@@ -81,6 +84,19 @@ def exact_percentiles(
         F.max(value).alias("_max"),
         F.approx_percentile(value, probes, F.lit(ACCURACY)).alias("_probe"),
     )
+    tagged = attach(counts, sketch, by)
+    few = tagged.where(F.col("_size") <= SMALL).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_rows"),
+        *[F.percentile(value, float(p), F.col("_n")).alias(c) for c, p in ps.items()],
+    )
+    many = _bracketed(tagged.where(F.col("_size") > SMALL), by, value, ps, eps)
+    # Without keys an empty side still yields one row, so rows are counted.
+    return few.unionByName(many).where(F.col("_rows") > 0).drop("_rows")
+
+
+def _bracketed(
+    tagged: DataFrame, by: Sequence[str], value: str, ps: Mapping[str, float], eps: float
+) -> DataFrame:
     ranges = F.array(
         *[
             F.struct(
@@ -91,15 +107,14 @@ def exact_percentiles(
             for k, p in enumerate(ps.values())
         ]
     )
-    tagged = attach(counts, sketch, by).withColumn("_ranges", ranges)
-    # Small groups are ranked whole: there the sketch margin is below one row.
-    inside = (F.col("_size") <= 4 * ACCURACY) | F.exists(
+    inside = F.exists(
         F.col("_ranges"), lambda r: (F.col(value) >= r["lo"]) & (F.col(value) <= r["hi"])
     )
     # Values between brackets only move ranks, so they collapse to one row per gap.
     gap = F.size(F.filter(F.col("_ranges"), lambda r: r["hi"] < F.col(value)))
     slim = (
-        tagged.withColumn("_in", inside)
+        tagged.withColumn("_ranges", ranges)
+        .withColumn("_in", inside)
         .withColumn("_gap", F.when(~F.col("_in"), gap))
         .groupBy(*by, F.when(F.col("_in"), F.col(value)).alias("_v"), "_gap")
         .agg(F.sum("_n").alias("_n"), F.max(value).alias("_hi"), F.first("_size").alias("_size"))
@@ -117,7 +132,7 @@ def exact_percentiles(
         hi_val = F.max(F.when(holds(high), F.col("_val")))
         part = F.max(rank - low)
         aggs.append((lo_val + (hi_val - lo_val) * part).alias(name))
-    return ranked.groupBy(*by).agg(*aggs)
+    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"), *aggs)
 
 
 def ecdf(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
