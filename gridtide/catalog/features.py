@@ -7,14 +7,14 @@ import math
 from pyspark.sql import functions as F
 
 from gridtide.catalog import sql_parts as P
-from gridtide.catalog.align import BY, DIMB, DPR, IMB, PR
+from gridtide.catalog.align import BY, IMB
 from gridtide.catalog.core import query
 from gridtide.features.imbalance import imbalance_features
 from gridtide.features.spot import ANCHOR_WEIGHTS, spot_features
 from gridtide.functions import calendar as cal
 from gridtide.functions import scalars
 from gridtide.operators import quantiles
-from gridtide.operators.blocks import QUARTER, attach
+from gridtide.operators.blocks import attach
 from gridtide.plans import adapters as A
 from gridtide.plans import master
 from gridtide.sources import feeds

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 from gridtide.catalog import sql_parts as P
 from gridtide.catalog.core import query
 from gridtide.catalog.features import calendar_sql, spot_frame_of, wave_sql
-from gridtide.features import imbalance as fi
 from gridtide.features.imbalance import imbalance_features
 from gridtide.features.spot import spot_features
 from gridtide.functions import calendar as cal
-from gridtide.models import linear, quantile, spike
+from gridtide.models import linear, spike
 from gridtide.operators.blocks import QUARTER
 from gridtide.operators.grid import ffill
 from gridtide.plans import adapters as A

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridtide.catalog import sql_parts as P
-from gridtide.catalog.align import BY, DPR, IMB, PR
+from gridtide.catalog.align import BY, IMB, PR
 from gridtide.catalog.core import query
 from gridtide.catalog.features import MASTER, WF, master_of
 from gridtide.functions.scalars import is_spike
 from gridtide.operators import aggregates, quantiles
-from gridtide.operators.blocks import HOURLY, QUARTER
+from gridtide.operators.blocks import HOURLY
 from gridtide.plans import adapters as A
 from gridtide.plans import evaluate, master, serve
 

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from gridtide.catalog import sql_parts as P
 from gridtide.catalog.align import BY, DPR, IMB, PR
 from gridtide.catalog.core import query
-from gridtide.catalog.features import FILLED_FLOWS, FLOW, WF, WIDE_FLOWS, WX, master_of
+from gridtide.catalog.features import FILLED_FLOWS, FLOW, WF, WIDE_FLOWS, WX
 from gridtide.operators import grid, joins, projections
 from gridtide.operators.blocks import HOURLY, QUARTER
 from gridtide.plans import adapters as A
