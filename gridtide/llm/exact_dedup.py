@@ -75,6 +75,7 @@ def exact_duplicates(
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text another row with a smaller id has."""
+    """``docs`` without the rows whose text another row with a smaller id has.  Rows with
+    a NULL id stay: a decision by id cannot name them."""
     marks = exact_duplicates(docs, id_col, text_col)
     return bitmaps.without(docs, materialize(marks.where("not kept").select(id_col), "dropped"), id_col)
