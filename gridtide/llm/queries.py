@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gridtide.llm.chat import format_turns, read_back
 from gridtide.llm.exact_dedup import exact_duplicates
+from gridtide.llm.pii import pseudonymise
 from gridtide.llm.simhash import near_duplicates
 from gridtide.llm.token_counts import token_counts
 
@@ -50,6 +51,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+KEY = "an example key; a job takes its own from a secret store"
+
+
+@register
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymise(docs, KEY, count_col="n_replaced")
+
+
 @register
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))

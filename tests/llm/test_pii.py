@@ -1,0 +1,107 @@
+import datetime
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from gridtide.llm import pii
+from gridtide.llm.pii import permute_digits, pseudonymise
+
+KEY = "k"
+
+
+def luhn(s):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
+
+
+def card(rng, n=16):
+    body = "".join(rng.choices("0123456789", k=n - 1))
+    return next(body + c for c in "0123456789" if luhn(body + c))
+
+
+def replaced(spark, texts, undo=False, key=KEY):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.text for r in pseudonymise(docs, key, undo=undo).orderBy("doc_id").collect()]
+
+
+def values():
+    rng = random.Random(1)
+    ips = [".".join(str(rng.randint(0, 255)) for _ in range(4)) for _ in range(30)]
+    phones = [f"+1 ({rng.randint(0, 999):03}) 555-{rng.randint(0, 9999):04}" for _ in range(30)] + ["555-123-4567", "(212) 555-0188", "+49 30 123 4567".replace("30", "030")]
+    cards = [card(rng, n) for n in (13, 15, 16, 16, 16, 19) for _ in range(6)]
+    grouped = [f"{c[:4]}-{c[4:8]}-{c[8:12]}-{c[12:]}" for c in (card(rng) for _ in range(4))]
+    ssns = ["001-01-0001", "899-99-9999", "665-50-1234", "667-50-1234"]
+    day = lambda: datetime.date(1900, 1, 1) + datetime.timedelta(rng.randrange(73049))
+    dates = [day().strftime(f) for f in ("%Y-%m-%d", "%Y/%m/%d", "%d.%m.%Y", "%m/%d/%Y") for _ in range(8)]
+    return {"ip": ips, "phone": phones, "card": cards + grouped, "ssn": ssns, "date": [*dates, "1900-01-01", "2099-12-31"]}
+
+
+def test_values_keep_their_format_are_linked_and_come_back(spark):
+    found = values()
+    flat = [v for vs in found.values() for v in vs]
+    new = replaced(spark, [f"x {v}, y" for v in flat])
+    assert replaced(spark, new, undo=True) == [f"x {v}, y" for v in flat]
+    got = dict(zip(flat, (t[2:-3] for t in new)))
+    assert len(set(got.values())) == len(got)
+    assert sum(k == v for k, v in got.items()) <= 1
+    for v in found["ip"]:
+        assert all(0 <= int(o) <= 255 and str(int(o)) == o for o in got[v].split(".")) and got[v].count(".") == 3
+    for v in found["card"]:
+        assert luhn(re.sub("[^0-9]", "", got[v])) and re.sub("[0-9]", "9", got[v]) == re.sub("[0-9]", "9", v)
+    for v in found["phone"]:
+        assert re.sub("[0-9]", "9", got[v]) == re.sub("[0-9]", "9", v)
+    for v in found["ssn"]:
+        assert re.fullmatch(pii.SSN, got[v])
+    for v in found["date"]:
+        form = "%Y-%m-%d" if v[4] == "-" else "%Y/%m/%d" if v[4] == "/" else "%d.%m.%Y" if "." in v else "%m/%d/%Y"
+        assert 1900 <= datetime.datetime.strptime(got[v], form).year <= 2099
+    again = replaced(spark, [f"{v} and {v}" for v in flat])
+    assert again == [f"{got[v]} and {got[v]}" for v in flat]
+    assert replaced(spark, flat, key="other") != [got[v] for v in flat]
+
+
+def test_small_domains_are_permuted_exactly(spark):
+    for width in (2, 3):
+        df = spark.range(10**width).select(F.lpad(F.col("id").cast("string"), width, "0").alias("d"))
+        new = df.select("d", permute_digits(F.col("d"), KEY, "t").alias("n"))
+        back = new.select("d", "n", permute_digits(F.col("n"), KEY, "t", undo=True).alias("b")).collect()
+        assert all(r.d == r.b for r in back)
+        assert len({r.n for r in back}) == 10**width and {len(r.n) for r in back} == {width}
+
+
+def test_dates_are_permuted_exactly(spark):
+    days = spark.range(73049).select(F.date_format(F.date_add(F.lit(pii.FIRST_DAY).cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"))
+    assert pseudonymise(days, KEY).distinct().count() == 73049
+
+
+@pytest.mark.parametrize("text", [
+    None, "", "plain words", "9807915762804491 has a wrong check digit", "version 4.0.1.2.3 and 256.1.1.1 and 01.2.3.4",
+    "2023-02-30 and 31.04.2020 and 13/13/2020", "000-12-3456 666-12-3456 123-00-4567", "12345678901", "a@b @ c@ @d.org",
+    "deadbeef 0123456789 " + "f" * 40, "id x9807915762804490y", "1" * 25,
+])
+def test_what_is_no_valid_value_stays(spark, text):
+    assert replaced(spark, [text]) == [text]
+
+
+def test_mail_and_secrets(spark):
+    token = "9233a8ecf7c5b09fe5949719b6b82bc439e9329b"
+    a, b, c, d = replaced(spark, ["34@mail7.example.com x", "(34@MAIL7.example.com)", f'token = "{token}"', token.upper()])
+    assert a.removesuffix(" x") == b.strip("()") and "example" not in a and "34@" not in a
+    assert token not in c and re.fullmatch(r'token = "[0-9a-f]{40}"', c)
+    assert d == c[9:-1].upper()
+
+
+def test_long_text_and_columns_of_any_name(spark):
+    long = ("word " * 40_000) + "1.2.3.4 " + "0" * 50_000 + " a" * 10_000 + ("x." * 20_000)
+    docs = spark.createDataFrame([(1, long, "old", 3, "r"), (1, long, "old", 3, "r"), (None, "8.8.8.8", None, None, None)], "doc_id long, text string, old string, new int, row string")
+    out = pseudonymise(docs, KEY, count_col="n")
+    assert out.columns == [*docs.columns, "n"]
+    rows = out.collect()
+    assert [r.n for r in rows] == [1, 1, 1] and rows[0] == rows[1] and rows[0].old == "old" and rows[0].row == "r"
+    a, b = rows[0].text, long
+    k = b.index("1.2.3.4")
+    assert a[:k] == b[:k] and a.endswith(b[k + 7 :]) and a != b
+    assert pseudonymise(docs.limit(0), KEY).collect() == []
+    with pytest.raises(ValueError):
+        pseudonymise(docs, "")
