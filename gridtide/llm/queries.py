@@ -13,6 +13,7 @@ from gridtide.llm.exact_dedup import exact_duplicates
 from gridtide.llm.pii import pseudonymise
 from gridtide.llm.simhash import near_duplicates
 from gridtide.llm.token_counts import token_counts
+from gridtide.llm.toxicity import held_out, scored, train
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +28,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@register
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = scored(docs, train(docs, table(spark, sf_dir, "labels")))
+    return out.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 @register
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_duplicates(table(spark, sf_dir, "documents"), digest_all=True)
