@@ -47,13 +47,32 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(FOLD).split()
 
 
+def _stems(word: bytes) -> Iterator[bytes]:
+    """The word, ended by a space, and its beginnings."""
+    yield word + b" "
+    for n in range(4, min(8, len(word))):
+        yield word[:n]
+
+
 def _contexts(texts: Iterable[list[bytes]]) -> Counter:
-    """In how many different places, told apart by the word before, each word stands.
+    """In how many different places, told apart by the word before, each stem stands.
     Copies of a text add nothing."""
     seen = set()
     for words in texts:
         seen.update(zip([b"", *words], words))
-    return Counter(w for _, w in seen)
+    return Counter(s for _, w in seen for s in _stems(w))
+
+
+def _telling(bad: Counter, good: Counter, ratio: float, evidence: float) -> set[bytes]:
+    """Stems at least ``ratio`` times as frequent in the first as in the second, and too
+    often so for chance (likelihood ratio of the two counts, in nats)."""
+    q = sum(bad.values()) / (sum(bad.values()) + sum(good.values()))
+    found = {}
+    for stem, n in bad.items():
+        g = good[stem]
+        if n * (1 - q) > ratio * (g + 1) * q:
+            found[stem] = n * np.log(n / (n + g) / q) + (g * np.log(g / (n + g) / (1 - q)) if g else 0)
+    return {s for s, x in found.items() if x > evidence} or set(sorted(found, key=found.get)[-20:])
 
 
 def _dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
@@ -70,16 +89,12 @@ class Dictionaries:
     toxic: bytes
 
     @classmethod
-    def train(cls, toxic: list[bytes], ordinary: list[bytes], ratio: float = 3, support: float = 0.01) -> Dictionaries:
-        """``ratio``: how many times as many contexts a toxic word has, per text;
-        ``support``: in how many contexts per toxic text it stands at least."""
+    def train(
+        cls, toxic: list[bytes], ordinary: list[bytes], ratio: float = 3, evidence: float = 15
+    ) -> Dictionaries:
         bad, good = [words_of(t) for t in toxic], [words_of(t) for t in ordinary]
-        in_bad, in_good = _contexts(bad), _contexts(good)
-        share = {
-            w: n / len(bad) * len(good) / (in_good[w] + 1) for w, n in in_bad.items() if n >= max(2, support * len(bad))
-        }
-        chosen = {w for w, x in share.items() if x > ratio} or set(sorted(share, key=share.get)[-20:])
-        samples = [b" " + w + b" " for words in bad for w in words if w in chosen]
+        chosen = _telling(_contexts(bad), _contexts(good), ratio, evidence)
+        samples = [b" " + w + b" " for words in bad for w in words if not chosen.isdisjoint(_stems(w))]
         random.Random(1).shuffle(samples)
         lines = [b" " + b" ".join(w[:200]) + b" " for w in good]
         half = (len(lines) + 1) // 2
