@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gridtide.llm.chat import format_turns, read_back
 from gridtide.llm.exact_dedup import exact_duplicates
+from gridtide.llm import licenses, packing
 from gridtide.llm.pii import pseudonymise
 from gridtide.llm.simhash import near_duplicates
 from gridtide.llm.token_counts import token_counts
@@ -57,6 +58,41 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t
 """
 
 
+@register
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.withColumn("found", F.array_join("found", ","))
+
+
+def _canonical_sql(text: str) -> str:
+    out = f"regexp_replace(translate({text}, '{licenses.UPPER}', '{licenses.LOWER}'), '{licenses.COPYRIGHT}', chr(10), 'g')"
+    out = f"regexp_replace({out}, '{licenses.PUNCTUATION}', ' ', 'g')"
+    for old, new in licenses.SAME:
+        out = f"regexp_replace({out}, '\\b{old}\\b', '{new}', 'g')"
+    return f"trim({out})"
+
+
+_KNOWN_ROWS = ", ".join(f"('{i}', '{t}')" for i, t in licenses.KNOWN)
+ORACLES["op9_licenses"] = f"""
+WITH known AS (
+  SELECT DISTINCT spdx, sha256({_canonical_sql("text")}) AS digest FROM (VALUES {_KNOWN_ROWS}) k(spdx, text)
+), docs AS (
+  SELECT doc_id, coalesce(text, '') AS text FROM documents
+), units AS (
+  SELECT doc_id, text, unnest(list_distinct(list_concat([text],
+    string_split_regex(text, '{licenses.PARAGRAPHS}'), string_split(text, chr(10))))) AS u FROM docs
+), hits AS (
+  SELECT doc_id, u = text AS is_whole, spdx FROM units
+  JOIN known ON digest = sha256({_canonical_sql("u")}) WHERE regexp_matches(u, '(?i){licenses.MARK}')
+), found AS (
+  SELECT doc_id, min(spdx) FILTER (is_whole) AS whole, string_agg(DISTINCT spdx, ',' ORDER BY spdx) AS found,
+    count(*) AS n_units FROM hits GROUP BY doc_id
+)
+SELECT doc_id, whole, coalesce(found, '') AS found, coalesce(n_units, 0) AS n_units
+FROM (SELECT DISTINCT doc_id FROM docs) LEFT JOIN found USING (doc_id)
+"""
+
+
 @register
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
@@ -71,6 +107,12 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(docs, KEY, count_col="n_replaced")
 
 
+@register
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.packed(docs, packing.words(F.col("text")))
+
+
 @register
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
