@@ -8,9 +8,10 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridtide.llm import licenses, packing
 from gridtide.llm.chat import format_turns, read_back
 from gridtide.llm.exact_dedup import exact_duplicates
-from gridtide.llm import licenses, packing
+from gridtide.llm.neighbours import nearest
 from gridtide.llm.pii import pseudonymise
 from gridtide.llm.simhash import near_duplicates
 from gridtide.llm.token_counts import token_counts
@@ -29,6 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@register
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @register
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
