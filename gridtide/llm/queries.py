@@ -13,6 +13,7 @@ from gridtide.llm.chat import format_turns, read_back
 from gridtide.llm.exact_dedup import exact_duplicates
 from gridtide.llm.neighbours import nearest
 from gridtide.llm.pii import pseudonymise
+from gridtide.llm.sentencepiece import Pieces, decode, encode
 from gridtide.llm.simhash import near_duplicates
 from gridtide.llm.token_counts import token_counts
 from gridtide.llm.toxicity import held_out, scored, train
@@ -35,6 +36,19 @@ def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+@register
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message of the conversations, encoded and decoded again."""
+    pieces = Pieces.load(tokenizer_path("piece_bpe_32k.model"))
+    messages = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    out = decode(encode(messages, pieces), pieces)
+    return out.select(
+        "conv_id", "turn", F.size("ids").cast("bigint").alias("n_pieces"),
+        F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), ","), 256).alias("ids_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"), "ids",
+    )
+
+
 @register
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
