@@ -14,9 +14,8 @@ from gridtide.functions import calendar as cal
 from gridtide.functions.scalars import STRESS_HIGH, STRESS_LOW, clip, spike_class
 from gridtide.operators.blocks import QUARTER, Series
 from gridtide.operators.windows import (
-    EWM_TEMPS,
     differs,
-    ewm_stages,
+    ewm,
     growing,
     lagged,
     rolled,
@@ -27,6 +26,7 @@ EPS = 1e-6
 # Longest reach: the 7-day wind mean, with room for the lags under other features.
 REACH = 700
 P1, D1 = "imbl_lag_1", "dir_lag_1"
+EWA = "_price_ewm"
 
 
 def _c(name: str) -> Column:
@@ -52,10 +52,9 @@ def price_rolls(m: Matrix) -> None:
             m.window(1, **{f"imbl_roll_{name}_{agg}": lambda s, n=n, agg=agg: rolled(s, P1, n, agg)})
     m.window(1, **{c: (lambda s, c=c: growing(s, P1)[c]) for c in (f"_s_{P1}", f"_n_{P1}")})
     m.window(2, imbl_roll_1d_mean=lambda s: wide_mean(s, P1, 96))
-    for level, stage in enumerate(ewm_stages(P1, "imbl_ewa", span=8)):
-        names = (("_e_prev",), ("_e_gain", "_e_log"), ("imbl_ewa",))[level]
-        m.window(1 + level, **{c: (lambda s, c=c, stage=stage: stage(s)[c]) for c in names})
-    m.drop(f"_s_{P1}", f"_n_{P1}", *EWM_TEMPS)
+    # The exponential mean of the lagged price is the lagged exponential mean.
+    m.lag("imbl_ewa", EWA, 1)
+    m.drop(f"_s_{P1}", f"_n_{P1}", EWA)
 
 
 def spreads(m: Matrix) -> None:
@@ -303,6 +302,7 @@ def imbalance_features(
     base = df.withColumns({c: F.lit(0.0) for c in missing}) if missing else df
     # A stored spread is not lagged; the feature of that name is.
     base = base.drop("reg_spread")
+    base = ewm(base, s, "imbl_price", EWA, span=8)
     m = Matrix(base, s, back=REACH, ahead=horizon, have=None if have is None else have | set(missing))
     for group in (
         price_lags, direction_lags, price_rolls, spreads, extremes, zscores, stress_proximity,

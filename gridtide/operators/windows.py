@@ -7,7 +7,7 @@ The ``*_cols`` helpers return window columns for use inside a stage of
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,7 +16,6 @@ from gridtide.operators.blocks import (
     BLK,
     POS,
     Series,
-    carry_last,
     last_known,
     settle,
     spread,
@@ -94,65 +93,93 @@ def rolling(
     )
 
 
-# Rows after which the start of an exponential mean no longer shows in a double,
-# however many of them are missing (a gap keeps more of the old mean than as many
-# values would, so this is well above 36 / -log(1 - alpha)).
-EWM_REACH = 480
 # Weights grow over a block and are centred on 1, so a double holds e**(2 * 650).
 EWM_SHIFT = 460.0
 EWM_ROWS = 2880
+# A value keeps at most 1 - alpha of the mean before it; what is left of the mean that
+# many blocks with values ago does not show in a double.
+EWM_BLOCKS = 170
 
 
-def ewm_stages(c: str, name: str, span: int = 8) -> list:
-    """Recursive exponential mean with gaps, as growing sums.
+def ewm(df: DataFrame, s: Series, c: str, name: str, span: int = 8) -> DataFrame:
+    """Recursive exponential mean over gaps of any length.
 
     At a value the state becomes ``(w*y + a*x) / (w + a)`` where ``w`` has decayed by
     ``1-a`` once per row since the last value, i.e. ``y`` keeps the share ``d`` and
     ``x`` enters with ``1-d``.  With ``D`` the running sum of ``log d`` this unrolls to
     ``exp(D) * sum((1-d) * x * exp(-D))``: two running sums instead of a fold.
+
+    Each block is summed as if the series began with its first value ``f``.  With the
+    mean ``y`` carried in, the first value would keep a share ``d`` of it, so a row is off
+    by ``exp(D) * d * (y - f)``; the carried means follow from one row per block.
     """
     a = 2.0 / (span + 1.0)
+    # The whole span of a block must fit the range of a double.
+    s = s.cut(min(s.rows, EWM_ROWS, int(1300 / -math.log(1 - a)) - 480))
     x = F.col(c)
 
-    def gaps(s: Series) -> dict[str, Column]:
-        prev = F.max(F.when(x.isNotNull(), F.col(POS))).over(
-            s.over.rowsBetween(Window.unboundedPreceding, -1)
-        )
-        return {"_e_prev": prev}
+    def kept(gap: Column) -> Column:
+        w = F.pow(F.lit(1.0 - a), gap)
+        return w / (w + F.lit(a))
 
-    def shares(s: Series) -> dict[str, Column]:
-        w = F.pow(F.lit(1.0 - a), F.col(POS) - F.col("_e_prev"))
-        keep = w / (w + F.lit(a))
-        first = F.col("_e_prev").isNull()
-        return {
+    prev = F.max(F.when(x.isNotNull(), F.col(POS))).over(s.over.rowsBetween(Window.unboundedPreceding, -1))
+    cut = spread(df, s).withColumn("_e_prev", prev)
+    keep, first = kept(F.col(POS) - F.col("_e_prev")), F.col("_e_prev").isNull()
+    log = F.when(x.isNull() | first, F.lit(0.0)).otherwise(F.log(keep))
+    cut = cut.withColumns(
+        {
             "_e_gain": F.when(x.isNull(), 0.0).when(first, 1.0).otherwise(1.0 - keep),
-            "_e_log": F.sum(
-                F.when(x.isNull() | first, F.lit(0.0)).otherwise(F.log(keep))
-            ).over(s.upto),
+            "_e_log": F.sum(log).over(s.upto),
         }
-
-    def total(s: Series) -> dict[str, Column]:
-        body = F.sum(F.col("_e_gain") * F.coalesce(x, F.lit(0.0)) * F.exp(-F.col("_e_log") - EWM_SHIFT))
-        started = F.count(x).over(s.upto) > 0
-        return {name: F.when(started, F.exp(F.col("_e_log") + EWM_SHIFT) * body.over(s.upto))}
-
-    return [gaps, shares, total]
-
-
-EWM_TEMPS = ("_e_prev", "_e_gain", "_e_log")
-
-
-def ewm(df: DataFrame, s: Series, c: str, name: str, span: int = 8) -> DataFrame:
-    """Exponential mean at any gap length: the halo covers the decay, and where even
-    the halo is empty the mean of the last value before it is carried in."""
-    longest = int(1300 / -math.log(1 - 2.0 / (span + 1.0))) - EWM_REACH
-    s = s.cut(min(s.rows, EWM_ROWS, longest))
-    cut = spread(df, s, back=EWM_REACH)
-    for stage in ewm_stages(c, name, span):
-        cut = cut.withColumns(dict(stage(s)))
-    carry = carry_last(cut, s, {"_e_in": F.col(name)}).drop("_origin")
-    out = cut.join(carry, [*s.keys, BLK]).withColumn(name, F.coalesce(name, "_e_in"))
-    return settle(out, s).drop(*EWM_TEMPS, "_e_in")
+    )
+    body = F.sum(F.col("_e_gain") * F.coalesce(x, F.lit(0.0)) * F.exp(-F.col("_e_log") - EWM_SHIFT))
+    cut = cut.withColumns(
+        {
+            name: F.when(F.count(x).over(s.upto) > 0, F.exp(F.col("_e_log") + EWM_SHIFT) * body.over(s.upto)),
+            "_e_first": F.first(x, ignorenulls=True).over(s.upto),
+        }
+    )
+    carry = _ewm_carry(cut, s, c, name, kept)
+    out = cut.join(carry, [*s.keys, BLK], "left")
+    share = F.exp("_e_log") * kept(F.col("_e_at") - F.col("_e_from"))
+    late = F.col(name) + share * (F.col("_e_in") - F.col("_e_first"))
+    value = F.when(F.col(name).isNull(), F.col("_e_in")).when(F.col("_e_in").isNull(), F.col(name)).otherwise(late)
+    temps = ("_e_prev", "_e_gain", "_e_log", "_e_first", "_e_in", "_e_from", "_e_at")
+    return settle(out.withColumn(name, value), s).drop(*temps)
+
+
+def _ewm_carry(cut: DataFrame, s: Series, c: str, name: str, kept: Callable[[Column], Column]) -> DataFrame:
+    """Per (keys, block): the mean carried in, the slot of its last value and the slot of
+    the block's first value (NULL where there is none)."""
+    has = F.when(F.col(c).isNotNull(), F.col(POS))
+    blocks = cut.groupBy(*s.keys, BLK).agg(
+        F.min(has).alias("_e_at"),
+        F.max(has).alias("_e_to"),
+        F.max_by(name, has).alias("_y"),
+        F.max_by("_e_log", has).alias("_d"),
+        F.min_by(c, has).alias("_f"),
+    )
+    order = Window.partitionBy(*s.keys).orderBy(BLK)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_e_from", F.last("_e_to", ignorenulls=True).over(before))
+    # Over a block the mean becomes m * mean + add; a block without values leaves it.
+    m = F.when(F.col("_e_from").isNull(), F.lit(0.0)).otherwise(
+        F.exp("_d") * kept(F.col("_e_at") - F.col("_e_from"))
+    )
+    step = F.struct(m.alias("m"), (F.col("_y") - m * F.col("_f")).alias("add"))
+    steps = (
+        blocks.where(F.col("_e_at").isNotNull())
+        .withColumn("_steps", F.collect_list(step).over(order.rowsBetween(-(EWM_BLOCKS - 1), 0)))
+        .select(
+            *s.keys,
+            BLK,
+            F.aggregate("_steps", F.lit(0.0), lambda y, b: b["m"] * y + b["add"]).alias("_e_end"),
+        )
+    )
+    ends = blocks.join(steps, [*s.keys, BLK], "left")
+    return ends.select(
+        *s.keys, BLK, "_e_from", "_e_at", F.last("_e_end", ignorenulls=True).over(before).alias("_e_in")
+    )
 
 
 def seasonal_mean(
@@ -286,15 +313,17 @@ def step_agreement(df: DataFrame, s: Series, a: str, b: str, name: str) -> DataF
 
 
 def segments(df: DataFrame, s: Series, label: str) -> DataFrame:
-    """Contiguous rows of equal label as (keys, start, end, label, slots).
+    """Contiguous slots of equal label as (keys, start, end, label, slots).
 
-    A row's segment is named by the slot of its first row, which the run length
-    gives; the last, still open segment is included.
+    A missing slot ends a segment, whatever the labels on its two sides.  A row's segment
+    is named by the slot of its first row, which the run length gives; the last, still
+    open segment is included.
     """
     cut = spread(df.select(*s.keys, s.ts, label), s, back=1)
-    cut = cut.withColumn("_before", lagged(s, label, 1))
+    cut = cut.withColumns({"_before": lagged(s, label, 1), "_gap": F.col(POS) - lagged(s, POS, 1)})
     own = cut.where(F.col(BLK) == s.home)
-    out = run_columns(own, s, 0, {"_run": ~F.col(label).eqNullSafe(F.col("_before")) | F.col("_before").isNull()})
+    joined = F.col(label).eqNullSafe(F.col("_before")) & F.coalesce(F.col("_gap") == 1, F.lit(False))
+    out = run_columns(own, s, 0, {"_run": ~joined})
     seg = F.col(POS) - F.col("_run") + 1
     return (
         out.groupBy(*s.keys, seg.alias("_seg"), label)

@@ -1,12 +1,15 @@
 """Cut series give the rows of uncut ones, whatever the block length."""
 
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gridtide.features.imbalance import imbalance_features
 from gridtide.operators import grid, windows
 from gridtide.operators.blocks import QUARTER
-from tests.helpers import same_rows, wave_frame
+from tests.helpers import close, same_rows, series, values, wave_frame
 
 SMALL, WHOLE = QUARTER.cut(37), QUARTER.cut(10**9)
 
@@ -42,14 +45,67 @@ def test_cut_equals_whole(frame, name):
     assert same_rows(op(frame, SMALL), op(frame, WHOLE))
 
 
-def test_ewm_over_holes_longer_than_a_halo(spark, frame):
-    # One hole longer than the halo, and blocks far shorter than it.
-    holed = frame.withColumn(
-        "imbl_price", F.when((F.unix_seconds("ts") / 900) % 400 > 250, F.col("imbl_price"))
+def plain_ewm(prices, span=8):
+    a, y, w, out = 2 / (span + 1), None, 0.0, []
+    for x in prices:
+        w *= 1 - a
+        if x is not None:
+            y = x if y is None else (w * y + a * x) / (w + a)
+            w = 1.0
+        out.append(y)
+    return out
+
+
+def test_ewm_over_holes_of_every_length_at_a_block_edge(spark):
+    # One series per hole length; holes start before an edge, end after it, or span blocks.
+    rng = np.random.default_rng(5)
+    rows, want, edge = [], {}, 300
+    for k, hole in enumerate([*range(1, 60), *range(60, 3000, 97)]):
+        start = edge - int(rng.integers(0, min(hole, 290) + 1))
+        n = start + hole + int(rng.integers(3, 500))
+        prices = [None if start <= i < start + hole else float(rng.normal(50, 30)) for i in range(n)]
+        want[f"S{k:03}"] = plain_ewm(prices)
+        rows += [(f"S{k:03}", 900 * i, p) for i, p in enumerate(prices)]
+    df = spark.createDataFrame(rows, "zone string, sec long, imbl_price double").select(
+        "zone", F.timestamp_seconds("sec").alias("ts"), "imbl_price"
+    )
+    for block in (300, 2880):
+        got = windows.ewm(df, QUARTER.cut(block), "imbl_price", "e").orderBy("zone", "ts").toPandas()
+        for zone, one in got.groupby("zone"):
+            assert np.allclose(one["e"].to_numpy(dtype=float), np.array(want[zone], dtype=float), rtol=1e-12), (block, zone)
+
+
+def test_ewm_over_rows_that_are_missing_and_sparse_values(spark):
+    rng = np.random.default_rng(6)
+    prices = [float(rng.normal(50, 30)) if rng.random() < 0.02 else None for _ in range(9000)]
+    rows = [("A", 900 * i, p) for i, p in enumerate(prices) if p is not None or rng.random() < 0.5]
+    df = spark.createDataFrame(rows, "zone string, sec long, imbl_price double").select(
+        "zone", F.timestamp_seconds("sec").alias("ts"), "imbl_price"
     )
-    a = windows.ewm(holed, QUARTER.cut(50), "imbl_price", "e")
-    b = windows.ewm(holed, QUARTER.cut(2400), "imbl_price", "e")
-    assert same_rows(a, b)
+    want = plain_ewm(prices)
+    for block in (40, 700, 2880):
+        got = windows.ewm(df, QUARTER.cut(block), "imbl_price", "e").orderBy("ts").collect()
+        for r, (_, sec, _) in zip(got, rows):
+            w = want[sec // 900]
+            assert (r.e is None) == (w is None) and (w is None or math.isclose(r.e, w, rel_tol=1e-12))
+
+
+def test_matrix_mean_over_a_hole_longer_than_any_halo(spark):
+    n = 2500
+    price = [float(100 + i % 7) if i < 380 or i > 1700 else None for i in range(n)]
+    df = series(spark, {"imbl_price": price, "direction": [1] * n})
+    got = values(imbalance_features(df, s=QUARTER.cut(400)), "imbl_ewa")
+    want = [None, *plain_ewm(price)[:-1]]
+    assert close(got, want)
+
+
+def test_segments_end_at_holes_on_and_off_a_block_edge(spark):
+    for first, hole in [(40, 7), (44, 6), (43, 7), (10, 1), (49, 1), (50, 1), (20, 200)]:
+        slots = [*range(first), *range(first + hole, first + hole + 30)]
+        df = spark.createDataFrame([("A", 900 * i, "x") for i in slots], "zone string, sec long, label string")
+        df = df.select("zone", F.timestamp_seconds("sec").alias("ts"), "label")
+        got = windows.segments(df, QUARTER.cut(50), "label").orderBy("start").collect()
+        assert [r.slots for r in got] == [first, 30], (first, hole)
 
 
 def test_intervals_cut_equal_whole(spark):
