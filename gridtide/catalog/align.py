@@ -198,7 +198,7 @@ def rolling_full(spark, sf):
 @query("rolling_minperiods", "zone:s ts:t roll_mean:d", _roll_sql(672, 48))
 def rolling_minperiods(spark, sf):
     return windows.rolling(
-        A.dense_imbalance(spark, sf), QUARTER, "imbl_price", 672, ["mean"], 48, prefix="roll"
+        A.dense_imbalance(spark, sf), QUARTER, "imbl_price", 672, ["mean"], 48, prefix="roll", wide=True
     )
 
 

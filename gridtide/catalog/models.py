@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridtide.catalog import sql_parts as P
@@ -118,13 +121,56 @@ def spike_forecast(spark, sf):
     return forecast.forecast_spike(hist, feats, model, runs)
 
 
-@query("hindcast", "zone:s generated_at:t ts:t p05:d p50:d p95:d spike_proba:d regime:s")
-def hindcast(spark, sf):
+def _last_days(hist, days: int) -> tuple[str, str]:
+    """First and last of the newest whole days of a frame."""
+    hi = hist.agg(F.date_sub(F.to_date(F.max("ts")), 1).alias("d")).first()["d"]
+    return str(hi - timedelta(days=days - 1)), str(hi)
+
+
+def hindcast_frame(spark, sf):
     hist = _history(spark, sf)
     feats = materialize(imbalance_features(hist), "features")
     prices, _ = forecast.fit_imbalance(feats, test_days=6, trees=10, depth=5)
     spikes, _ = forecast.fit_spike_model(feats, test_days=6, rounds=5, least=100)
-    return forecast.hindcast(hist, feats, prices, spikes, "2024-01-24", "2024-01-29")
+    return forecast.hindcast(hist, feats, prices, spikes, *_last_days(hist, 6))
+
+
+@query("hindcast", "zone:s generated_at:t ts:t p05:d p50:d p95:d spike_proba:d regime:s")
+def hindcast(spark, sf):
+    return hindcast_frame(spark, sf)
+
+
+@query(
+    "hindcast_slots",
+    "zone:s generated_at:t ts:t slots_ahead:i ordered:i has_probability:i",
+    P.with_parts(
+        P.EVENTS, P.IMBALANCE, P.DENSE_IMBALANCE,
+        """h AS (SELECT zone, ts, imbl_price,
+      count(imbl_price) OVER (PARTITION BY zone ORDER BY ts ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) > 0 AS filled,
+      count(imbl_price) OVER (PARTITION BY zone ORDER BY ts ROWS UNBOUNDED PRECEDING) AS seen FROM dimb)""",
+        """c AS (SELECT *, sum(CAST(filled AS INT)) OVER (PARTITION BY zone ORDER BY ts
+      ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) = 4 AS complete FROM h)""",
+        """d AS (SELECT CAST(max(ts) AS DATE) - 1 AS hi FROM dimb)""",
+        """runs AS (SELECT CAST(day AS TIMESTAMP) + INTERVAL '22 hours 45 minutes' AS generated_at
+      FROM (SELECT unnest(generate_series(hi - 5, hi, INTERVAL 1 DAY)) AS day FROM d))""",
+        """l AS (SELECT c.zone, r.generated_at, max(c.ts) FILTER (c.complete) AS last_ts
+      FROM c JOIN runs r ON c.ts <= r.generated_at GROUP BY ALL HAVING count(*) FILTER (c.filled) >= 96)""",
+    )
+    + """ SELECT zone, generated_at, last_ts + k * INTERVAL 15 MINUTE AS ts, k AS slots_ahead,
+      1 AS ordered, 1 AS has_probability
+    FROM (SELECT *, unnest(generate_series(1, 96)) AS k FROM l WHERE last_ts IS NOT NULL)""",
+)
+def hindcast_slots(spark, sf):
+    """The slots of every hindcast run, and whether the quantiles stand in order."""
+    fc = hindcast_frame(spark, sf)
+    order = (F.col("p05") <= F.col("p50")) & (F.col("p50") <= F.col("p95"))
+    first = F.min("ts").over(Window.partitionBy("zone", "generated_at"))  # 96 rows a run
+    ahead = (F.unix_seconds("ts") - F.unix_seconds(first)) / 900 + 1
+    proba = F.col("spike_proba").between(0, 1) & F.col("regime").isNotNull()
+    return fc.select(
+        "zone", "generated_at", "ts", ahead.alias("slots_ahead"), order.cast("int").alias("ordered"),
+        proba.cast("int").alias("has_probability"),
+    )
 
 
 def _spot_features(spark, sf):

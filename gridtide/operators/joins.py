@@ -9,15 +9,22 @@ from pyspark.sql import functions as F
 
 from gridtide.operators.blocks import BLK
 
-_DAY = 86400
+# Times of one key that a sweep puts into one task, where they are densest.
+SWEEP_ROWS = 50_000
 
 
 def _micros(c: str) -> Column:
     return F.unix_micros(F.col(c))
 
 
-def _block(c: Column, seconds: int) -> Column:
-    return F.floor(c / F.lit(seconds * 1_000_000)).cast("long")
+def _blocked(times: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """``times`` (keys, _t) with time blocks that hold about ``rows`` times of the key
+    with the most per second; the length is a scalar subquery over partial counts."""
+    spans = times.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), (F.max("_t") - F.min("_t") + 1).alias("_span")
+    )
+    length = spans.agg(F.ceil(F.lit(rows) / F.max(F.col("_n") / F.col("_span"))).alias("_l")).scalar()
+    return times.withColumn(BLK, F.floor(F.col("_t") / length).cast("long"))
 
 
 def latest_before(
@@ -27,7 +34,7 @@ def latest_before(
     left_ts: str,
     right_ts: str,
     name: str,
-    block_seconds: int = 30 * _DAY,
+    rows: int = SWEEP_ROWS,
 ) -> DataFrame:
     """(keys, left_ts, name): for each distinct left time the largest right time at or
     before it.
@@ -38,7 +45,7 @@ def latest_before(
     # A right row sorts before a left row of the same instant.
     r = right.select(*keys, _micros(right_ts).alias("_t")).distinct().withColumn("_left", F.lit(0))
     l = left.select(*keys, _micros(left_ts).alias("_t")).distinct().withColumn("_left", F.lit(1))
-    both = r.unionByName(l).withColumn(BLK, _block(F.col("_t"), block_seconds))
+    both = _blocked(r.unionByName(l), keys, rows)
     mark = F.when(F.col("_left") == 0, F.col("_t"))
     w = Window.partitionBy(*keys, BLK).orderBy("_t", "_left")
     w = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -97,7 +104,7 @@ def nearest(
     values: Sequence[str],
     keys: Sequence[str] = ("zone",),
     ts: str = "ts",
-    block_seconds: int = 30 * _DAY,
+    rows: int = SWEEP_ROWS,
 ) -> DataFrame:
     """Values of the right row closest in time; the earlier one on equal distance.
 
@@ -109,9 +116,7 @@ def nearest(
     r = r.groupBy(*keys, "_t").agg(F.min(F.struct(*values)).alias("_v")).select(*keys, "_t", "_v.*")
     r = r.select(*keys, "_t", row.alias("_row"))
     l = left.select(*keys, _micros(ts).alias("_t")).distinct()
-    both = r.unionByName(l, allowMissingColumns=True).withColumn(
-        BLK, _block(F.col("_t"), block_seconds)
-    )
+    both = _blocked(r.unionByName(l, allowMissingColumns=True), keys, rows)
     # Both frames grow from their start, so each row costs the same: the rows still to
     # come are read in falling time order.
     w = Window.partitionBy(*keys, BLK)

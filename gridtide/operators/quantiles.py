@@ -3,7 +3,7 @@
 ``percentile`` keeps every distinct value of a group in one hash map.  Here a
 bounded sketch (``approx_percentile``) brackets each wanted rank, values outside the
 brackets are only counted, and the few values inside are ranked by running sums over
-value buckets.  Groups of bounded size skip that.  The answer is exact; the sketch only decides how much is ranked.
+value buckets.  The answer is exact; the sketch only decides how much is ranked.
 """
 
 from __future__ import annotations
@@ -16,14 +16,16 @@ from pyspark.sql import functions as F
 from gridtide.operators.blocks import attach, running_totals
 
 ACCURACY = 2000
-# Above this size the sketch margin is several rows wide, so brackets hold their ranks.
-SMALL = 4 * ACCURACY
-PARTS = 256
 
 
-def bucket_of(value: Column, bounds: Column, parts: int = PARTS, strict: bool = False) -> Column:
-    """Number of ascending bounds at or below (``strict``: below) a value, by binary
-    search."""
+def width_of(df: DataFrame) -> int:
+    """Value buckets to rank in: as many as the session's exchanges have partitions."""
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def bucket_of(value: Column, bounds: Column, parts: int, strict: bool = False) -> Column:
+    """Number of ascending bounds (at most ``parts``) at or below (``strict``: below) a
+    value, by binary search."""
     steps, n = [], 1
     while n <= parts:
         steps.append(n)
@@ -55,11 +57,12 @@ def ranked_values(
     distinct values, so they are of like size whatever the distribution.
     """
     sums = sums or {"_upto": F.col("_n")}
-    cuts = [k / PARTS for k in range(1, PARTS)]
+    parts = width_of(df)
+    cuts = [k / parts for k in range(1, parts)]
     bounds = df.groupBy(*by).agg(
         F.array_distinct(F.approx_percentile(value, cuts, F.lit(ACCURACY))).alias("_bounds")
     )
-    cut = attach(df, bounds, by).withColumn("_part", bucket_of(F.col(value), F.col("_bounds")))
+    cut = attach(df, bounds, by).withColumn("_part", bucket_of(F.col(value), F.col("_bounds"), parts))
     cut = cut.drop("_bounds")
     if not ascending:
         cut = cut.withColumn("_part", -F.col("_part"))
@@ -72,31 +75,21 @@ def exact_percentiles(
 ) -> DataFrame:
     """Interpolated percentiles (rank ``1 + p(n-1)``), one column per entry of ``ps``.
 
-    Groups up to ``SMALL`` rows, a fixed bound, are ranked whole by ``percentile``; larger
-    ones go by brackets.  Groups without any value give no row.
+    The sketch comes first, so that only values inside its brackets are shuffled one by
+    one; what lies between brackets travels as a count with its smallest and largest
+    value.  A wanted rank is inside a bracket or is one of those ends: the margin is at
+    least a rank wider than the sketch's error where the sketch is not exact, and an
+    exact one misses by a single rank at most.  Groups without any value give no row.
     """
-    counts = value_counts(df, by, value)
     eps = 2.0 / ACCURACY
     probes = [min(max(p + d, 0.0), 1.0) for p in ps.values() for d in (-eps, eps)]
-    sketch = df.where(F.col(value).isNotNull()).groupBy(*by).agg(
+    known = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_x"))
+    sketch = known.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_size"),
-        F.min(value).alias("_min"),
-        F.max(value).alias("_max"),
-        F.approx_percentile(value, probes, F.lit(ACCURACY)).alias("_probe"),
+        F.min("_x").alias("_min"),
+        F.max("_x").alias("_max"),
+        F.approx_percentile("_x", probes, F.lit(ACCURACY)).alias("_probe"),
     )
-    tagged = attach(counts, sketch, by)
-    few = tagged.where(F.col("_size") <= SMALL).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_rows"),
-        *[F.percentile(value, float(p), F.col("_n")).alias(c) for c, p in ps.items()],
-    )
-    many = _bracketed(tagged.where(F.col("_size") > SMALL), by, value, ps, eps)
-    # Without keys an empty side still yields one row, so rows are counted.
-    return few.unionByName(many).where(F.col("_rows") > 0).drop("_rows")
-
-
-def _bracketed(
-    tagged: DataFrame, by: Sequence[str], value: str, ps: Mapping[str, float], eps: float
-) -> DataFrame:
     ranges = F.array(
         *[
             F.struct(
@@ -107,32 +100,37 @@ def _bracketed(
             for k, p in enumerate(ps.values())
         ]
     )
-    inside = F.exists(
-        F.col("_ranges"), lambda r: (F.col(value) >= r["lo"]) & (F.col(value) <= r["hi"])
-    )
-    # Values between brackets only move ranks, so they collapse to one row per gap.
-    gap = F.size(F.filter(F.col("_ranges"), lambda r: r["hi"] < F.col(value)))
+    bracketed = sketch.select(*by, "_size", ranges.alias("_ranges"))
+    inside = F.exists(F.col("_ranges"), lambda r: (F.col("_x") >= r["lo"]) & (F.col("_x") <= r["hi"]))
+    gap = F.size(F.filter(F.col("_ranges"), lambda r: r["hi"] < F.col("_x")))
+    # Counted before the shuffle: one row per value inside, one per gap.
     slim = (
-        tagged.withColumn("_ranges", ranges)
+        attach(known, bracketed, by)
         .withColumn("_in", inside)
-        .withColumn("_gap", F.when(~F.col("_in"), gap))
-        .groupBy(*by, F.when(F.col("_in"), F.col(value)).alias("_v"), "_gap")
-        .agg(F.sum("_n").alias("_n"), F.max(value).alias("_hi"), F.first("_size").alias("_size"))
-        .withColumn("_val", F.coalesce("_v", "_hi"))
-        .drop("_v", "_gap", "_hi")
+        .groupBy(*by, F.when(F.col("_in"), F.col("_x")).alias("_v"), F.when(~F.col("_in"), gap).alias("_gap"))
+        .agg(
+            F.count(F.lit(1)).alias("_n"),
+            F.min("_x").alias("_first"),
+            F.max("_x").alias("_last"),
+            F.first("_size").alias("_size"),
+        )
+        .drop("_v", "_gap")
     )
-    ranked = ranked_values(slim, by, "_val")
+    ranked = ranked_values(slim, by, "_last")
     before = F.col("_upto") - F.col("_n")
     aggs = []
     for name, p in ps.items():
         rank = F.lit(float(p)) * (F.col("_size") - 1)
         low, high = F.floor(rank), F.ceil(rank)
-        holds = lambda r: (before <= r) & (r < F.col("_upto"))
-        lo_val = F.max(F.when(holds(low), F.col("_val")))
-        hi_val = F.max(F.when(holds(high), F.col("_val")))
-        part = F.max(rank - low)
-        aggs.append((lo_val + (hi_val - lo_val) * part).alias(name))
-    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"), *aggs)
+
+        def at(r: Column) -> Column:
+            end = F.when(before == r, F.col("_first")).otherwise(F.col("_last"))
+            return F.max(F.when((before <= r) & (r < F.col("_upto")), end))
+
+        aggs.append((at(low) + (at(high) - at(low)) * F.max(rank - low)).alias(name))
+    found = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"), *aggs)
+    # Without keys an empty frame still yields one row, so rows are counted.
+    return found.where(F.col("_rows") > 0).drop("_rows")
 
 
 def ecdf(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:

@@ -77,9 +77,13 @@ def rolling(
     aggs: Sequence[str],
     min_periods: int | None = None,
     prefix: str | None = None,
+    wide: bool = False,
 ) -> DataFrame:
+    """``wide`` takes means from growing sums (constant work per row, whatever ``n``)."""
     prefix = prefix or f"{c}_roll{n}"
-    if list(aggs) == ["mean"] and n > 64:
+    if wide:
+        if list(aggs) != ["mean"]:
+            raise ValueError("only means can be taken from growing sums")
         stages = [
             lambda s: growing(s, c),
             lambda s: {f"{prefix}_mean": wide_mean(s, c, n, min_periods)},

@@ -8,7 +8,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridtide.features import imbalance as fi
@@ -22,7 +23,8 @@ from gridtide.models.spike import SpikeModel, fit_spike
 from gridtide.models.splits import CORE_LAGS, tail_fraction, time_split
 from gridtide.operators.blocks import HOURLY, QUARTER, Series, attach
 from gridtide.operators.grid import ffill, future_grid
-from gridtide.operators.joins import nearest, run_history
+from gridtide.operators.joins import latest_before, nearest, run_history
+from gridtide.operators.windows import ewm
 from gridtide.plans import evaluate
 from gridtide.session import materialize
 
@@ -70,7 +72,9 @@ class SpotModel:
         spark = SparkSession.active()
         try:
             text = spark.read.schema("config string").json(f"{path}/config").first()["config"]
-        except Exception as exc:
+        except AnalysisException as exc:
+            if exc.getCondition() != "PATH_NOT_FOUND":
+                raise
             raise FileNotFoundError(f"no saved model under {path}; train one first") from exc
         c = json.loads(text)
         return cls(
@@ -200,27 +204,33 @@ def calendar_features(df: DataFrame, s: Series = QUARTER, tz: str = cal.LOCAL_ZO
 
 def last_valid_rows(feats: DataFrame, runs: DataFrame, s: Series, cols: Sequence[str]) -> DataFrame:
     """Per (keys, run): ``last_ts`` and the features of the newest complete row at or
-    before the run time."""
-    rows = feats.where(F.col("imbl_roll_1h_mean").isNotNull()).select(
-        *s.keys, s.ts, F.array(*[F.col(c).cast("double") for c in cols]).alias("_frozen")
+    before the run time, however old; runs before any complete row have none."""
+    rows = feats.where(F.col("imbl_roll_1h_mean").isNotNull())
+    which = latest_before(runs.select(*s.keys, "generated_at"), rows, s.keys, "generated_at", s.ts, "last_ts")
+    frozen = rows.select(
+        *s.keys, F.col(s.ts).alias("last_ts"), F.array(*[F.col(c).cast("double") for c in cols]).alias("frozen")
     )
-    near = run_history(rows, runs, MEMORY * s.step, s.keys, s.ts)
-    return near.groupBy(*s.keys, "generated_at").agg(
-        F.max(s.ts).alias("last_ts"), F.max_by("_frozen", s.ts).alias("frozen")
+    return which.where("last_ts IS NOT NULL").join(frozen, [*s.keys, "last_ts"])
+
+
+def _before_last(hist: DataFrame, last: DataFrame, s: Series, cols: Sequence[str], slots: int) -> DataFrame:
+    """History of each run: the slots up to its last complete row (``last_ts``).  Runs
+    that end at the same row share one copy until they are told apart."""
+    near = run_history(
+        hist.select(*s.keys, s.ts, *cols), last.select(*s.keys, "last_ts"), slots * s.step, s.keys, s.ts, "last_ts"
     )
+    return near.join(last.select(*s.keys, "generated_at", "last_ts"), [*s.keys, "last_ts"])
 
 
 def run_states(hist: DataFrame, feats: DataFrame, runs: DataFrame, s: Series, cols: Sequence[str]) -> DataFrame:
     """One row per (keys, run): frozen features, the last 96 prices up to its last
     complete row, oldest first, and the exponential mean there."""
     last = last_valid_rows(feats, runs, s, [*cols, "imbl_ewa", "imbl_lag_1"])
-    near = run_history(hist.select(*s.keys, s.ts, "imbl_price"), runs, 2 * MEMORY * s.step, s.keys, s.ts)
-    rows = near.join(last.select(*s.keys, "generated_at", "last_ts"), [*s.keys, "generated_at"])
+    rows = _before_last(hist, last, s, ["imbl_price"], MEMORY)
     age = ((F.unix_seconds("last_ts") - F.unix_seconds(s.ts)) / s.step).cast("int")
-    rows = rows.withColumn("_age", age).where(F.col("_age").between(0, MEMORY - 1))
     # At most 96 slots per run.
     path = rows.groupBy(*s.keys, "generated_at").agg(
-        F.sort_array(F.collect_list(F.struct((-F.col("_age")).alias("a"), F.col("imbl_price").alias("p")))).alias("_path")
+        F.sort_array(F.collect_list(F.struct((-age).alias("a"), F.col("imbl_price").alias("p")))).alias("_path")
     )
     return last.join(path.select(*s.keys, "generated_at", F.col("_path.p").alias("prices")), [*s.keys, "generated_at"])
 
@@ -279,7 +289,8 @@ def forecast_recursive(
             for r, path in enumerate(b["prices"]):
                 p = np.array(path, dtype=float)
                 mem[r, MEMORY - len(p):] = p
-            mem = pd.DataFrame(mem).ffill(axis=1).bfill(axis=1).fillna(0.0).to_numpy()
+            # A complete row has known prices just before it, so no path is empty.
+            mem = pd.DataFrame(mem).ffill(axis=1).bfill(axis=1).to_numpy()
             # The stored mean ends one slot before the last row; take that row in.
             ewa = decay * np.where(np.isnan(ewa_lag), mem[:, -1], ewa_lag) + (1 - decay) * mem[:, -1]
             coming = np.array(b["calendar"].tolist(), dtype=float).reshape(len(b), n, len(calendar_names))
@@ -312,12 +323,14 @@ def forecast_recursive(
 
 
 def _last_state(hist: DataFrame, runs: DataFrame, s: Series) -> DataFrame:
-    """Newest known price and direction per run."""
-    near = run_history(hist.select(*s.keys, s.ts, "imbl_price", "direction"), runs, 2 * MEMORY * s.step, s.keys, s.ts)
-    known = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col(s.ts)))
-    return near.groupBy(*s.keys, "generated_at").agg(
-        known("imbl_price").alias("last_price"), known("direction").alias("last_direction")
-    )
+    """Newest known price and direction per run, from all of its history."""
+    out = runs.select(*s.keys, "generated_at").distinct()
+    for c, name in (("imbl_price", "last_price"), ("direction", "last_direction")):
+        known = hist.where(F.col(c).isNotNull()).select(*s.keys, F.col(s.ts).alias("_at"), F.col(c).alias(name))
+        which = latest_before(out, known, s.keys, "generated_at", "_at", "_at")
+        found = which.join(known, [*s.keys, "_at"]).drop("_at")
+        out = out.join(found, [*s.keys, "generated_at"], "left")
+    return out
 
 
 def _unpack(frozen: str, names: Sequence[str]) -> dict[str, Column]:
@@ -346,18 +359,20 @@ def forecast_spike_path(
     """Spike probability along a known price path: history and path are one series per
     run, so lags and rolling values are plain windows and nothing is recursive."""
     per_run = Series(keys=(*s.keys, "generated_at"), ts=s.ts, step=s.step, rows=s.rows)
-    past = run_history(hist.select(*s.keys, s.ts, "imbl_price"), runs, 2 * MEMORY * s.step, s.keys, s.ts)
+    last = last_valid_rows(feats, runs, s, model.features)
+    past = _before_last(hist, last, s, ["imbl_price"], 2 * MEMORY).drop("last_ts")
     path = fc.select(*per_run.keys, s.ts, F.col("p50").alias("imbl_price"), F.lit(True).alias("_ahead"))
     starts = fc.groupBy(*per_run.keys).agg(F.min(s.ts).alias("_start"))
     past = past.join(starts, list(per_run.keys)).where(F.col(s.ts) < F.col("_start")).drop("_start")
     both = past.withColumn("_ahead", F.lit(False)).unionByName(path)
-    both = ffill(both, per_run, ["imbl_price"], limit=MEMORY)
+    # Several passes follow over the runs' own short series.
+    both = materialize(ffill(both, per_run, ["imbl_price"], limit=MEMORY), "path")
+    both = ewm(both, per_run, "imbl_price", fi.EWA)
     m = Matrix(both, per_run, back=fi.REACH)
     fi.price_lags(m)
     fi.price_rolls(m)
     fi.calendar(m, tz)
     moving = m.build().where("_ahead").drop("_ahead", "imbl_price")
-    last = last_valid_rows(feats, runs, s, model.features)
     still = [c for c in model.features if c not in fi.CALENDAR and c not in PATH_FEATURES]
     values = _unpack("frozen", model.features)
     frozen = last.select(*per_run.keys, *[values[c].alias(c) for c in still])
@@ -373,13 +388,19 @@ def _label(scored: DataFrame, hist: DataFrame, runs: DataFrame, s: Series) -> Da
 
 
 def run_cutoffs(hist: DataFrame, first: str, last: str, s: Series = QUARTER, tz: str = cal.LOCAL_ZONE, min_rows: int = 96) -> DataFrame:
-    """(keys, generated_at): 23:45 local of each day, for series with enough rows then."""
+    """(keys, generated_at): 23:45 local of each day, for series with at least
+    ``min_rows`` known prices by then."""
     day = F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date")))
-    have = hist.groupBy(*s.keys).agg(F.min(s.ts).alias("_lo"))
+    # The first cutoff that sees a row: rows after 23:45 belong to the day after.
+    sees = F.to_date(F.from_utc_timestamp(s.ts, tz) + F.expr("INTERVAL '899.999999' SECOND"))
+    known = hist.where(F.col("imbl_price").isNotNull()).select(*s.keys, F.greatest(sees, F.lit(first).cast("date")).alias("_day"))
+    new = known.groupBy(*s.keys, "_day").agg(F.count(F.lit(1)).alias("_n"))
+    days = hist.select(*s.keys).distinct().withColumn("_day", day)
+    upto = Window.partitionBy(*s.keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, 0)
+    seen = days.join(new, [*s.keys, "_day"], "left").withColumn("_seen", F.sum("_n").over(upto))
     local = F.col("_day").cast("timestamp") + F.expr("INTERVAL '23:45' HOUR TO MINUTE")
-    cut = have.withColumn("_day", day).withColumn("generated_at", F.to_utc_timestamp(local, tz))
-    enough = F.unix_seconds("generated_at") - F.unix_seconds("_lo") >= (min_rows - 1) * s.step
-    return cut.where(enough).select(*s.keys, "generated_at")
+    cut = seen.withColumn("generated_at", F.to_utc_timestamp(local, tz))
+    return cut.where(F.col("_seen") >= min_rows).select(*s.keys, "generated_at")
 
 
 def hindcast(
@@ -388,11 +409,13 @@ def hindcast(
 ) -> DataFrame:
     """Forecasts as they would have been made at the end of each local day.
 
+    ``hist`` and ``feats`` are read several times, so they should be written tables.
     Features are computed once for all days; each run reads only the row at its cutoff
     and earlier ones.  The result fits ``Store.save_run`` row for row.
     """
     runs = run_cutoffs(hist, first, last, s, tz)
-    fc = forecast_recursive(hist, feats, price_model, runs, s, n, tz)
+    # The path is read by the second model and again beside its result.
+    fc = materialize(forecast_recursive(hist, feats, price_model, runs, s, n, tz), "forecast")
     spikes = forecast_spike_path(fc, hist, feats, spike_model, runs, s, tz)
     return fc.drop("step").join(spikes, [*s.keys, "generated_at", s.ts], "left")
 

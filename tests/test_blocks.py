@@ -19,7 +19,7 @@ OPERATORS = {
     "lag": lambda d, s: windows.lag(d, s, "imbl_price", [1, 16, 96]),
     "lead": lambda d, s: windows.lead(d, s, "imbl_price", 4, "t"),
     "rolling": lambda d, s: windows.rolling(d, s, "imbl_price", 16, ["mean", "std", "max", "min", "sum"]),
-    "wide_mean": lambda d, s: windows.rolling(d, s, "windspeed_100m", 96, ["mean"], 12),
+    "wide_mean": lambda d, s: windows.rolling(d, s, "windspeed_100m", 96, ["mean"], 12, wide=True),
     "streak": lambda d, s: windows.streak(d, s, "direction", "n"),
     "run_position": lambda d, s: windows.run_position(d, s, F.abs("imbl_price") > 100, "n", 1),
     "since_last": lambda d, s: windows.since_last(d, s, F.abs("imbl_price") > 200, "n", 1),

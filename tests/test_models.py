@@ -127,7 +127,7 @@ def test_hindcast_uses_only_the_past(spark, history, feats, price_model):
     spikes, _ = forecast.fit_spike_model(
         feats.withColumn("target_binary", (F.col("target_price") > 100).cast("int")), test_days=3, rounds=3, least=50
     )
-    go = lambda h: forecast.hindcast(h, fi.imbalance_features(h), model, spikes, "2025-01-05", "2025-01-07")
+    go = lambda h: forecast.hindcast(h, fi.imbalance_features(h).cache(), model, spikes, "2025-01-05", "2025-01-07")
     a = go(history)
     cut = F.lit("2025-01-06 22:45:00").cast("timestamp")
     later = history.withColumn("imbl_price", F.when(F.col("ts") > cut, -999.0).otherwise(F.col("imbl_price")))
@@ -148,3 +148,35 @@ def test_path_spikes_follow_the_path(history, feats, price_model):
     fc = forecast.forecast_recursive(history, feats, model, runs)
     path = forecast.forecast_spike_path(fc, history, feats, spikes, runs)
     assert path.count() == 96
+
+
+def test_runs_after_long_holes_still_forecast(spark, history, feats, price_model):
+    # Five days without a price: runs in and after the hole start from the last complete row.
+    model, _ = price_model
+    hole = (F.col("ts") > F.lit(at(700)).cast("timestamp")) & (F.col("ts") < F.lit(at(700 + 5 * 96)).cast("timestamp"))
+    holed = history.withColumns({c: F.when(~hole, F.col(c)) for c in ("imbl_price", "direction")})
+    runs = spark.createDataFrame([("A", at(k)) for k in (650, 701, 900, 1170)], "zone string, generated_at timestamp")
+    rows = fi.imbalance_features(holed).cache()
+    fc = forecast.forecast_recursive(holed, rows, model, runs).cache()
+    counts = {r.generated_at: r["count"] for r in fc.groupBy("generated_at").count().collect()}
+    assert len(counts) == 4 and set(counts.values()) == {96}
+    spikes, _ = forecast.fit_spike_model(
+        feats.withColumn("target_binary", (F.col("target_price") > 100).cast("int")), test_days=3, rounds=3, least=50
+    )
+    path = forecast.forecast_spike_path(fc, holed, rows, spikes, runs)
+    still = forecast.forecast_spike(holed, rows, spikes, runs)
+    assert path.count() == still.count() == 4 * 96
+    known = {r.generated_at: r.last_price for r in forecast._last_state(holed, runs, QUARTER).collect()}
+    assert None not in known.values()
+
+
+def test_cutoffs_count_known_rows(spark):
+    # One early price and a long hole: the span is long enough, the rows are not.
+    price = [1.0] + [None] * 400 + [2.0] * 300
+    df = series(spark, {"imbl_price": price, "direction": [1] * len(price)})
+    got = [str(r.generated_at) for r in forecast.run_cutoffs(df, "2025-01-02", "2025-01-08").orderBy("generated_at").collect()]
+    want = [
+        f"2025-01-0{d} 22:45:00" for d in range(2, 9)
+        if sum(p is not None for p in price[: (d - 1) * 96 + 92]) >= 96
+    ]
+    assert got == want and len(want) < 7

@@ -184,7 +184,7 @@ def test_asof_run_and_row_differ(spark):
 def test_latest_before_carries_over_blocks(spark):
     left = series(spark, {"x": [1.0] * 500}, minutes=60)
     right = spark.createDataFrame([("A", at(3, 60)), ("A", at(250, 60))], "zone string, g timestamp")
-    out = joins.latest_before(left, right, ["zone"], "ts", "g", "g", block_seconds=7 * 3600)
+    out = joins.latest_before(left, right, ["zone"], "ts", "g", "g", rows=3)
     got = values(out, "g")
     assert got[:3] == [None] * 3 and len(set(got[3:250])) == 1 and len(set(got[250:])) == 1
 
@@ -192,8 +192,8 @@ def test_latest_before_carries_over_blocks(spark):
 def test_nearest_prefers_the_earlier_on_a_tie(spark):
     left = series(spark, {"x": [0.0] * 9}, minutes=60)
     right = spark.createDataFrame([("A", at(2, 60), 1.0), ("A", at(6, 60), 2.0)], "zone string, ts timestamp, v double")
-    for block in (3600, 30 * 86400):
-        out = joins.nearest(left, right, ["v"], block_seconds=block)
+    for block in (2, 10**6):
+        out = joins.nearest(left, right, ["v"], rows=block)
         assert values(out, "v") == [1.0] * 5 + [2.0] * 4
 
 
@@ -209,7 +209,7 @@ def test_dedup_first_and_last(spark):
     assert pick("first") == {1: "a", 2: "b"} and pick("last") == {1: "c", 2: "b"}
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 17, 9000])
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 17, 333, 999, 1000, 1001, 2500, 9000])
 def test_exact_percentiles(spark, n):
     rng = np.random.default_rng(n)
     x = np.round(rng.exponential(10, n), 2)
