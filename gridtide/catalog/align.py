@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridtide.catalog import sql_parts as P
 from gridtide.catalog.core import query
+from gridtide.features.spot import ANCHOR_WEIGHTS
 from gridtide.operators import grid, windows
 from gridtide.operators.blocks import HOURLY, QUARTER
 from gridtide.plans import adapters as A
@@ -225,21 +226,17 @@ def ewm_span8(spark, sf):
     return windows.ewm(A.dense_imbalance(spark, sf), QUARTER, "imbl_price", "ewa", 8)
 
 
-# Weights of the same-hour price anchor by lag in hours.
-EWA_WEIGHTS = {24: 0.35, 48: 0.25, 72: 0.17, 96: 0.11, 120: 0.06, 144: 0.04, 168: 0.02}
-
-
 @query(
     "seasonal_ewa",
     "zone:s ts:t price_ewa:d",
     DPR
     + "SELECT zone, ts, "
-    + " + ".join(f"lag(price_eur_mwh, {n}) OVER w * {x}" for n, x in EWA_WEIGHTS.items())
+    + " + ".join(f"lag(price_eur_mwh, {n}) OVER w * {x}" for n, x in ANCHOR_WEIGHTS.items())
     + f" AS price_ewa FROM dpr WINDOW w AS ({BY})",
 )
 def seasonal_ewa(spark, sf):
     return windows.seasonal_mean(
-        A.dense_prices(spark, sf), HOURLY, "price_eur_mwh", EWA_WEIGHTS, "price_ewa"
+        A.dense_prices(spark, sf), HOURLY, "price_eur_mwh", ANCHOR_WEIGHTS, "price_ewa"
     )
 
 
