@@ -3,7 +3,9 @@
 Every tree gives each vector a string of ``BITS`` bits, the sides of random hyperplanes
 (orthonormal within a tree).  A tree is a sorted array of these strings.  A query descends
 by binary search to its longest matching prefixes; then all trees ascend together, one bit
-at a time, until the prefixes of that length hold ``candidates`` entries over all trees.
+at a time, until the prefixes of that length hold ``share`` of the entries of all trees, and
+``candidates`` at least.  So the prefix length at which a neighbour is met does not depend
+on the number of vectors, and recall does not fall as the table grows.
 Those candidates are compared with the query exactly, and the best of all trees are
 merged.
 
@@ -13,10 +15,11 @@ one more component that brings it to the largest norm; queries get zero there.
 On Spark: equal vectors are indexed once, with the smallest ids that can ever be wanted.
 Trees are cut into shards by their first bits, as many as the number of vectors asks for
 (``SHARD`` each), and a shard that is still larger (many vectors alike) is split by a hash;
-its queries go to every part.  So no task holds more than about ``SHARD`` vectors, and the
-work of a query does not grow with the table.  Two passes over the shards: the first only
-counts entries per prefix length, from strings alone, and fixes where the ascent ends.
-An ascent stops at the shard, so at most one shard per tree is searched.
+its queries go to every part.  So no task holds more than about ``SHARD`` vectors; the work
+of a query grows with the table, as its share does.  Two passes over the shards: the first
+only counts entries per prefix length, from strings alone, and fixes where the ascent ends.
+Prefixes shorter than a shard's are counted from the sizes of the shards, and a query whose
+ascent ends there goes to every shard below.
 
 Defined cases: vectors that are NULL, empty, of another length than most, zero, or hold
 NULL or non-finite components take no part, neither as query nor as candidate; ties in
@@ -36,7 +39,8 @@ from pyspark.sql import functions as F
 from gridtide.session import materialize
 
 TREES, BITS = 48, 32
-CANDIDATES = 24_000  # entries over all trees at which the ascent ends
+SHARE = 0.01  # of the entries of all trees, at which the ascent ends
+CANDIDATES = 24_000  # entries over all trees that it reaches at least
 SHARD = 1 << 16
 SEED = 7
 
@@ -95,6 +99,7 @@ def scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
 def nearest(
     table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
     trees: int = TREES, bits: int = BITS, candidates: int = CANDIDATES, shard: int = SHARD, seed: int = SEED,
+    share: float = SHARE,
 ) -> DataFrame:
     """For each row with ``is_query`` (a condition on the columns of ``table``): query_id,
     rank (from 1), the id and the score of the ``k`` nearest other rows found."""
@@ -120,6 +125,7 @@ def nearest(
     counted = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).first()
     top = counted["m"] or 0.0
     depth = min(bits, max(0, int(np.ceil(np.log2(max(counted["n"], 1) / shard)))))
+    enough = max(candidates, int(np.ceil(share * trees * counted["n"])))
     planes = hyperplanes(dimensions + 1, trees, bits, seed)
 
     def hashed(as_query: bool):
@@ -144,11 +150,14 @@ def nearest(
     distinct = asked.groupBy("v").agg(F.min("id").alias("key")).select("key", F.xxhash64("v").alias("h"), "v")
     entries, questions = in_trees(vectors, False), in_trees(distinct, True)
     parts = materialize(
-        entries.groupBy("tree", "shard").agg(F.ceil(F.count(F.lit(1)) / shard).alias("parts")), "shards"
+        entries.groupBy("tree", "shard").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / shard)), "shards"
     )
     at = ["tree", "shard", "part"]
-    placed = entries.join(parts, ["tree", "shard"]).withColumn("part", F.pmod("h", "parts"))
-    posed = questions.join(parts, ["tree", "shard"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    placed = entries.join(parts.drop("n"), ["tree", "shard"]).withColumn("part", F.pmod("h", "parts"))
+
+    def posed(to: DataFrame) -> DataFrame:
+        each = to.join(parts.drop("n"), ["tree", "shard"])
+        return each.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
 
     def count(left: pa.Table, right: pa.Table) -> pa.Table:
         array = np.sort(left.column("s").to_numpy())
@@ -159,12 +168,28 @@ def nearest(
         return pa.table({"key": right.column("key"), "counts": pa.array(found, pa.list_(pa.int64()))})
 
     counts = (
-        placed.select(*at, "s").groupBy(*at).cogroup(posed.select(*at, "key", "s").groupBy(*at))
+        placed.select(*at, "s").groupBy(*at).cogroup(posed(questions).select(*at, "key", "s").groupBy(*at))
         .applyInArrow(count, "key bigint, counts array<bigint>")
     )
+    if depth:
+        # Prefixes shorter than a shard's span several: their entries are those of the shards.
+        counts = counts.select("key", F.transform("counts", lambda n, i: F.when(i >= depth, n).otherwise(0)).alias("counts"))
+        length = F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("i")
+        prefix = F.expr(f"shiftright(shard, {depth} - i)").alias("prefix")
+        sizes = parts.select("tree", "shard", "n", length).select("tree", "i", prefix, "n")
+        sizes = sizes.groupBy("tree", "i", "prefix").agg(F.sum("n").alias("n"))
+        above = questions.select("key", "tree", "shard", length).select("key", "tree", "i", prefix).join(sizes, ["tree", "i", "prefix"])
+        counts = counts.unionByName(
+            above.select("key", F.expr(f"transform(sequence(0, {bits}), j -> if(j = i, n, 0L))").alias("counts"))
+        )
     total = counts.groupBy("key").agg(F.array(*[F.sum(F.col("counts")[i]) for i in range(bits + 1)]).alias("counts"))
-    enough = F.array_max(F.filter(F.sequence(F.lit(0), F.lit(bits)), lambda i: F.element_at("counts", i + 1) >= candidates))
-    level = materialize(total.select("key", F.coalesce(F.greatest(enough, F.lit(depth)), F.lit(depth)).alias("level")), "levels")
+    reached = F.array_max(F.filter(F.sequence(F.lit(0), F.lit(bits)), lambda i: F.element_at("counts", i + 1) >= enough))
+    level = materialize(total.select("key", F.coalesce(reached, F.lit(0)).alias("level")), "levels")
+    stopped = questions.join(level, "key")
+    if depth:
+        below = F.expr(f"cast(greatest({depth} - level, 0) as int)")
+        stopped = stopped.withColumn("below", below).withColumn("first", F.expr("shiftleft(shiftright(shard, below), below)"))
+        stopped = stopped.withColumn("shard", F.expr("explode(sequence(first, first + shiftleft(1L, below) - 1))"))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         order = np.argsort(left.column("s").to_numpy(), kind="stable")
@@ -185,7 +210,7 @@ def nearest(
 
     hits = (
         placed.select(*at, "key", "s", "v").groupBy(*at)
-        .cogroup(posed.join(level, "key").select(*at, "key", "s", "v", "level").groupBy(*at))
+        .cogroup(posed(stopped).select(*at, "key", "s", "v", "level").groupBy(*at))
         .applyInArrow(search, "key bigint, found bigint, score double")
         .groupBy("key", "found").agg(F.max("score").alias("score"))
     )

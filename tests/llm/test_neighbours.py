@@ -73,6 +73,23 @@ def test_recall_and_bounded_shards(spark, shard):
     assert recall >= (0.95 if shard > 100 else 0.8)
 
 
+def test_the_ascent_goes_past_the_shard(spark):
+    rows = rows_of(400)
+    got = collected(nearest(frame(spark, rows), F.col("vec_id") % 10 == 0, k=5, trees=4, candidates=10**9, shard=50))
+    assert got == brute(rows, lambda i: i % 10 == 0, 5)
+
+
+def test_recall_does_not_fall_as_the_table_grows(spark):
+    rng, recall = np.random.default_rng(3), []
+    for n in (1000, 16_000):
+        rows = [(i, [float(np.float32(c)) for c in v]) for i, v in enumerate(rng.normal(size=(n, 8)))]
+        asked = F.col("vec_id") % (n // 50) == 0
+        got = collected(nearest(frame(spark, rows), asked, k=10, trees=12, candidates=500, shard=1000, share=0.04))
+        want = brute(rows, lambda i, n=n: i % (n // 50) == 0, 10)
+        recall.append(np.mean([len({a for a, _ in got[i]} & {a for a, _ in want[i]}) / 10 for i in want]))
+    assert min(recall) >= 0.9 and recall[1] >= recall[0] - 0.03, recall
+
+
 def test_few_rows_and_no_rows(spark):
     rows = [(0, [1.0] * 8), (1, [2.0] * 8), (20, [1.0] * 8)]
     got = collected(nearest(frame(spark, rows), F.col("vec_id") % 20 == 0))
