@@ -9,9 +9,12 @@ differences over all windows of a text goes through a logistic calibration.
 
 What is bounded: the dictionaries learn from at most ``per_class`` labelled rows of each
 class and the calibration from at most ``calibration`` labelled rows, chosen by a hash of
-their id, and training reads at most ``train_chars`` characters of each.  Scoring reads
-every window of every text, where the row lies, without a shuffle; the model that is
-broadcast has a fixed size (about 40 KB).
+their id.  The calibration measures whole texts, in tasks.  The driver gets the texts of
+the first whole as long as they have ``train_bytes`` together; beyond that the longest are
+thinned to runs of words from all their parts.  Of ordinary text the dictionary trainer
+takes lines drawn from all parts of all texts, ``LINE_BYTES`` together.  Scoring reads every
+window of every text, where the row lies, without a shuffle; the model that is broadcast
+has a fixed size (about 40 KB).
 
 Defined cases: NULL text is empty; texts without words get the calibrated score of no
 windows; labels that are NULL, or whose document or text is missing, teach nothing; with
@@ -35,6 +38,8 @@ from pyspark.sql.functions import pandas_udf
 
 WINDOW = 3  # words
 BASE_BYTES, OWN_BYTES = 16_384, 2_048
+RUN = 200  # words of a line of ordinary text, and of a run of a thinned text
+LINE_BYTES = 4_000_000  # of ordinary lines that the dictionary trainer takes
 STEPS = (1, 2, 3, 4, 5, 6, 8, 10)  # bytes saved by the toxic dictionary
 LOSSES = (1, 2, 4, 6)
 #: Every window starts with it, and so do both dictionaries: a block always compresses.
@@ -83,6 +88,39 @@ def _dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
+def _lines(texts: list[list[bytes]], size: int | None = None) -> list[bytes]:
+    """Runs of words of all parts of all texts; beyond ``size`` bytes a random choice of them."""
+    size = LINE_BYTES if size is None else size
+    lines = [b" " + b" ".join(w[i : i + RUN]) + b" " for w in texts for i in range(0, max(len(w), 1), RUN)]
+    random.Random(1).shuffle(lines)
+    total = 0
+    for n, line in enumerate(lines):
+        total += len(line)
+        if total > size and n:
+            return lines[:n]
+    return lines
+
+
+def thinned(text: bytes, size: int) -> bytes:
+    """The text, or about ``size`` bytes of it in runs of words spread evenly over it."""
+    if len(text) <= size:
+        return text
+    words = text.split()
+    runs = [b" ".join(words[i : i + RUN]) for i in range(0, len(words), RUN)]
+    n = max(1, len(runs) * size // len(text))
+    return b"\n".join(runs[(2 * i + 1) * len(runs) // (2 * n)] for i in range(n))
+
+
+def _bound(lengths: list[int], total: int) -> int:
+    """The largest length such that texts cut to it have at most ``total`` together."""
+    left = total
+    for i, n in enumerate(sorted(lengths)):
+        if n * (len(lengths) - i) > left:
+            return left // (len(lengths) - i)
+        left -= n
+    return max(lengths, default=0)
+
+
 @dataclass(frozen=True)
 class Dictionaries:
     ordinary: bytes
@@ -96,7 +134,7 @@ class Dictionaries:
         chosen = _telling(_contexts(bad), _contexts(good), ratio, evidence)
         samples = [b" " + w + b" " for words in bad for w in words if not chosen.isdisjoint(_stems(w))]
         random.Random(1).shuffle(samples)
-        lines = [b" " + b" ".join(w[:200]) + b" " for w in good]
+        lines = _lines(good)
         half = (len(lines) + 1) // 2
         base = _dictionary(lines[:half], BASE_BYTES, 64)
         return cls(
@@ -183,21 +221,27 @@ def _sample(labels: DataFrame, n: int) -> DataFrame:
 
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    per_class: int = 2_500, calibration: int = 6_000, train_chars: int = 20_000,
+    per_class: int = 2_500, calibration: int = 6_000, train_bytes: int = 32_000_000,
 ) -> Model:
     """Fit on labelled rows that are not held out."""
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label"))
     known = known.where(known["id"].isNotNull() & known["label"].isin(0, 1) & ~held_out(F.col("id")))
     known = known.groupBy("id").agg(F.max("label").alias("label"))
-    texts = docs.select(
-        F.col(f"`{id_col}`").alias("id"), F.substring(F.col(f"`{text_col}`"), 1, train_chars).cast("binary").alias("text")
-    ).where("text is not null")
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text")).where("text is not null")
 
     def with_text(rows: DataFrame) -> DataFrame:
         return texts.join(F.broadcast(rows), "id")  # a sample of bounded size
 
     classes = {k: _sample(known.where(F.col("label") == k), per_class) for k in (1, 0)}
-    taught = with_text(classes[1].unionByName(classes[0])).orderBy("id", "text").collect()
+    teaching = with_text(classes[1].unionByName(classes[0]))
+    bound = _bound([r.n for r in teaching.select(F.octet_length("text").alias("n")).collect()], train_bytes)
+
+    @pandas_udf("binary")
+    def sent(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield pd.Series([thinned(t, bound) for t in b])
+
+    taught = teaching.select("id", "label", sent("text").alias("text")).orderBy("id", "text").collect()
     by_class = {k: [bytes(r.text) for r in taught if r.label == k] for k in (1, 0)}
     if not by_class[1] or not by_class[0]:
         return _constant(len(by_class[1]), len(by_class[0]))

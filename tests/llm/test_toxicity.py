@@ -78,3 +78,23 @@ def test_whole_text_counts():
     words = b"quiet other words " * 50
     assert counter.features(words)[0] == pytest.approx(np.log(50))
     assert counter.features(None)[0] == 0
+
+
+def test_training_reads_whole_texts(spark, monkeypatch):
+    rows = [(i, "calm words of no harm " * 900 + t) for i, t, _ in corpus(200)]  # what tells lies past 20,000 characters
+    labels = spark.createDataFrame([(i, y) for i, _, y in corpus(200)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(m.Dictionaries, "train", classmethod(lambda cls, bad, good, **_: seen.extend([bad, good]) or cls(b"a" * 9, b"b" * 9)))
+    fitted = m.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert all(any(w.encode() in t for w in BAD) for t in seen[0]) and seen[1]
+    assert fitted.mean[0] > np.log(900 * 5 / 3)
+
+
+def test_ordinary_lines_come_from_all_parts_and_long_texts_are_thinned_evenly():
+    text = [b"w%d" % i for i in range(5000)]
+    assert sorted(w for line in m._lines([text]) for w in line.split()) == sorted(text)
+    assert 5_000 < sum(map(len, m._lines([text], 10_000))) <= 10_000
+    places = [int(w[1:]) for w in m.thinned(b" ".join(text), 10_000).split()]
+    assert places == sorted(places) and places[0] < 1000 and places[-1] > 4000
+    assert m.thinned(b"a b", 3) == b"a b"
+    assert m._bound([1, 10, 100], 200) == 100 and m._bound([1, 10, 100], 31) == 20
