@@ -36,7 +36,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-WINDOW = 3  # words
+WINDOW = 3  # words of a window where a caller names no other; ``train`` takes two
+CACHE = 1 << 17  # windows whose difference a worker remembers
 BASE_BYTES, OWN_BYTES = 16_384, 2_048
 RUN = 200  # words of a line of ordinary text, and of a run of a thinned text
 LINE_BYTES = 4_000_000  # of ordinary lines that the dictionary trainer takes
@@ -125,10 +126,11 @@ def _bound(lengths: list[int], total: int) -> int:
 class Dictionaries:
     ordinary: bytes
     toxic: bytes
+    window: int = WINDOW
 
     @classmethod
     def train(
-        cls, toxic: list[bytes], ordinary: list[bytes], ratio: float = 3, evidence: float = 15
+        cls, toxic: list[bytes], ordinary: list[bytes], ratio: float = 3, evidence: float = 15, window: int = WINDOW
     ) -> Dictionaries:
         bad, good = [words_of(t) for t in toxic], [words_of(t) for t in ordinary]
         chosen = _telling(_contexts(bad), _contexts(good), ratio, evidence)
@@ -140,10 +142,11 @@ class Dictionaries:
         return cls(
             base + _dictionary(lines[half:] or lines, OWN_BYTES, 24) + ANCHOR,
             base + _dictionary([s * 3 for s in samples], OWN_BYTES, 20) + ANCHOR,
+            window,
         )
 
     def differences(self) -> DifferenceCounter:
-        return DifferenceCounter(_compressor(self.ordinary), _compressor(self.toxic))
+        return DifferenceCounter(_compressor(self.ordinary), _compressor(self.toxic), self.window)
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -157,16 +160,27 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
 
 
 class DifferenceCounter:
-    def __init__(self, ordinary: zstandard.ZstdCompressor, toxic: zstandard.ZstdCompressor):
+    def __init__(self, ordinary: zstandard.ZstdCompressor, toxic: zstandard.ZstdCompressor, window: int = WINDOW):
         self.ordinary, self.toxic = ordinary.compress, toxic.compress
+        self.window = window
+        self.known: dict[bytes, int] = {}
+
+    def difference(self, words: bytes) -> int:
+        """Bytes that the toxic dictionary saves on a window."""
+        found = self.known.get(words)
+        if found is None:
+            if len(self.known) >= CACHE:
+                self.known.clear()
+            window = b"%b %b " % (ANCHOR, words)
+            found = self.known[words] = len(self.ordinary(window)) - len(self.toxic(window))
+        return found
 
     def features(self, text: bytes | None) -> np.ndarray:
         """Windows, mean saving, and windows by saving, as shares and as logarithms."""
         words = words_of(text or b"")
         counts: Counter = Counter()
-        for i in range(0, len(words), WINDOW):
-            window = b"%b %b " % (ANCHOR, b" ".join(words[i : i + WINDOW]))
-            counts[len(self.ordinary(window)) - len(self.toxic(window))] += 1
+        for i in range(0, len(words), self.window):
+            counts[self.difference(b" ".join(words[i : i + self.window]))] += 1
         n = sum(counts.values())
         at = [sum(c for g, c in counts.items() if g >= k) for k in STEPS]
         at += [sum(c for g, c in counts.items() if g <= -k) for k in LOSSES]
@@ -221,7 +235,7 @@ def _sample(labels: DataFrame, n: int) -> DataFrame:
 
 def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    per_class: int = 2_500, calibration: int = 6_000, train_bytes: int = 32_000_000,
+    per_class: int = 2_500, calibration: int = 6_000, train_bytes: int = 32_000_000, window: int = 2,
 ) -> Model:
     """Fit on labelled rows that are not held out."""
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label"))
@@ -245,7 +259,7 @@ def train(
     by_class = {k: [bytes(r.text) for r in taught if r.label == k] for k in (1, 0)}
     if not by_class[1] or not by_class[0]:
         return _constant(len(by_class[1]), len(by_class[0]))
-    dictionaries = Dictionaries.train(by_class[1], by_class[0])
+    dictionaries = Dictionaries.train(by_class[1], by_class[0], window=window)
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     @pandas_udf("array<double>")

@@ -98,3 +98,15 @@ def test_ordinary_lines_come_from_all_parts_and_long_texts_are_thinned_evenly():
     assert places == sorted(places) and places[0] < 1000 and places[-1] > 4000
     assert m.thinned(b"a b", 3) == b"a b"
     assert m._bound([1, 10, 100], 200) == 100 and m._bound([1, 10, 100], 31) == 20
+
+
+def test_windows_of_two_words_and_a_bounded_memory_of_them(model, monkeypatch):
+    assert model[3].dictionaries.differences().features(b"a b c d")[0] == np.log(2)
+    texts = [t.encode() for _, t, _ in corpus(60)]
+    dictionaries = m.Dictionaries.train(texts[::5], texts[1::5], window=2)
+    kept = dictionaries.differences()
+    want = [kept.features(t) for t in texts]
+    assert kept.features(b"a b c d")[0] == np.log(2)
+    monkeypatch.setattr(m, "CACHE", 10)
+    few = dictionaries.differences()
+    assert all((few.features(t) == w).all() for t, w in zip(texts, want)) and len(few.known) <= 10
