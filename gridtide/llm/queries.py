@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from gridtide.llm import licenses, packing
 from gridtide.llm.chat import format_turns, read_back
+from gridtide.llm.curriculum import cycled, measured, mix, sources_of, taken
 from gridtide.llm.exact_dedup import exact_duplicates
+from gridtide.llm.manifest import Manifest, digest_of, verified
+from gridtide.llm.negatives import hard_negatives
 from gridtide.llm.neighbours import nearest
 from gridtide.llm.pii import pseudonymise
 from gridtide.llm.sentencepiece import Pieces, decode, encode
@@ -166,3 +169,132 @@ SELECT conv_id, count(*) AS n_turns,
     + (len(regexp_extract_all(role, '<\\\\*\\|')) + len(regexp_extract_all(text, '<\\\\*\\|'))))::BIGINT AS formatted_chars
 FROM t GROUP BY conv_id
 """
+
+
+@register
+def op11_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of weight 5 fade to a third of their first rate, those of weight 1 grow threefold."""
+    rows = measured(table(spark, sf_dir, "documents"))
+    sources = cycled(sources_of(rows), (5, 2, 1), ((1.5, 0.5), (1, 1), (0.5, 1.5)))
+    return taken(mix(rows, sources))
+
+
+ORACLES["op11_curriculum"] = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w
+  FROM d GROUP BY source
+), water AS (
+  SELECT max((sum_all - held)::DOUBLE / (w_all - w_held)) AS level FROM (
+    SELECT sum(source_size) OVER () AS sum_all, sum(w) OVER () AS w_all,
+      coalesce(sum(3 * source_size) OVER up, 0) AS held, coalesce(sum(w) OVER up, 0) AS w_held
+    FROM s WINDOW up AS (ORDER BY 3 * source_size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+), t AS (
+  SELECT source, source_size, least(3 * source_size::DOUBLE, level * w) AS target FROM s, water
+), p AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS n_full FROM t
+), placed AS (
+  SELECT d.*, source_size, target, n_full, md5(coalesce(doc_id::VARCHAR, '') || ':' || size) AS key, target - n_full * source_size AS rest,
+    sum(size) OVER (PARTITION BY p.source ORDER BY md5(coalesce(doc_id::VARCHAR, '') || ':' || size), size
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size + size / 2 AS middle
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+), marked AS (
+  SELECT *, middle < rest AND size > 0 AS again FROM placed
+), short AS (
+  SELECT *, rest - coalesce(sum(size) FILTER (again) OVER (PARTITION BY source), 0) AS gap FROM marked
+), ordered AS (
+  SELECT *, again = (gap < 0) AND size > 0 AND abs(abs(gap) - size) < abs(gap) AS helps FROM short
+), mended AS (
+  SELECT *, helps AND row_number() OVER (PARTITION BY source, helps ORDER BY abs(abs(gap) - size), key, size) = 1 AS mend FROM ordered
+)
+SELECT doc_id, size, source_size, target, CASE WHEN size > 0 THEN size * (n_full + (again <> mend)::BIGINT) ELSE 0 END::BIGINT AS taken FROM mended
+"""
+
+
+@register
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents against a copy in which some lost their line ends."""
+    docs = table(spark, sf_dir, "documents")
+    head, text = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], F.col("text")
+    leaf = digest_of([*head, text])
+    lost = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0) & text.contains("\n")
+    seen = F.when(lost, digest_of([*head, F.replace(text, F.lit("\n"), F.lit(""))])).otherwise(leaf)
+    return verified(Manifest(docs, leaf, seen=seen))
+
+
+def _leaf_sql(text: str) -> str:
+    fields = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return "sha256(" + " || ".join(f"CASE WHEN {f} IS NULL THEN '-' ELSE strlen({f}) || ':' || {f} END" for f in fields) + ")"
+
+
+ORACLES["op12_manifest"] = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, source, {_leaf_sql("text")} AS leaf, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos,
+    dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+    CASE WHEN list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+        lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0],
+          lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) & 1 = 1
+      THEN {_leaf_sql("replace(text, chr(10), '')")} ELSE {_leaf_sql("text")} END AS seen
+  FROM documents
+), nodes AS (
+  SELECT tree, 0 AS level, pos, leaf AS h FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos))
+  FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM nodes) WHERE n > 1 GROUP BY tree, level, pos // 3
+), subroots AS (
+  SELECT tree, max_by(h, level) AS subroot, max(level) AS height FROM nodes GROUP BY tree
+), top AS (
+  SELECT 0 AS level, tree AS pos, subroot AS h FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos))
+  FROM (SELECT *, count(*) OVER () AS n FROM top) WHERE n > 1 GROUP BY level, pos // 3
+), every AS (
+  SELECT tree, level, pos, h, height FROM nodes JOIN subroots USING (tree) WHERE level < height
+  UNION ALL
+  SELECT s.tree, t.level + s.height, t.pos, t.h, s.height FROM subroots s, top t WHERE t.level < (SELECT max(level) FROM top)
+), beside AS (
+  SELECT l.doc_id, e.level, e.h, e.pos,
+    CASE WHEN e.level < e.height THEN l.pos // (3 ** e.level)::BIGINT ELSE l.tree // (3 ** (e.level - e.height))::BIGINT END AS own
+  FROM leaves l JOIN every e USING (tree)
+), siblings AS (
+  SELECT doc_id, level, coalesce(string_agg(h, '' ORDER BY pos) FILTER (pos < own), '') AS l,
+    coalesce(string_agg(h, '' ORDER BY pos) FILTER (pos > own), '') AS r
+  FROM beside WHERE pos // 3 = own // 3 GROUP BY doc_id, level
+), folded AS (
+  SELECT doc_id, list_reduce(list_prepend(struct_pack(l := seen, r := ''), coalesce(path, [])),
+    lambda x, y: struct_pack(l := sha256(y.l || x.l || y.r), r := '')).l AS folded_root, coalesce(proof, '') AS proof
+  FROM leaves LEFT JOIN (
+    SELECT doc_id, list(struct_pack(l := l, r := r) ORDER BY level) AS path, string_agg(l || r, '' ORDER BY level) AS proof
+    FROM siblings GROUP BY doc_id) USING (doc_id)
+)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves JOIN subroots USING (tree) JOIN folded USING (doc_id), (SELECT max_by(h, level) AS root FROM top)
+"""
+
+
+@register
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=label)
+
+
+ORACLES["op13_hard_negatives"] = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER w AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)
+QUALIFY row_number() OVER w <= 10
+"""
