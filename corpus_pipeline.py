@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridtide.llm.exact_dedup import drop_copies
-from gridtide.llm.near_copies import drop_near_copies
 from gridtide.llm.packing import packed, words
 from gridtide.llm.pii import pseudonymise
+from gridtide.llm.simhash import drop_near_copies
 from gridtide.llm.toxicity import drop_toxic
 from gridtide.session import materialize
 
@@ -31,7 +31,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by 0.8 or more of their five-word shingles."""
+    """One document of each group that links of fingerprints (three-word shingles, at most
+    two bits apart) connect."""
     return drop_near_copies(docs)
 
 
