@@ -7,11 +7,12 @@ bit (pigeonhole).  So each fingerprint gets, per pair, the keys (pair, leading s
 index of a codeword near the other segment): up to 18 keys of 34 bits, and linked
 fingerprints share one.  Fingerprints that share a key are joined and verified.
 
-Only distinct fingerprints take part, so exact copies cost nothing.  A key that more than
-``CROWD`` distinct fingerprints share is not expanded into pairs: its members are linked
-through the words one bit away from them (65 each; two words share such a midpoint
-exactly when they differ in at most two bits), which is exact, linear, and has at most 65
-members a midpoint.
+Only distinct fingerprints take part, so exact copies cost nothing.  Pairs are verified
+where the members of a key lie together, and only the links of a spanning tree leave the
+task: fewer than members.  Of a key that more than ``CROWD`` distinct fingerprints share,
+no task gets all members: they are linked through the words one bit away from them (65
+each; two words share such a midpoint exactly when they differ in at most two bits),
+which is exact, linear, and has at most 65 members a midpoint.
 
 Defined cases: NULL text is empty; texts without words have fingerprint zero and are
 linked like any other; texts of fewer words than a shingle are one shingle; repeated
@@ -26,6 +27,7 @@ from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -37,7 +39,8 @@ from gridtide.session import materialize
 WORDS = 3
 SEED = 42
 CHUNK = 1 << 16  # hashes whose bits are counted at once
-CROWD = 32  # distinct fingerprints of a key that are still compared pair by pair
+CROWD = 32  # distinct fingerprints of a key that one task compares
+ALL = (1 << 64) - 1
 SHIFTS, WIDTHS = (0, 21, 42), (21, 21, 22)
 PAIRS = ((0, 1), (1, 2), (2, 0))
 
@@ -93,6 +96,23 @@ def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"key": keys, "fp": fps[owners]})
 
 
+def _spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of at most two bits that connect what such links connect in each group."""
+    for batch in batches:
+        found: list[tuple[int, int]] = []
+        for group in batch.column("fps").to_pylist():
+            rest = sorted(group)
+            while rest:
+                reached = [rest.pop()]
+                for x in reached:
+                    near = [y for y in rest if ((x ^ y) & ALL).bit_count() <= 2]
+                    reached += near
+                    found += [(min(x, y), max(x, y)) for y in near]
+                    rest = [y for y in rest if y not in near]
+        a, b = zip(*found) if found else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
 def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp) whose components are those
     of all links of at most two bits."""
@@ -105,9 +125,8 @@ def links(fps: DataFrame) -> DataFrame:
     )
     members = keyed.join(shared.where("n > 2").select("key", "n"), "key")
     few = members.where(F.col("n") <= CROWD).groupBy("key").agg(F.collect_set("fp").alias("fps"))
-    pairs = few.select(F.explode("fps").alias("a"), "fps").select("a", F.explode("fps").alias("b")).where("a < b")
-    candidates = shared.where("n = 2").select("a", "b").unionByName(pairs)
-    verified = candidates.where("bit_count(a ^ b) <= 2")
+    pairs = shared.where("n = 2 and bit_count(a ^ b) <= 2").select("a", "b")
+    verified = pairs.unionByName(few.select("fps").mapInArrow(_spanning, "a bigint, b bigint"))
     crowded = members.where(F.col("n") > CROWD).select("fp").distinct()
     middles = crowded.select(
         "fp", F.expr("explode(concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))) AS middle")
