@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gridtide.catalog import sql_parts as P
 from gridtide.catalog.align import BY, IMB
 from gridtide.catalog.core import query
+from gridtide.features import imbalance as fi
 from gridtide.features.imbalance import imbalance_features
 from gridtide.features.spot import ANCHOR_WEIGHTS, spot_features
 from gridtide.functions import calendar as cal
@@ -218,20 +219,46 @@ ffl AS (SELECT g.zone, g.ts, """ + ", ".join(
     for c in [*FLOW, "net_position_mw"]
 ) + " FROM ff_grid g LEFT JOIN nfl n ON g.zone = n.zone AND g.ts = n.ts)"
 
+MESAN = ["mesan_wind_speed", "mesan_temperature", "mesan_cloud_fraction", "mesan_wind_gust"]
+LIVE = ["fcst_wind_10m", "fcst_temperature", "fcst_cloud_cover", "fcst_wind_gust", "fcst_precip_prob", "fcst_thunderstorm_prob"]
+UNITS = ["nuclear_unavail_mw", "nuclear_unplanned_mw", "nuclear_outage_flag"]
+GEN_FORECAST = ["wind_gen_forecast_mw", "solar_gen_forecast_mw"]
+
+_BOTH = [c for c in WF if c in LIVE]  # the live forecast stands in where the first has none
 MASTER = P.with_parts(
     P.EVENTS, P.IMBALANCE, P.DENSE_IMBALANCE, P.WEATHER, P.WEATHER_FORECAST, P.PRICES, P.FLOWS,
-    WIDE_FLOWS, FILLED_FLOWS,
+    WIDE_FLOWS, FILLED_FLOWS, P.ANALYSIS, P.LIVE_FORECAST, P.GENERATION_FORECAST, P.UNIT_OUTAGES,
+    "spot AS (SELECT zone, ts, price_eur_mwh AS spot_price FROM pr)",
+    upsample_sql("wx15", "wx", WX),
+    upsample_sql("wf15", "wf", WF),
+    upsample_sql("sp15", "spot", ["spot_price"]),
+    upsample_sql("fl15", "ffl", [*FLOW, "net_position_mw"]),
+    upsample_sql("an15", "an", MESAN),
+    upsample_sql("lv15", "lv", LIVE),
+    f"""lvn AS (SELECT zone, ts, {", ".join(f"{c} AS l_{c}" if c in _BOTH else c for c in LIVE)} FROM lv15),
+    mf AS (SELECT * EXCLUDE ({", ".join([*_BOTH, *(f"l_{c}" for c in _BOTH)])}),
+      {", ".join(f"coalesce({c}, l_{c}) AS {c}" for c in _BOTH)}
+      FROM dimb LEFT JOIN wx15 USING (zone, ts) LEFT JOIN wf15 USING (zone, ts)
+      LEFT JOIN sp15 USING (zone, ts) LEFT JOIN fl15 USING (zone, ts) LEFT JOIN an15 USING (zone, ts)
+      LEFT JOIN lvn USING (zone, ts) LEFT JOIN gf USING (zone, ts) LEFT JOIN nu USING (zone, ts))""",
+)
+
+
+# The first four sources alone; the columns of the others are there and empty.
+MASTER_FOUR = P.with_parts(
+    P.EVENTS, P.IMBALANCE, P.DENSE_IMBALANCE, P.WEATHER, P.WEATHER_FORECAST, P.PRICES, P.FLOWS, WIDE_FLOWS, FILLED_FLOWS,
     "spot AS (SELECT zone, ts, price_eur_mwh AS spot_price FROM pr)",
     upsample_sql("wx15", "wx", WX),
     upsample_sql("wf15", "wf", WF),
     upsample_sql("sp15", "spot", ["spot_price"]),
     upsample_sql("fl15", "ffl", [*FLOW, "net_position_mw"]),
-    """mf AS (SELECT * FROM dimb LEFT JOIN wx15 USING (zone, ts) LEFT JOIN wf15 USING (zone, ts)
+    f"""mf AS (SELECT *, {", ".join(f"CAST(NULL AS DOUBLE) AS {c}" for c in [*MESAN, *GEN_FORECAST, *UNITS, *[c for c in LIVE if c not in WF]])}
+      FROM dimb LEFT JOIN wx15 USING (zone, ts) LEFT JOIN wf15 USING (zone, ts)
       LEFT JOIN sp15 USING (zone, ts) LEFT JOIN fl15 USING (zone, ts))""",
 )
 
 
-def master_sources(spark, sf):
+def four_sources(spark, sf):
     return {
         "weather": A.weather(spark, sf),
         "weather_forecast": A.weather_forecast(spark, sf),
@@ -240,13 +267,25 @@ def master_sources(spark, sf):
     }
 
 
+def master_sources(spark, sf):
+    return four_sources(spark, sf) | {
+        "analysis": A.analysis(spark, sf),
+        "generation_forecast": feeds.generation_forecast(A.generation_rows(spark, sf), "2024-01-01", "2024-01-31"),
+        "nuclear": feeds.nuclear_outages(A.unit_outages(spark, sf), "2024-01-01", "2024-01-31"),
+    }
+
+
 def master_of(spark, sf):
-    return master.master_frame(A.imbalance(spark, sf), master_sources(spark, sf))
+    # Two of the sources lie on the quarter-hour grid already.
+    return master.master_frame(
+        A.imbalance(spark, sf), master_sources(spark, sf), limits={"generation_forecast": 0, "nuclear": 0},
+        live=A.live_forecast(spark, sf),
+    )
 
 
-MASTER_COLUMNS = "zone:s ts:t imbl_price:d direction:i spot_price:d net_position_mw:d " + " ".join(
-    f"{c}:d" for c in [*WX, *WF, *FLOW]
-)
+MASTER_COLUMNS = "zone:s ts:t imbl_price:d direction:i imbl_spot_diff:d up_reg_price:d down_reg_price:d " + " ".join(
+    f"{c}:d" for c in ["spot_price", "net_position_mw", *WX, *WF, *FLOW, *MESAN, *[c for c in LIVE if c not in WF], *GEN_FORECAST, *UNITS[:2]]
+) + " nuclear_outage_flag:i"
 
 
 @query("master_frame", MASTER_COLUMNS, MASTER + "SELECT * FROM mf")
@@ -259,42 +298,69 @@ def _roll(c: str, n: int, fn: str, m: int | None = None) -> str:
     return f"CASE WHEN count({c}) OVER {w} >= {m or n} THEN {fn}({c}) OVER {w} END"
 
 
-_MATRIX_SQL = MASTER + f""",
-f0 AS (SELECT *, lag(imbl_price, 1) OVER w AS p1, lag(imbl_price, 16) OVER w AS p16,
-  lag(imbl_price, 17) OVER w AS p17, lag(direction, 1) OVER w AS d1, lag(direction, 2) OVER w AS d2,
-  lag(up_reg_price - down_reg_price, 1) OVER w AS reg_spread,
-  lag(windspeed_100m, 1) OVER w - lag(fcst_wind_100m, 1) OVER w AS wind_forecast_surprise,
-  lag(fcst_temperature, 1) OVER w AS fcst_temperature_lag1,
-  lag(flow_se4_mw, 4) OVER w AS flow_se4_mw_lag4, lag(net_position_mw, 4) OVER w AS net_pos_lag4,
-  lead(imbl_price, 1) OVER w AS target_price,
-  lead(CASE WHEN imbl_price > 1000 OR imbl_price < -500 THEN 2
-       WHEN imbl_price > 200 OR imbl_price < -100 THEN 1 ELSE 0 END, 1) OVER w AS target_class,
-  row_number() OVER w AS rn, {_roll('windspeed_100m', 672, 'avg', 48)} AS wind_7d_mean
-  FROM mf WINDOW w AS ({BY})),
+_LAGGED = {
+    **{f"p{n}": ("imbl_price", n) for n in (1, 2, 4, 5, 8, 16, 17)}, **{f"d{n}": ("direction", n) for n in (1, 2, 4, 8)},
+    "imbl_spot_diff_lag1": ("imbl_spot_diff", 1), "spot_price_lag1": ("spot_price", 1), "cloudcover_lag1": ("cloudcover", 1),
+    **{f"{c}_lag1": (c, 1) for c in LIVE if c != "fcst_thunderstorm_prob"},
+    "fcst_thunderstorm_lag1": ("fcst_thunderstorm_prob", 1), "mesan_wind_lag1": ("mesan_wind_speed", 1),
+    "mesan_cloud_lag1": ("mesan_cloud_fraction", 1), "nuclear_unavail_lag1": ("nuclear_unavail_mw", 1),
+    "unavail5": ("nuclear_unavail_mw", 5), "nuclear_unplanned_lag1": ("nuclear_unplanned_mw", 1),
+    "nuclear_outage_flag_lag1": ("nuclear_outage_flag", 1), "wind_gen_forecast_lag4": ("wind_gen_forecast_mw", 4),
+    "solar_gen_forecast_lag4": ("solar_gen_forecast_mw", 4), "gen96": ("wind_gen_forecast_mw", 96), "w96": ("windspeed_100m", 96),
+    "w1": ("windspeed_100m", 1), "fw1": ("fcst_wind_100m", 1), "net_pos_lag4": ("net_position_mw", 4),
+    **{f"{c}_lag4": (c, 4) for c in FLOW},
+}
+_CLASS = "CASE WHEN {0} > 1000 OR {0} < -500 THEN 2 WHEN {0} > 200 OR {0} < -100 THEN 1 ELSE 0 END".format("imbl_price")
+# The exponential mean at a value: what the newest 150 values weigh (older ones: 1e-16).
+_EWM_SQL = f"""
+ew0 AS (SELECT zone, ts, rn, imbl_price AS x, rn - lag(rn) OVER ({BY}) AS gap FROM numbered WHERE imbl_price IS NOT NULL),
+ew1 AS (SELECT *, CASE WHEN gap IS NULL THEN 0 ELSE pow(7 / 9.0, gap) / (pow(7 / 9.0, gap) + 2 / 9.0) END AS d FROM ew0),
+ew2 AS (SELECT *, sum(CASE WHEN gap IS NULL THEN 0 ELSE ln(d) END) OVER ({BY} ROWS UNBOUNDED PRECEDING) AS dd FROM ew1),
+ew3 AS (SELECT *, list(struct_pack(g := (1 - d) * x, dd := dd)) OVER ({BY} ROWS 149 PRECEDING) AS l FROM ew2),
+ew AS (SELECT zone, ts, list_sum(list_transform(l, lambda e: e.g * exp(dd - e.dd))) AS y FROM ew3)"""
+_MATRIX_SQL = f""",
+numbered AS (SELECT *, row_number() OVER ({BY}) AS rn FROM mf),{_EWM_SQL},
+fe AS (SELECT m.*, last_value(y IGNORE NULLS) OVER (PARTITION BY m.zone ORDER BY m.ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS imbl_ewa
+  FROM numbered m LEFT JOIN ew ON m.zone = ew.zone AND m.ts = ew.ts),
+f0 AS (SELECT *, {", ".join(f"lag({c}, {n}) OVER w AS {name}" for name, (c, n) in _LAGGED.items())},
+  lag(up_reg_price - down_reg_price, 1) OVER w AS reg_spread, lead(imbl_price, 1) OVER w AS target_price,
+  lead({_CLASS}, 1) OVER w AS target_class, {_CLASS} AS spike_class, {_roll('windspeed_100m', 672, 'avg', 48)} AS wind_7d_mean
+  FROM fe WINDOW w AS ({BY})),
 f1 AS (SELECT *, CASE WHEN d1 = d2 THEN 0 ELSE 1 END AS flip, CASE WHEN abs(p1) > 200 THEN 1 ELSE 0 END AS s,
-  {_roll('p1', 4, 'avg')} AS m4, {_roll('p1', 4, 'stddev_samp')} AS s4,
-  {_roll('p1', 16, 'max')} AS imbl_roll_4h_max, {_roll('p1', 96, 'avg')} AS imbl_roll_1d_mean,
-  {_roll('reg_spread', 16, 'avg')} AS reg_spread_roll_4h,
+  {", ".join(f"{_roll('p1', n, fn)} AS {name}{n}" for n in (4, 16) for fn, name in (('avg', 'm'), ('stddev_samp', 's'), ('max', 'hi'), ('min', 'lo')))},
+  {_roll('p1', 96, 'avg')} AS imbl_roll_1d_mean,
+  {_roll('reg_spread', 4, 'avg')} AS reg_spread_roll_1h, {_roll('reg_spread', 16, 'avg')} AS reg_spread_roll_4h,
   {_roll('net_pos_lag4', 96, 'avg', 12)} AS net_pos_roll1d FROM f0),
 f2 AS (SELECT *, lag(s4) OVER ({BY}) AS s4_lag,
   CASE WHEN s = lag(s) OVER ({BY}) THEN 0 ELSE 1 END AS schg,
-  CASE WHEN rn >= 96 THEN sum(flip) OVER ({BY} ROWS 95 PRECEDING) END AS dir_flip_rate_1d,
+  {", ".join(f"CASE WHEN rn >= {n} THEN sum(flip) OVER ({BY} ROWS {n - 1} PRECEDING) END AS dir_flip_rate_{name}" for name, n in (('1h', 4), ('4h', 16), ('1d', 96)))},
   max(CASE WHEN flip = 1 THEN rn END) OVER ({BY} ROWS UNBOUNDED PRECEDING) AS flip_at,
   max(CASE WHEN s = 1 THEN rn END) OVER ({BY} ROWS UNBOUNDED PRECEDING) AS stress_at FROM f1),
 f3 AS (SELECT *, max(CASE WHEN schg = 1 THEN rn END) OVER ({BY} ROWS UNBOUNDED PRECEDING) AS schg_at FROM f2),
-{calendar_sql('f3', 96)}
-SELECT *, p1 AS imbl_lag_1, p16 AS imbl_lag_4h, m4 AS imbl_roll_1h_mean, s4 AS imbl_roll_1h_std,
-  (p1 - m4) / (s4 + 1e-6) AS price_zscore_1h,
-  CASE WHEN 200 - p1 > 200 THEN 200 ELSE 200 - p1 END AS stress_proximity_up,
-  CASE WHEN p1 + 100 > 100 THEN 100 ELSE p1 + 100 END AS stress_proximity_down,
+{calendar_sql('f3', 96)},
+g0 AS (SELECT *, greatest(15 - temperature, 0) AS heating0, CASE WHEN 200 - p1 > 200 THEN 200 ELSE 200 - p1 END AS stress_proximity_up,
+  CASE WHEN p1 + 100 > 100 THEN 100 ELSE p1 + 100 END AS stress_proximity_down, windspeed_100m - wind_7d_mean AS wind_surprise,
+  rn - flip_at + 1 AS dir_streak FROM cal)
+SELECT *, {", ".join(f"p{n} AS imbl_lag_{n}" for n in (1, 2, 4, 8, 16))}, p4 AS imbl_lag_1h, p8 AS imbl_lag_2h, p16 AS imbl_lag_4h,
+  d1 AS dir_lag_1, d2 AS dir_lag_2, d4 AS dir_lag_4, d8 AS dir_lag_8, abs(p1) AS imbl_abs_lag1,
+  {", ".join(f"m{n} AS imbl_roll_{h}_mean, s{n} AS imbl_roll_{h}_std, hi{n} AS imbl_roll_{h}_max, lo{n} AS imbl_roll_{h}_min, (p1 - m{n}) / (s{n} + 1e-6) AS price_zscore_{h}" for n, h in ((4, '1h'), (16, '4h')))},
   (rn - schg_at) * s AS consecutive_stress, rn - coalesce(stress_at, 0) AS periods_since_stress,
-  rn - flip_at + 1 AS dir_streak, p1 - p17 AS price_momentum_4h,
-  windspeed_100m - wind_7d_mean AS wind_surprise,
-  CASE WHEN 15 - temperature < 0 THEN 0 ELSE 15 - temperature END AS heating_degree,
-  (CASE WHEN 15 - temperature < 0 THEN 0 ELSE 15 - temperature END) * is_peak * is_winter * s4_lag
-    AS demand_stress_x_vol,
-  (rn - flip_at + 1) * (CASE WHEN d1 = 1 THEN 1 ELSE 0 END) * is_peak AS short_streak_x_peak
-FROM cal"""
+  s4 - s16 AS vol_acceleration, p1 - p5 AS price_momentum_1h, p1 - p17 AS price_momentum_4h,
+  reg_spread_roll_1h - reg_spread_roll_4h AS reg_spread_accel,
+  CASE WHEN d1 = 1 AND d2 = -1 THEN 1 ELSE 0 END AS regime_flip_to_short, CASE WHEN d1 = -1 AND d2 = 1 THEN 1 ELSE 0 END AS regime_flip_to_long,
+  CASE WHEN target_class > 0 THEN 1 WHEN target_class = 0 THEN 0 END AS target_binary, CASE WHEN spike_class > 0 THEN 1 ELSE 0 END AS is_spike,
+  CASE WHEN temperature IS NOT NULL THEN heating0 END AS heating_degree, temperature * is_peak AS temp_x_peak, temperature * is_winter AS temp_x_winter,
+  CASE WHEN temperature IS NOT NULL THEN heating0 END * is_peak * is_winter AS demand_stress,
+  CASE WHEN temperature IS NOT NULL THEN heating0 END * is_peak * is_winter * s4_lag AS demand_stress_x_vol,
+  dir_streak * (CASE WHEN d1 = 1 THEN 1 ELSE 0 END) * is_peak AS short_streak_x_peak,
+  windspeed_100m * is_night AS wind_x_night, windspeed_100m * is_peak AS wind_x_peak, windspeed_100m * windspeed_100m AS wind_squared,
+  wind_surprise * (200 / nullif(stress_proximity_up + 1, 0)) AS wind_surprise_x_stress, w1 - fw1 AS wind_forecast_surprise,
+  nuclear_unavail_lag1 - unavail5 AS nuclear_sudden_drop, nuclear_unavail_lag1 * is_peak AS nuclear_x_peak,
+  nuclear_unavail_lag1 * is_winter AS nuclear_x_winter,
+  nuclear_unavail_lag1 * (200 / nullif(stress_proximity_up + 1, 0)) AS nuclear_x_stress_proximity, w96 - gen96 AS wind_forecast_vs_actual,
+  {", ".join(wave_sql(v, p, n + "_{}") for v, p, n in (("hour", 24, "hour"), ("dayofweek", 7, "dow"), ("month", 12, "month"), ("slot", 96, "slot")))},
+  {", ".join(wave_sql(v, n, p + "_{}_k" + str(k), k) for p, v, n, k in _HARMONICS)}
+FROM g0"""
 
 
 @query(
@@ -306,9 +372,42 @@ FROM cal"""
     "demand_stress_x_vol:d short_streak_x_peak:i wind_forecast_surprise:d fcst_temperature_lag1:d "
     "flow_se4_mw_lag4:d net_pos_lag4:d net_pos_roll1d:d slot:i is_holiday:i season:i "
     "target_price:d target_class:i",
-    _MATRIX_SQL,
+    MASTER_FOUR + _MATRIX_SQL,
 )
 def imbalance_feature_matrix(spark, sf):
+    return imbalance_features(master.master_frame(A.imbalance(spark, sf), four_sources(spark, sf)))
+
+
+_WHOLE = {
+    *[f"dir_lag_{n}" for n in (1, 2, 4, 8)], "dir_streak", "consecutive_stress", "periods_since_stress", "short_streak_x_peak",
+    *[f"dir_flip_rate_{h}" for h in ("1h", "4h", "1d")], "regime_flip_to_short", "regime_flip_to_long", "nuclear_outage_flag_lag1",
+    "season", "is_night", "is_peak", "is_weekend", "is_holiday", "is_winter", "target_binary", "target_class", "spike_class", "is_spike",
+}
+
+
+def _typed(names) -> str:
+    return "zone:s ts:t " + " ".join(f"{c}:{'i' if c in _WHOLE else 'd'}" for c in dict.fromkeys(names))
+
+
+@query(
+    "imbalance_price_features",
+    _typed([*fi.BASE, *fi.SPIKE, "target_price", "target_binary", "target_class", "spike_class", "is_spike"]),
+    MASTER + _MATRIX_SQL,
+)
+def imbalance_price_features(spark, sf):
+    """Every feature made of prices and directions, and the targets."""
+    return imbalance_features(master_of(spark, sf))
+
+
+@query(
+    "imbalance_context_features",
+    _typed([
+        *fi.CALENDAR, *fi.WEATHER, *fi.FORECAST, *fi.NUCLEAR, *fi.GENERATION, *[f"{c}_lag4" for c in FLOW], "net_pos_lag4", "net_pos_roll1d",
+    ]),
+    MASTER + _MATRIX_SQL,
+)
+def imbalance_context_features(spark, sf):
+    """Every feature of the calendar, weather, forecasts, outages, generation and flows."""
     return imbalance_features(master_of(spark, sf))
 
 

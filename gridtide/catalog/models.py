@@ -93,6 +93,52 @@ def feature_importance(spark, sf):
     return spike.top_features(spike.importance(spark, model.importances()), 30)
 
 
+def _held_out_sql(horizon: int, name: str) -> str:
+    """CTEs: the last 6 days of rows with a target so far ahead and all core lags."""
+    lags = ", ".join(f"lag(p, {n}) OVER w AS p{n}" for n in (1, 2, 3, 4))
+    return f"""{name}_l AS (SELECT *, {lags}, lead(p, {horizon}) OVER w AS target FROM hist WINDOW w AS (PARTITION BY zone ORDER BY ts)),
+    {name}_k AS (SELECT * FROM {name}_l WHERE target + p1 + p2 + p3 + p4 IS NOT NULL),
+    {name} AS (SELECT k.* FROM {name}_k k JOIN (SELECT zone, max(ts) - INTERVAL 6 DAY AS cut FROM {name}_k GROUP BY zone) c
+      ON k.zone = c.zone AND k.ts > c.cut)"""
+
+
+_HISTORY = """hist AS (SELECT zone, ts, last_value(imbl_price IGNORE NULLS) OVER
+      (PARTITION BY zone ORDER BY ts ROWS 12 PRECEDING) AS p FROM dimb)"""
+
+
+@query(
+    "quantile_slots",
+    "zone:s ts:t ordered:i in_range:i covers:i",
+    P.with_parts(P.EVENTS, P.IMBALANCE, P.DENSE_IMBALANCE, _HISTORY, _held_out_sql(1, "t"))
+    + "SELECT zone, ts, 1 AS ordered, 1 AS in_range, 1 AS covers FROM t",
+)
+def quantile_slots(spark, sf):
+    """Every held-out row: quantiles in order and among the training targets, and its
+    series covered by the band at least six times in ten."""
+    feats = materialize(_features(spark, sf), "features")
+    model, test = forecast.fit_imbalance(feats, test_days=6, trees=10, depth=5)
+    scored = materialize(forecast.score_imbalance(model, test), "scored")
+    inside = F.col("y").between(F.col("p05"), F.col("p95")).cast("int")
+    share = scored.groupBy("zone").agg((F.avg(inside) >= 0.6).cast("int").alias("covers"))
+    order = (F.col("p05") <= F.col("p50")) & (F.col("p50") <= F.col("p95"))
+    low, high = float(model.table.grid[0]), float(model.table.grid[-1])
+    return scored.join(share, "zone").select(
+        "zone", "ts", order.cast("int").alias("ordered"),
+        (F.col("p05").between(low, high) & F.col("p95").between(low, high)).cast("int").alias("in_range"), "covers",
+    )
+
+
+@query(
+    "multi_horizon_rows",
+    "horizon:i n:i",
+    P.with_parts(P.EVENTS, P.IMBALANCE, P.DENSE_IMBALANCE, _HISTORY, *[_held_out_sql(h, f"t{h}") for h in (1, 4, 8)])
+    + " UNION ALL ".join(f"SELECT {h} AS horizon, count(*) AS n FROM t{h}" for h in (1, 4, 8)),
+)
+def multi_horizon_rows(spark, sf):
+    """Held-out rows that each horizon is scored on."""
+    return forecast.eval_horizons(_history(spark, sf), (1, 4, 8), test_days=6, trees=2, depth=2)
+
+
 @query("multi_horizon", "horizon:i n:i mae:d coverage:d skill:d")
 def multi_horizon(spark, sf):
     return forecast.eval_horizons(_history(spark, sf), (1, 4, 8), test_days=6, trees=5, depth=4)

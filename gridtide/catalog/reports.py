@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from gridtide.catalog import sql_parts as P
 from gridtide.catalog.align import BY, IMB, PR
 from gridtide.catalog.core import query
-from gridtide.catalog.features import MASTER, WF, master_of
+from gridtide.catalog.features import MASTER, MASTER_FOUR, WF, four_sources, master_of
 from gridtide.functions.scalars import is_spike
 from gridtide.operators import aggregates, quantiles
 from gridtide.operators.blocks import HOURLY
 from gridtide.plans import adapters as A
+from gridtide.plans import master
 from gridtide.plans import evaluate, master, serve
 
 SC = P.with_parts(P.EVENTS, P.PRICES, P.DENSE_PRICES, P.RUNS, P.SCORED)
@@ -262,23 +263,35 @@ def autocorrelation(spark, sf):
     return aggregates.acf(A.prices(spark, sf), HOURLY, "price_eur_mwh", 48)
 
 
-_GROUPS_SQL = " UNION ALL ".join(
-    f"SELECT '{g}' AS source, {len(cs)} AS columns, {len(have)} AS present, "
-    + (
-        "(" + " + ".join(f"avg(CAST({c} IS NULL AS INT))" for c in have) + f") / {len(have)} AS null_share, "
-        + " + ".join(f"CAST(avg(CAST({c} IS NULL AS INT)) > 0.5 AS INT)" for c in have) + " AS mostly_null, "
-        if have else "NULL AS null_share, 0 AS mostly_null, "
-    )
-    + "count(*) AS rows FROM mf"
-    for g, cs in serve.SOURCE_GROUPS.items()
-    for have in [[c for c in cs if c in (
-        "imbl_price", "direction", "imbl_spot_diff", "temperature", "windspeed_100m", "cloudcover",
-        "spot_price", "net_position_mw", *WF)]]
-)
+def _groups_sql(have: set[str]) -> str:
+    def one(g: str, cs: list[str]) -> str:
+        own = [c for c in cs if c in have]
+        share, most = "NULL", "0"
+        if own:
+            share = "(" + " + ".join(f"avg(CAST({c} IS NULL AS INT))" for c in own) + f") / {len(own)}"
+            most = " + ".join(f"CAST(avg(CAST({c} IS NULL AS INT)) > 0.5 AS INT)" for c in own)
+        return (
+            f"SELECT '{g}' AS source, {len(cs)} AS columns, {len(own)} AS present, {share} AS null_share, "
+            f"{most} AS mostly_null, count(*) AS rows FROM mf"
+        )
+
+    return " UNION ALL ".join(one(g, cs) for g, cs in serve.SOURCE_GROUPS.items())
+
+
+_FOUR = {"imbl_price", "direction", "imbl_spot_diff", "temperature", "windspeed_100m", "cloudcover", "spot_price", "net_position_mw", *WF}
 
 
-@query("null_report", "source:s columns:i present:i null_share:d mostly_null:i rows:i", MASTER + _GROUPS_SQL)
+@query("null_report", "source:s columns:i present:i null_share:d mostly_null:i rows:i", MASTER_FOUR + _groups_sql(_FOUR))
 def null_report(spark, sf):
+    return serve.source_coverage(master.master_frame(A.imbalance(spark, sf), four_sources(spark, sf)))
+
+
+@query(
+    "source_coverage", "source:s columns:i present:i null_share:d mostly_null:i rows:i",
+    MASTER + _groups_sql({c for cs in serve.SOURCE_GROUPS.values() for c in cs}),
+)
+def source_coverage(spark, sf):
+    """The same over all sources."""
     return serve.source_coverage(master_of(spark, sf))
 
 

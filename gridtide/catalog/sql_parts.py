@@ -69,6 +69,48 @@ fl AS (
   FULL JOIN (SELECT * FROM side WHERE event_type = 'signup') i
     ON e.zone = i.zone AND e.ts = i.ts AND e.border = i.border)"""
 
+ANALYSIS = """an AS (
+  SELECT zone, time_bucket(INTERVAL 1 HOUR, ts) AS ts, avg(k) / 9 AS mesan_wind_speed,
+         min(k) / 5 - 6 AS mesan_temperature, max(k) / 100 AS mesan_cloud_fraction, max(k) / 4 AS mesan_wind_gust
+  FROM ev WHERE event_type IN ('click', 'signup', 'error') GROUP BY ALL)"""
+
+LIVE_FORECAST = """lv AS (
+  SELECT zone, time_bucket(INTERVAL 1 HOUR, ts) AS ts, avg(k) / 11 AS fcst_wind_10m,
+         max(k) / 4 - 8 AS fcst_temperature, min(k) AS fcst_cloud_cover, max(k) / 3 AS fcst_wind_gust,
+         avg(k) / 100 AS fcst_precip_prob, min(k) / 100 AS fcst_thunderstorm_prob
+  FROM ev WHERE event_type <> 'view' GROUP BY ALL)"""
+
+# The wind and solar forecast on the quarter-hour grid of January, filled 4 slots.
+GENERATION_FORECAST = """gr AS (
+  SELECT zone, time_bucket(INTERVAL 1 HOUR, ts) AS ts,
+         sum(value) FILTER (WHERE event_type = 'purchase') AS wind, sum(value) FILTER (WHERE event_type = 'signup') AS solar
+  FROM ev GROUP BY ALL),
+gf_grid AS (
+  SELECT zone, unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 15 MINUTE)) AS ts
+  FROM (SELECT DISTINCT zone FROM gr)),
+gf AS (
+  SELECT g.zone, g.ts,
+    last_value(wind IGNORE NULLS) OVER (PARTITION BY g.zone ORDER BY g.ts ROWS 4 PRECEDING) AS wind_gen_forecast_mw,
+    last_value(solar IGNORE NULLS) OVER (PARTITION BY g.zone ORDER BY g.ts ROWS 4 PRECEDING) AS solar_gen_forecast_mw
+  FROM gf_grid g LEFT JOIN gr ON g.zone = gr.zone AND g.ts = gr.ts)"""
+
+# Power offline per quarter hour of January by the newest revision of each nuclear report.
+UNIT_OUTAGES = """un AS (
+  SELECT zone, user_id AS mrid, event_id % 2 AS revision, event_id % 3 AS kind, greatest(value - 20.0, 0) AS mw,
+         ts AS a, ts + to_hours(CAST(event_id % 9 + 1 AS INTEGER)) AS b
+  FROM ev WHERE event_type = 'error' AND user_id % 5 <> 0
+  QUALIFY revision = max(revision) OVER (PARTITION BY mrid)),
+un_slots AS (
+  SELECT zone, mw, kind, unnest(generate_series(time_bucket(INTERVAL 15 MINUTE, a + INTERVAL 15 MINUTE - INTERVAL 1 MICROSECOND),
+    b - INTERVAL 1 MICROSECOND, INTERVAL 15 MINUTE)) AS ts FROM un),
+un_sums AS (
+  SELECT zone, ts, sum(mw) AS mw, sum(CASE WHEN kind <> 1 THEN mw ELSE 0 END) AS unplanned FROM un_slots GROUP BY ALL),
+nu AS (
+  SELECT g.zone, g.ts, coalesce(mw, 0) AS nuclear_unavail_mw, coalesce(unplanned, 0) AS nuclear_unplanned_mw,
+         CASE WHEN unplanned > 0 THEN 1 ELSE 0 END AS nuclear_outage_flag
+  FROM (SELECT zone, unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 15 MINUTE)) AS ts
+    FROM (SELECT DISTINCT zone FROM un)) g LEFT JOIN un_sums u ON g.zone = u.zone AND g.ts = u.ts)"""
+
 RUNS = """runs AS (
   SELECT zone, ts + INTERVAL 24 HOUR AS ts,
          date_trunc('day', ts + INTERVAL 24 HOUR) AS generated_at, price_eur_mwh AS p50

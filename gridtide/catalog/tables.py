@@ -13,6 +13,7 @@ from gridtide.operators import grid, joins, projections
 from gridtide.operators.blocks import HOURLY, QUARTER
 from gridtide.plans import adapters as A
 from gridtide.plans import master
+from gridtide.session import scratch_path
 from gridtide.sources import feeds, tables
 
 WXQ = P.with_parts(P.EVENTS, P.WEATHER)
@@ -362,6 +363,69 @@ def insert_replace(spark, sf):
     return tables.merge_rows(*_old_new(spark, sf), ["zone", "ts"])
 
 
+def _stored(spark):
+    return tables.Store(spark, scratch_path(spark, "store"))
+
+
+@query("store_ignore", "zone:s ts:t price_eur_mwh:d", _OLD_NEW + " SELECT * FROM o UNION ALL SELECT * FROM n WHERE ts >= TIMESTAMP '2024-01-20'")
+def store_ignore(spark, sf):
+    """Two batches into the stored table, the second one twice."""
+    store, (old, new) = _stored(spark), _old_new(spark, sf)
+    for rows in (old, new, new):
+        store.insert_ignore("prices", rows)
+    return store.scan("prices")
+
+
+@query("store_replace", "zone:s ts:t price_eur_mwh:d", _OLD_NEW + " SELECT * FROM n UNION ALL SELECT * FROM o WHERE ts < TIMESTAMP '2024-01-15'")
+def store_replace(spark, sf):
+    store, (old, new) = _stored(spark), _old_new(spark, sf)
+    store.insert_ignore("prices", old)
+    store.insert_replace("prices", new)
+    return store.scan("prices")
+
+
+@query(
+    "store_run",
+    "zone:s ts:t generated_at:t p05:d p50:d p95:d",
+    P.with_parts(P.EVENTS, P.PRICES, P.RUNS) + "SELECT zone, ts, generated_at, p05, p50, p95 FROM fc",
+)
+def store_run(spark, sf):
+    """Forecast runs saved under their run time, the later half of them twice."""
+    store, runs = _stored(spark), A.forecast_runs(spark, sf)
+    store.save_run("forecasts", runs, F.col("generated_at"))
+    store.save_run("forecasts", runs.where("ts >= '2024-01-15'").withColumn("p50", F.lit(0.0)), F.col("generated_at"))
+    return store.scan("forecasts")
+
+
+@query(
+    "store_scan",
+    "zone:s ts:t price_eur_mwh:d",
+    PR + """SELECT zone, ts, price_eur_mwh FROM pr
+    WHERE ts BETWEEN TIMESTAMP '2024-01-05 06:00:00' AND TIMESTAMP '2024-01-09 18:00:00'""",
+)
+def store_scan(spark, sf):
+    store = _stored(spark)
+    store.insert_ignore("prices", A.prices(spark, sf))
+    return store.scan("prices", "2024-01-05 06:00:00", "2024-01-09 18:00:00", ["zone", "ts", "price_eur_mwh"])
+
+
+@query(
+    "store_sync",
+    "table_name:s first_ts:t last_ts:t n:i",
+    P.with_parts(P.EVENTS, P.PRICES, P.WEATHER, P.IMBALANCE)
+    + " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n FROM {v}"
+        for t, v in (("prices", "pr"), ("weather", "wx"), ("imbalance_prices", "imb"))
+    ),
+)
+def store_sync(spark, sf):
+    """Three feeds taken in twice, then what the tables hold."""
+    store = _stored(spark)
+    rows = {"prices": A.prices(spark, sf), "weather": A.weather(spark, sf), "imbalance_prices": A.imbalance(spark, sf)}
+    tables.sync(store, rows)
+    return tables.sync(store, rows)
+
+
 @query(
     "missing_tail",
     "zone:s border:s fetch_from:t fetch_to:t",

@@ -6,6 +6,8 @@ direction enter lagged by at least one slot, observed weather at its own slot.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,6 @@ from gridtide.functions.scalars import STRESS_HIGH, STRESS_LOW, clip, spike_clas
 from gridtide.operators.blocks import QUARTER, Series
 from gridtide.operators.windows import (
     differs,
-    ewm,
     growing,
     lagged,
     rolled,
@@ -26,7 +27,7 @@ EPS = 1e-6
 # Longest reach: the 7-day wind mean, with room for the lags under other features.
 REACH = 700
 P1, D1 = "imbl_lag_1", "dir_lag_1"
-EWA = "_price_ewm"
+TARGETS = ("target_price", "target_binary", "target_class")
 
 
 def _c(name: str) -> Column:
@@ -53,8 +54,8 @@ def price_rolls(m: Matrix) -> None:
     m.window(1, **{c: (lambda s, c=c: growing(s, P1)[c]) for c in (f"_s_{P1}", f"_n_{P1}")})
     m.window(2, imbl_roll_1d_mean=lambda s: wide_mean(s, P1, 96))
     # The exponential mean of the lagged price is the lagged exponential mean.
-    m.lag("imbl_ewa", EWA, 1)
-    m.drop(f"_s_{P1}", f"_n_{P1}", EWA)
+    m.decayed_lag("imbl_ewa", "imbl_price", 8)
+    m.drop(f"_s_{P1}", f"_n_{P1}")
 
 
 def spreads(m: Matrix) -> None:
@@ -274,36 +275,36 @@ def flows(m: Matrix) -> None:
         m.drop(f"_s_{g}", f"_n_{g}")
 
 
-def targets(m: Matrix, horizon: int = 1) -> None:
+def targets(m: Matrix, horizons: Sequence[int] = (1,), named: bool = False) -> None:
+    """Price, spike and spike class so many slots ahead; ``named``: with the horizon as
+    a suffix."""
     cls = spike_class("imbl_price")
-    ahead = lambda s, c: F.lead(c, horizon).over(s.over)
-    m.window(
-        0,
-        target_price=lambda s: ahead(s, F.col("imbl_price")),
-        target_binary=lambda s: ahead(s, (cls > 0).cast("int")),
-        target_class=lambda s: ahead(s, cls),
-    )
+    values = dict(zip(TARGETS, (F.col("imbl_price"), (cls > 0).cast("int"), cls)))
+    for h in horizons:
+        end = f"_{h}" if named else ""
+        m.window(0, **{f"{n}{end}": (lambda s, x=x, h=h: F.lead(x, h).over(s.over)) for n, x in values.items()})
     m.rows(spike_class=cls, is_spike=(cls > 0).cast("int"))
 
 
 def imbalance_features(
     df: DataFrame,
-    horizon: int = 1,
+    horizon: int | Sequence[int] = 1,
     s: Series = QUARTER,
     have: set[str] | None = None,
     tz: str = cal.LOCAL_ZONE,
 ) -> DataFrame:
-    """All feature groups and the targets over one dense frame.
+    """All feature groups and the targets over one dense frame; for several horizons the
+    targets of each (``target_price_4``, ...) beside the same features.
 
     ``have`` names the columns that hold any value (``known_columns``); groups over
     other columns are left out.
     """
+    horizons = [horizon] if isinstance(horizon, int) else list(horizon)
     missing = [c for c in ("imbl_price", "direction") if c not in df.columns]
     base = df.withColumns({c: F.lit(0.0) for c in missing}) if missing else df
     # A stored spread is not lagged; the feature of that name is.
     base = base.drop("reg_spread")
-    base = ewm(base, s, "imbl_price", EWA, span=8)
-    m = Matrix(base, s, back=REACH, ahead=horizon, have=None if have is None else have | set(missing))
+    m = Matrix(base, s, back=REACH, ahead=max(horizons), have=None if have is None else have | set(missing))
     for group in (
         price_lags, direction_lags, price_rolls, spreads, extremes, zscores, stress_proximity,
         consecutive_stress, periods_since_stress, momentum, flip_rates, spread_rolls, regime_flips,
@@ -313,7 +314,7 @@ def imbalance_features(
     for group in (wind, temperature, interactions, weather_forecast, nuclear, generation_forecast, flows):
         group(m)
     if "imbl_price" in df.columns:
-        targets(m, horizon)
+        targets(m, horizons, not isinstance(horizon, int))
     return m.build()
 
 

@@ -102,7 +102,7 @@ def wind_surprise(m: Matrix) -> None:
 
 
 def interaction_columns(w: str) -> dict[str, Column]:
-    """Wind and temperature against times of day and year."""
+    """Wind and temperature against times of day and year (made of the columns named)."""
     winter, summer = (_c("season") == 1).cast("int"), (_c("season") == 3).cast("int")
     return {
         "wind_x_night": _c(w) * _c("is_night"),

@@ -1,9 +1,11 @@
-"""Ridge regressions from one pass of sums.
-
-All targets share the basis, so one matrix of products (basis and targets against
-each other) holds everything needed.  Partitions add up their products with a matrix
-multiplication; only sums travel, and the systems solved on the driver have the size
-of the basis whatever the row count.
+"""Ridge regressions from one pass of mergeable co-moments.
+
+All targets share the basis, so the counts, means and centred products of all columns hold
+everything needed.  Each batch gives its own, centred on its own means; two of them merge
+without ever forming raw sums of squares (parallel covariance), so a column far from zero
+keeps its digits.  Partitions merge their batches, tasks merge groups of partitions, and
+one row reaches the driver; the systems solved there have the size of the basis whatever
+the row count.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,25 +33,54 @@ NEUTRAL_FEATURES = [
 ]
 
 
-def products(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
-    """Sums of the products of all pairs of columns (missing values as 0), with a
-    leading column of ones, so row 0 holds the count and the plain sums."""
-    names = list(cols)
+FAN_IN = 64  # groups of partitions whose results are merged, one task each
+
+Moments = tuple[int, np.ndarray, np.ndarray]
+
+
+def merged(a: Moments, b: Moments) -> Moments:
+    """Count, means and centred products of two sets of rows together."""
+    (n, m, c), (k, p, d) = a, b
+    if not n or not k:
+        return b if not n else a
+    apart = p - m
+    return n + k, m + apart * (k / (n + k)), c + d + np.outer(apart, apart) * (n * k / (n + k))
+
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((len(names) + 1, len(names) + 1))
+def comoments(df: DataFrame, cols: Sequence[str]) -> Moments:
+    """Rows, means and the matrix of centred products of columns (missing values as 0)."""
+    names, w = list(cols), len(cols)
+    schema = "part bigint, n bigint, mean array<double>, products array<double>"
+
+    def row(part: int, x: Moments) -> pd.DataFrame:
+        return pd.DataFrame({"part": [part], "n": [x[0]], "mean": [x[1].tolist()], "products": [x[2].ravel().tolist()]})
+
+    def none() -> Moments:
+        return 0, np.zeros(w), np.zeros((w, w))
+
+    def of_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = none()
         for b in batches:
-            x = np.column_stack([np.ones(len(b)), b.to_numpy(dtype=float)])
-            total += x.T @ x
-        i, j = np.indices(total.shape)
-        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": total.ravel()})
+            if len(b):
+                x = b.to_numpy(dtype=float)
+                mean = x.mean(axis=0)
+                total = merged(total, (len(x), mean, (x - mean).T @ (x - mean)))
+        if total[0]:
+            yield row(TaskContext.get().partitionId(), total)
+
+    def of_parts(rows: pd.DataFrame) -> pd.DataFrame:
+        total = none()
+        for r in rows.sort_values("part").itertuples():
+            total = merged(total, (r.n, np.asarray(r.mean), np.asarray(r.products).reshape(w, w)))
+        return row(int(rows["part"].iloc[0]), total)
 
     src = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names])
-    sums = src.mapInPandas(partial, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
-    out = np.zeros((len(names) + 1, len(names) + 1))
-    for r in sums.collect():
-        out[r["i"], r["j"]] = r["v"]
-    return out
+    parts = src.mapInPandas(of_rows, schema)
+    groups = parts.withColumn("part", F.col("part") % FAN_IN).groupBy("part").applyInPandas(of_parts, schema)
+    total = none()
+    for r in groups.orderBy("part").collect():  # at most FAN_IN
+        total = merged(total, (r["n"], np.array(r["mean"]), np.array(r["products"]).reshape(w, w)))
+    return total
 
 
 @dataclass
@@ -72,12 +104,9 @@ class Ridge:
 def fit_ridge(df: DataFrame, basis: Sequence[str], targets: Sequence[str], alpha: float = 1.0) -> Ridge:
     """Ridge with a free intercept: both sides are centred before the penalty."""
     basis, targets = list(basis), list(targets)
-    g = products(df, [*basis, *targets])
-    n = g[0, 0]
+    n, mean, cov = comoments(df, [*basis, *targets])
     if n == 0:
         raise ValueError("no rows to fit on")
-    mean = g[0, 1:] / n
-    cov = g[1:, 1:] - n * np.outer(mean, mean)
     k = len(basis)
     solved = np.linalg.solve(cov[:k, :k] + alpha * np.eye(k), cov[:k, k:])
     weights, intercepts, r2 = {}, {}, {}
@@ -104,9 +133,15 @@ def neutralize(df: DataFrame, model: Ridge) -> DataFrame:
     out = df.withColumns(
         {t: F.col(t) - model.explained(t) for t in model.weights if t in df.columns}
     )
-    need = {"is_night", "is_peak", "is_weekend", "season", "temperature"}
-    if need <= set(out.columns):
-        out = out.withColumns(interaction_columns(wind_column(out.columns)))
+    have, w = set(out.columns), wind_column(out.columns)
+    flags = {"night": "is_night", "peak": "is_peak", "weekend": "is_weekend", "winter": "season", "summer": "season"}
+    inputs = {"wind_squared": {w}} | {f"wind_x_{n}": {w, c} for n, c in flags.items()}
+    inputs |= {f"temp_x_{n}": {"temperature", c} for n, c in flags.items()}
+    # Only what the changed columns enter, and only where all inputs are there.
+    again = [n for n, need in inputs.items() if w is not None and need <= have]
+    if again:
+        every = interaction_columns(w)
+        out = out.withColumns({n: every[n] for n in again if n in every})
     if {"wind_surprise", "is_night", "price_ewa"} <= set(out.columns):
         out = out.withColumns(
             {

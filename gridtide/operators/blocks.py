@@ -113,15 +113,20 @@ def windowed(
     return settle(out, s)
 
 
-def carry_last(df: DataFrame, s: Series, marks: Mapping[str, Column]) -> DataFrame:
+def carry_last(
+    df: DataFrame, s: Series, marks: Mapping[str, Column], more: Mapping[str, Column] | None = None
+) -> DataFrame:
     """Per (keys, block): the last non-null value of each mark in earlier blocks,
-    and ``_origin``, the first slot of the series.  ``df`` carries POS and BLK."""
+    and ``_origin``, the first slot of the series.  ``df`` carries POS and BLK.
+    ``more``: further aggregates of the block's own rows."""
+    more = more or {}
     tails = (
         df.where(F.col(BLK) == s.home)
         .groupBy(*s.keys, BLK)
         .agg(
             F.min(POS).alias("_origin"),
             *[F.max_by(m, F.when(m.isNotNull(), F.col(POS))).alias(n) for n, m in marks.items()],
+            *[x.alias(n) for n, x in more.items()],
         )
     )
     before = Window.partitionBy(*s.keys).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
@@ -131,6 +136,7 @@ def carry_last(df: DataFrame, s: Series, marks: Mapping[str, Column]) -> DataFra
         BLK,
         F.min("_origin").over(whole).alias("_origin"),
         *[F.last(n, ignorenulls=True).over(before).alias(n) for n in marks],
+        *more,
     )
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridtide.functions.calendar import LOCAL_ZONE, local
-from gridtide.operators.blocks import BLK, POS, Series, attach, last_known, running_totals, spread
-from gridtide.operators.quantiles import exact_percentiles
+from gridtide.operators.blocks import BLK, POS, Series, attach, last_known, spread
+from gridtide.operators.quantiles import exact_percentiles, stacked_percentiles
 
 
 def bucket(ts: str | Column, step: int, mode: str = "floor") -> Column:
@@ -47,8 +47,9 @@ def resample_median(df: DataFrame, s: Series, value: str, name: str) -> DataFram
     return exact_percentiles(at, [*s.keys, s.ts], value, {name: 0.5})
 
 
-def grid_slots(spans: DataFrame, s: Series, lo: str, hi: str) -> DataFrame:
-    """(keys, ts) for every slot number in [lo, hi] of each row of ``spans``.
+def grid_slots(spans: DataFrame, s: Series, lo: str, hi: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(keys, ts) for every slot number in [lo, hi] of each row of ``spans``, with the
+    columns ``keep`` of that row.
 
     Expanded block by block, so no array is longer than one block.
     """
@@ -59,7 +60,7 @@ def grid_slots(spans: DataFrame, s: Series, lo: str, hi: str) -> DataFrame:
     first = F.greatest(F.col(lo), F.col(BLK) * rows)
     last = F.least(F.col(hi), (F.col(BLK) + 1) * rows - 1)
     return blocks.withColumn(POS, F.explode(F.sequence(first, last))).select(
-        *s.keys, s.time_of(F.col(POS)).alias(s.ts)
+        *s.keys, s.time_of(F.col(POS)).alias(s.ts), *keep
     )
 
 
@@ -120,6 +121,10 @@ def upsample(df: DataFrame, s: Series, cols: Sequence[str], limit: int | None =
     return ffill(densify(df, s), s, cols, limit=limit)
 
 
+#: Amounts are added up as whole numbers of this part of a unit, so sums are exact.
+UNIT = 1_000_000
+
+
 def expand_intervals(
     iv: DataFrame,
     s: Series,
@@ -129,57 +134,50 @@ def expand_intervals(
     grid_start: str,
     grid_end: str,
     parts: Mapping[str, Column],
+    unit: int = UNIT,
 ) -> DataFrame:
     """Per grid slot the total ``amount`` of the intervals [start, end) covering it.
 
-    ``parts`` names each total and the rows it counts.  Each interval becomes a
-    step up at its first slot and a step down after its last one; the running sum
-    of the steps is the covering total, so no interval is expanded.  A count of
-    open intervals runs along, which makes empty slots exactly zero.
+    ``parts`` names each total and the rows it counts.  Each interval becomes a step up at
+    its first slot and a step down after its last one, in whole parts of a unit (one
+    ``unit``-th), and the running sum of the steps is the covering total: no interval is
+    expanded, and what was added goes away again to the last digit.  The grid is built
+    once, block by block; a block begins with the sum of the steps in earlier blocks.
+    Keys whose intervals all lie outside the grid have zeros.
     """
     first = s.position(F.lit(grid_start).cast("timestamp"))
     last = s.position(F.lit(grid_end).cast("timestamp"))
     ceil = lambda c: F.ceil(F.unix_micros(F.col(c)) / F.lit(s.step * 1_000_000)).cast("long")
+    whole = F.coalesce(F.round(F.col(amount) * unit), F.lit(0)).cast("long")
     spans = iv.select(
         *s.keys,
         F.greatest(ceil(start), first).alias("_a"),
         F.least(ceil(end), last + 1).alias("_b"),
-        *[F.when(c, F.col(amount)).otherwise(F.lit(0.0)).alias(f"_v_{n}") for n, c in parts.items()],
-    ).where(F.col("_a") < F.col("_b"))
-    edges = spans.select(
-        "*",
-        F.explode(
-            F.array(
-                F.struct(F.col("_a").alias(POS), F.lit(1).alias("_s")),
-                F.struct(F.col("_b").alias(POS), F.lit(-1).alias("_s")),
-            )
-        ).alias("_e"),
-    ).select("*", f"_e.{POS}", "_e._s")
-    steps = edges.groupBy(*s.keys, POS).agg(
-        *[F.sum(F.col(f"_v_{n}") * F.col("_s")).alias(f"_d_{n}") for n in parts],
-        *[
-            F.sum(F.when(F.col(f"_v_{n}") > 0, F.col("_s")).otherwise(0)).alias(f"_k_{n}")
-            for n in parts
-        ],
+        *[F.when(c, whole).otherwise(F.lit(0)).alias(f"_v_{n}") for n, c in parts.items()],
     )
-    keys = iv.select(*s.keys).distinct()
-    grid = grid_slots(keys.select(*s.keys, first.alias("_lo"), last.alias("_hi")), s, "_lo", "_hi")
-    grid = grid.withColumn(POS, s.position()).withColumn(BLK, s.home)
-    dense = grid.join(steps, [*s.keys, POS], "left")
-    sums = {
-        f"{p}{n}": F.coalesce(F.col(f"{q}{n}"), F.lit(0))
-        for n in parts
-        for p, q in (("_sum_", "_d_"), ("_open_", "_k_"))
-    }
-    total = running_totals(dense, s.keys, BLK, [F.col(POS)], sums)
-    return total.select(
-        *s.keys,
-        s.ts,
-        *[
-            F.when(F.col(f"_open_{n}") > 0, F.col(f"_sum_{n}")).otherwise(F.lit(0.0)).alias(n)
-            for n in parts
-        ],
+    # An interval outside the grid still names its key.
+    inside = F.coalesce(F.col("_a") < F.col("_b"), F.lit(False))
+    up = F.struct(F.when(inside, F.col("_a")).otherwise(first).alias(POS), inside.cast("int").alias("_s"))
+    down = F.struct(F.col("_b").alias(POS), F.lit(-1).alias("_s"))
+    edges = spans.select("*", F.explode(F.when(inside, F.array(up, down)).otherwise(F.array(up))).alias("_e"))
+    steps = edges.groupBy(*s.keys, F.col(f"_e.{POS}").alias(POS)).agg(
+        *[F.sum(F.col(f"_v_{n}") * F.col("_e._s")).alias(f"_d_{n}") for n in parts]
+    )
+    steps = steps.withColumn(BLK, s.home)
+    rows = F.lit(s.rows)
+    blocks = steps.select(*s.keys).distinct().withColumn(
+        BLK, F.explode(F.sequence(F.floor(first / rows), F.floor(last / rows)))
+    )
+    within = steps.groupBy(*s.keys, BLK).agg(*[F.sum(f"_d_{n}").alias(f"_d_{n}") for n in parts])
+    before = Window.partitionBy(*s.keys).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
+    entering = blocks.join(within, [*s.keys, BLK], "left").select(
+        *s.keys, BLK, *[F.coalesce(F.sum(f"_d_{n}").over(before), F.lit(0)).alias(f"_in_{n}") for n in parts]
     )
+    slots = F.sequence(F.greatest(first, F.col(BLK) * rows), F.least(last, (F.col(BLK) + 1) * rows - 1))
+    grid = entering.withColumn(POS, F.explode(slots))
+    totals = grid.join(steps.drop(BLK), [*s.keys, POS], "left")
+    so_far = lambda n: F.coalesce(F.sum(f"_d_{n}").over(s.upto), F.lit(0)) + F.col(f"_in_{n}")
+    return totals.select(*s.keys, s.time_of(F.col(POS)).alias(s.ts), *[(so_far(n) / unit).alias(n) for n in parts])
 
 
 def dedup(
@@ -233,12 +231,13 @@ def overlay(a: DataFrame, b: DataFrame, on: Sequence[str], cols: Sequence[str])
 
 def fill_median(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Replace missing values by the exact median of the column (one per key)."""
-    out = df
-    for c in cols:
-        med = exact_percentiles(df, list(keys), c, {"_med": 0.5})
-        out = attach(out, med, keys, "left")
-        out = out.withColumn(c, F.coalesce(F.col(c), F.col("_med"))).drop("_med")
-    return out
+    found = stacked_percentiles(df, list(keys), list(cols), {"_med": 0.5})
+    wide = found.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("column_name") == c, F.col("_med"))).alias(f"_med_{i}") for i, c in enumerate(cols)]
+    )
+    out = attach(df, wide, keys, "left")
+    filled = {c: F.coalesce(F.col(c), F.col(f"_med_{i}")) for i, c in enumerate(cols)}
+    return out.withColumns(filled).drop(*[f"_med_{i}" for i in range(len(cols))])
 
 
 def interior_gaps(df: DataFrame, s: Series) -> DataFrame:

@@ -7,10 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridtide.operators.blocks import BLK
+from gridtide.operators.blocks import BLK, attach
+from gridtide.operators.quantiles import bucket_of
 
-# Times of one key that a sweep puts into one task, where they are densest.
+# Times of one key that a sweep puts into one task, about.
 SWEEP_ROWS = 50_000
+SWEEP_CUTS = 256  # quantiles of a key's times that the cuts are taken from
 
 
 def _micros(c: str) -> Column:
@@ -18,13 +20,28 @@ def _micros(c: str) -> Column:
 
 
 def _blocked(times: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
-    """``times`` (keys, _t) with time blocks that hold about ``rows`` times of the key
-    with the most per second; the length is a scalar subquery over partial counts."""
-    spans = times.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), (F.max("_t") - F.min("_t") + 1).alias("_span")
+    """``times`` (keys, _t) with time blocks of about ``rows`` times each, whatever their
+    distribution: a key is cut at quantiles of its own times (from a bounded sketch), at
+    as many as its size asks for.  Between quantiles of a key with more than
+    ``SWEEP_CUTS`` blocks, blocks are of equal length."""
+    probes = ", ".join(f"{k / SWEEP_CUTS!r}D" for k in range(1, SWEEP_CUTS))
+    cuts = F.expr(f"array_distinct(approx_percentile(_t, array({probes}), {20 * SWEEP_CUTS}))")
+    size = times.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), cuts.alias("_cuts"), F.min("_t").alias("_lo"), (F.max("_t") + 1).alias("_hi")
     )
-    length = spans.agg(F.ceil(F.lit(rows) / F.max(F.col("_n") / F.col("_span"))).alias("_l")).scalar()
-    return times.withColumn(BLK, F.floor(F.col("_t") / length).cast("long"))
+    wanted = F.ceil(F.col("_n") / rows)
+    every = F.greatest(F.lit(1), F.floor(F.lit(SWEEP_CUTS) / wanted)).cast("int")
+    kept = F.filter("_cuts", lambda _, i: (i + 1) % F.col("_every") == 0)
+    size = size.withColumn("_every", every).select(
+        *keys, kept.alias("_cuts"), F.greatest(F.lit(1), F.ceil(wanted / SWEEP_CUTS)).alias("_pieces"), "_lo", "_hi"
+    )
+    # Blocks are numbered cut by cut; a cut's times go to its pieces by their place in it.
+    cut = bucket_of(F.col("_t"), F.col("_cuts"), SWEEP_CUTS)
+    low = F.coalesce(F.when(cut > 0, F.try_element_at("_cuts", cut)), F.col("_lo"))
+    high = F.coalesce(F.try_element_at("_cuts", cut + 1), F.col("_hi"))
+    piece = F.floor((F.col("_t") - low) * F.col("_pieces") / F.greatest(high - low, F.lit(1)))
+    block = cut * F.col("_pieces") + F.least(piece, F.col("_pieces") - 1)
+    return attach(times, size, keys).withColumn(BLK, block.cast("long")).drop("_cuts", "_pieces", "_lo", "_hi")
 
 
 def latest_before(

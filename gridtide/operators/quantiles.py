@@ -133,6 +133,16 @@ def exact_percentiles(
     return found.where(F.col("_rows") > 0).drop("_rows")
 
 
+def stacked_percentiles(
+    df: DataFrame, by: Sequence[str], values: Sequence[str], ps: Mapping[str, float]
+) -> DataFrame:
+    """(by, column_name, one column per entry of ``ps``): exact percentiles of several
+    columns by one sketch and one pass over the brackets, whatever their number."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("x")) for c in values])
+    long = df.select(*by, F.explode(pairs).alias("_p")).select(*by, F.col("_p.c").alias("column_name"), F.col("_p.x").alias("_value"))
+    return exact_percentiles(long, [*by, "column_name"], "_value", ps)
+
+
 def ecdf(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Empirical distribution at each distinct value: the share of the first and of
     the last of its rows, with ranks spread evenly from 0 to 1."""

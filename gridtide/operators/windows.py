@@ -100,90 +100,104 @@ def rolling(
 # Weights grow over a block and are centred on 1, so a double holds e**(2 * 650).
 EWM_SHIFT = 460.0
 EWM_ROWS = 2880
-# A value keeps at most 1 - alpha of the mean before it; what is left of the mean that
-# many blocks with values ago does not show in a double.
-EWM_BLOCKS = 170
+EWM_DOUBLINGS = 16  # steps of the scan over blocks: 65,536 blocks a series, else an error
 
 
-def ewm(df: DataFrame, s: Series, c: str, name: str, span: int = 8) -> DataFrame:
-    """Recursive exponential mean over gaps of any length.
+class Ewm:
+    """Recursive exponential mean over gaps of any length, as columns of a cut series.
 
     At a value the state becomes ``(w*y + a*x) / (w + a)`` where ``w`` has decayed by
     ``1-a`` once per row since the last value, i.e. ``y`` keeps the share ``d`` and
     ``x`` enters with ``1-d``.  With ``D`` the running sum of ``log d`` this unrolls to
     ``exp(D) * sum((1-d) * x * exp(-D))``: two running sums instead of a fold.
 
-    Each block is summed as if the series began with its first value ``f``.  With the
+    Each block is summed as if the series began with its first own value ``f``.  With the
     mean ``y`` carried in, the first value would keep a share ``d`` of it, so a row is off
-    by ``exp(D) * d * (y - f)``; the carried means follow from one row per block.
+    by ``exp(D) * d * (y - f)``.  The carried means follow from one row per block: over a
+    block the mean becomes ``m * mean + add``, and such steps compose.
+
+    ``value`` is the column of the series, NULL on rows copied from other blocks.
     """
-    a = 2.0 / (span + 1.0)
-    # The whole span of a block must fit the range of a double.
-    s = s.cut(min(s.rows, EWM_ROWS, int(1300 / -math.log(1 - a)) - 480))
-    x = F.col(c)
-
-    def kept(gap: Column) -> Column:
-        w = F.pow(F.lit(1.0 - a), gap)
-        return w / (w + F.lit(a))
-
-    prev = F.max(F.when(x.isNotNull(), F.col(POS))).over(s.over.rowsBetween(Window.unboundedPreceding, -1))
-    cut = spread(df, s).withColumn("_e_prev", prev)
-    keep, first = kept(F.col(POS) - F.col("_e_prev")), F.col("_e_prev").isNull()
-    log = F.when(x.isNull() | first, F.lit(0.0)).otherwise(F.log(keep))
-    cut = cut.withColumns(
-        {
-            "_e_gain": F.when(x.isNull(), 0.0).when(first, 1.0).otherwise(1.0 - keep),
-            "_e_log": F.sum(log).over(s.upto),
-        }
-    )
-    body = F.sum(F.col("_e_gain") * F.coalesce(x, F.lit(0.0)) * F.exp(-F.col("_e_log") - EWM_SHIFT))
-    cut = cut.withColumns(
-        {
-            name: F.when(F.count(x).over(s.upto) > 0, F.exp(F.col("_e_log") + EWM_SHIFT) * body.over(s.upto)),
-            "_e_first": F.first(x, ignorenulls=True).over(s.upto),
+
+    def __init__(self, s: Series, value: Column, span: int):
+        self.a = 2.0 / (span + 1.0)
+        # The whole span of a block must fit the range of a double.
+        self.most = min(EWM_ROWS, int(1300 / -math.log(1 - self.a)) - 480)
+        self.s, self.x = s, value
+
+    def kept(self, gap: Column) -> Column:
+        w = F.pow(F.lit(1.0 - self.a), gap)
+        return w / (w + F.lit(self.a))
+
+    def stages(self) -> list[dict[str, Column]]:
+        """Window columns, each stage reading the ones before it: ``_e_x``, the mean
+        within the block as ``_e_y``, and what links it to the mean carried in."""
+        s, x = self.s, F.col("_e_x")
+        prev = F.max(F.when(x.isNotNull(), F.col(POS))).over(s.over.rowsBetween(Window.unboundedPreceding, -1))
+        keep, first = self.kept(F.col(POS) - F.col("_e_prev")), F.col("_e_prev").isNull()
+        log = F.when(x.isNull() | first, F.lit(0.0)).otherwise(F.log(keep))
+        gain = F.when(x.isNull(), 0.0).when(first, 1.0).otherwise(1.0 - keep)
+        body = F.sum(F.col("_e_gain") * F.coalesce(x, F.lit(0.0)) * F.exp(-F.col("_e_log") - EWM_SHIFT)).over(s.upto)
+        return [
+            {"_e_x": self.x},
+            {"_e_prev": prev},
+            {"_e_gain": gain, "_e_log": F.sum(log).over(s.upto)},
+            {
+                "_e_y": F.when(F.count(x).over(s.upto) > 0, F.exp(F.col("_e_log") + EWM_SHIFT) * body),
+                "_e_first": F.first(x, ignorenulls=True).over(s.upto),
+            },
+        ]
+
+    def tails(self) -> dict[str, Column]:
+        """What a block's own rows say about it, one row per (keys, block)."""
+        has = F.when(F.col("_e_x").isNotNull(), F.col(POS))
+        return {
+            "_e_at": F.min(has),
+            "_e_to": F.max(has),
+            "_b_y": F.max_by("_e_y", has),
+            "_b_log": F.max_by("_e_log", has),
+            "_b_first": F.min_by("_e_x", has),
         }
-    )
-    carry = _ewm_carry(cut, s, c, name, kept)
-    out = cut.join(carry, [*s.keys, BLK], "left")
-    share = F.exp("_e_log") * kept(F.col("_e_at") - F.col("_e_from"))
-    late = F.col(name) + share * (F.col("_e_in") - F.col("_e_first"))
-    value = F.when(F.col(name).isNull(), F.col("_e_in")).when(F.col("_e_in").isNull(), F.col(name)).otherwise(late)
-    temps = ("_e_prev", "_e_gain", "_e_log", "_e_first", "_e_in", "_e_from", "_e_at")
-    return settle(out.withColumn(name, value), s).drop(*temps)
-
-
-def _ewm_carry(cut: DataFrame, s: Series, c: str, name: str, kept: Callable[[Column], Column]) -> DataFrame:
-    """Per (keys, block): the mean carried in, the slot of its last value and the slot of
-    the block's first value (NULL where there is none)."""
-    has = F.when(F.col(c).isNotNull(), F.col(POS))
-    blocks = cut.groupBy(*s.keys, BLK).agg(
-        F.min(has).alias("_e_at"),
-        F.max(has).alias("_e_to"),
-        F.max_by(name, has).alias("_y"),
-        F.max_by("_e_log", has).alias("_d"),
-        F.min_by(c, has).alias("_f"),
-    )
-    order = Window.partitionBy(*s.keys).orderBy(BLK)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_e_from", F.last("_e_to", ignorenulls=True).over(before))
-    # Over a block the mean becomes m * mean + add; a block without values leaves it.
-    m = F.when(F.col("_e_from").isNull(), F.lit(0.0)).otherwise(
-        F.exp("_d") * kept(F.col("_e_at") - F.col("_e_from"))
-    )
-    step = F.struct(m.alias("m"), (F.col("_y") - m * F.col("_f")).alias("add"))
-    steps = (
-        blocks.where(F.col("_e_at").isNotNull())
-        .withColumn("_steps", F.collect_list(step).over(order.rowsBetween(-(EWM_BLOCKS - 1), 0)))
-        .select(
-            *s.keys,
-            BLK,
-            F.aggregate("_steps", F.lit(0.0), lambda y, b: b["m"] * y + b["add"]).alias("_e_end"),
-        )
-    )
-    ends = blocks.join(steps, [*s.keys, BLK], "left")
-    return ends.select(
-        *s.keys, BLK, "_e_from", "_e_at", F.last("_e_end", ignorenulls=True).over(before).alias("_e_in")
-    )
+
+    def carried(self, blocks: DataFrame) -> DataFrame:
+        """``blocks`` (with ``tails``) with the mean carried in as ``_e_in`` and the slot of
+        its last value as ``_e_from``.  A scan by doubling: after k steps a block holds
+        the composition of its own and the 2**k - 1 steps before it."""
+        order = Window.partitionBy(*self.s.keys).orderBy(BLK)
+        before = order.rowsBetween(Window.unboundedPreceding, -1)
+        out = blocks.withColumn("_e_from", F.last("_e_to", ignorenulls=True).over(before))
+        empty, start = F.col("_e_at").isNull(), F.col("_e_from").isNull()
+        share = F.exp("_b_log") * self.kept(F.col("_e_at") - F.col("_e_from"))
+        out = out.withColumn("_m", F.when(empty, 1.0).when(start, 0.0).otherwise(share))
+        out = out.withColumn("_add", F.when(empty, 0.0).otherwise(F.col("_b_y") - F.col("_m") * F.coalesce("_b_first", F.lit(0.0))))
+        for k in range(EWM_DOUBLINGS):
+            m, add = (F.lag(c, 1 << k).over(order) for c in ("_m", "_add"))
+            out = out.withColumns({"_m": F.col("_m") * F.coalesce(m, F.lit(1.0)), "_add": F.col("_add") + F.col("_m") * F.coalesce(add, F.lit(0.0))})
+        fits = F.row_number().over(order) <= 1 << EWM_DOUBLINGS
+        last = F.when(fits, F.lag("_add").over(order)).otherwise(F.raise_error(F.lit("series of more blocks than EWM_DOUBLINGS allows")))
+        return out.withColumn("_e_in", F.when(F.col("_e_from").isNotNull(), last)).drop("_m", "_add", "_e_to", "_b_y", "_b_log", "_b_first")
+
+    def mean(self, y: Column, log: Column, first: Column) -> Column:
+        """The mean at a row from its block's mean, log share and first value there."""
+        late = y + F.exp(log) * self.kept(F.col("_e_at") - F.col("_e_from")) * (F.col("_e_in") - first)
+        return F.when(y.isNull(), F.col("_e_in")).when(F.col("_e_in").isNull(), y).otherwise(late)
+
+
+EWM_COLUMNS = ("_e_x", "_e_prev", "_e_gain", "_e_log", "_e_y", "_e_first", "_e_in", "_e_from", "_e_at")
+
+
+def ewm(df: DataFrame, s: Series, c: str, name: str, span: int = 8) -> DataFrame:
+    """Recursive exponential mean of ``c`` (see ``Ewm``)."""
+    e = Ewm(s, F.col(c), span)
+    s = s.cut(min(s.rows, e.most))
+    e.s = s
+    cut = spread(df, s)
+    for stage in e.stages():
+        cut = cut.withColumns(stage)
+    blocks = cut.groupBy(*s.keys, BLK).agg(*[x.alias(n) for n, x in e.tails().items()])
+    out = cut.join(e.carried(blocks), [*s.keys, BLK], "left")
+    value = e.mean(F.col("_e_y"), F.col("_e_log"), F.col("_e_first"))
+    return settle(out.withColumn(name, value), s).drop(*EWM_COLUMNS)
 
 
 def seasonal_mean(

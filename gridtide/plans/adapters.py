@@ -207,3 +207,53 @@ def outages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderdate").cast("timestamp").alias("start"),
         (F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(hours=(n % 70) + F.lit(1))).alias("end"),
     )
+
+
+def analysis(spark: SparkSession, sf_dir: str, s: Series = HOURLY) -> DataFrame:
+    """Analysed weather of the past."""
+    e = events(spark, sf_dir).where(F.col("event_type").isin("click", "signup", "error"))
+    return e.groupBy("zone", s.time_of(s.position()).alias("ts")).agg(
+        (F.avg("k") / 9).alias("mesan_wind_speed"),
+        (F.min("k") / 5 - 6).alias("mesan_temperature"),
+        (F.max("k") / 100).alias("mesan_cloud_fraction"),
+        (F.max("k") / 4).alias("mesan_wind_gust"),
+    )
+
+
+def live_forecast(spark: SparkSession, sf_dir: str, s: Series = HOURLY) -> DataFrame:
+    """A second weather forecast, with more measures."""
+    e = events(spark, sf_dir).where(F.col("event_type") != "view")
+    return e.groupBy("zone", s.time_of(s.position()).alias("ts")).agg(
+        (F.avg("k") / 11).alias("fcst_wind_10m"),
+        (F.max("k") / 4 - 8).alias("fcst_temperature"),
+        F.min("k").alias("fcst_cloud_cover"),
+        (F.max("k") / 3).alias("fcst_wind_gust"),
+        (F.avg("k") / 100).alias("fcst_precip_prob"),
+        (F.min("k") / 100).alias("fcst_thunderstorm_prob"),
+    )
+
+
+def generation_rows(spark: SparkSession, sf_dir: str, s: Series = HOURLY) -> DataFrame:
+    """Wind and solar forecast under their feed's names."""
+    e = events(spark, sf_dir)
+    part = lambda t: F.sum(F.when(F.col("event_type") == t, F.col("value")))
+    return e.groupBy("zone", s.time_of(s.position()).alias("ts")).agg(
+        part("purchase").alias("Wind Onshore"), part("signup").alias("Solar")
+    )
+
+
+def unit_outages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors as outage reports of a user's unit, in the days of the price table."""
+    e = events(spark, sf_dir).where(F.col("event_type") == "error")
+    kind = F.col("event_id") % 3
+    return e.select(
+        "zone",
+        F.col("user_id").alias("mrid"),
+        (F.col("event_id") % 2).cast("int").alias("revision"),
+        F.when(F.col("user_id") % 5 == 0, "Hydro").otherwise("Nuclear").alias("plant_type"),
+        F.when(kind == 0, "Unplanned outage").when(kind == 1, "Planned maintenance").alias("businesstype"),
+        F.col("value").alias("nominal_power"),
+        F.lit(20.0).alias("avail_qty"),
+        F.col("ts").alias("start"),
+        (F.col("ts") + F.make_dt_interval(hours=F.col("event_id") % 9 + F.lit(1))).alias("end"),
+    )

@@ -24,7 +24,6 @@ from gridtide.models.splits import CORE_LAGS, tail_fraction, time_split
 from gridtide.operators.blocks import HOURLY, QUARTER, Series, attach
 from gridtide.operators.grid import ffill, future_grid
 from gridtide.operators.joins import latest_before, nearest, run_history
-from gridtide.operators.windows import ewm
 from gridtide.plans import evaluate
 from gridtide.session import materialize
 
@@ -273,13 +272,15 @@ def forecast_recursive(
         F.flatten(F.sort_array(F.collect_list(F.struct("_k", "_c")))["_c"]).alias("calendar")
     )
     batch = states.join(ahead, [*s.keys, "generated_at"])
-    tables, leaves = node_tables(model), model.leaves
+    known = hist.sparkSession.sparkContext.broadcast((node_tables(model), model.table))  # bounded by the forest's shape
+    alphas, trees = list(model.alphas.values()), model.trees
     depth = model.forest.getOrDefault("maxDepth")
     position = {c: i for i, c in enumerate(feature_names)}
     decay = 7.0 / 9.0
     key_cols = [*s.keys, "generated_at", "last_ts"]
 
     def advance(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables, table = known.value
         for b in batches:
             if b.empty:
                 continue
@@ -303,11 +304,8 @@ def forecast_recursive(
                 if k and "dir_lag_1" in position:
                     x[:, position["dir_lag_1"]] = np.sign(mem[:, -1])
                 filled = np.where(np.isnan(x), MISSING, x)
-                hit = [leaf_of(filled, t, depth) for t in tables]
-                q = np.sort(
-                    np.stack([np.mean([np.asarray(leaves[a][i])[h] for i, h in enumerate(hit)], axis=0) for a in leaves]),
-                    axis=0,
-                )
+                hit = np.stack([leaf_of(filled, t, depth) for t in tables], axis=1)
+                q = table.quantiles(hit, alphas, trees).T
                 mem = np.concatenate([mem[:, 1:], q[1][:, None]], axis=1)
                 ewa = decay * ewa + (1 - decay) * q[1]
                 out = b[key_cols].copy()
@@ -367,7 +365,6 @@ def forecast_spike_path(
     both = past.withColumn("_ahead", F.lit(False)).unionByName(path)
     # Several passes follow over the runs' own short series.
     both = materialize(ffill(both, per_run, ["imbl_price"], limit=MEMORY), "path")
-    both = ewm(both, per_run, "imbl_price", fi.EWA)
     m = Matrix(both, per_run, back=fi.REACH)
     fi.price_lags(m)
     fi.price_rolls(m)
@@ -465,11 +462,16 @@ def eval_horizons(
     hist: DataFrame, horizons: Sequence[int] = (1, 4, 8), s: Series = QUARTER, test_days: int = 60,
     trees: int = 20, depth: int = 6,
 ) -> DataFrame:
-    """Error of the price model for several horizons, one fit each."""
+    """Error of the price model for several horizons, one fit each.
+
+    The features do not depend on the horizon, so one matrix holds the targets of all; it
+    is written once and each fit reads its own target column.
+    """
+    feats = materialize(fi.imbalance_features(hist, horizons, s), "features")
     parts = []
     for h in horizons:
-        feats = fi.imbalance_features(hist, h, s)
-        model, test = fit_imbalance(feats, s, test_days, trees=trees, depth=depth)
+        own = feats.withColumnsRenamed({f"{t}_{h}": t for t in fi.TARGETS})
+        model, test = fit_imbalance(own, s, test_days, trees=trees, depth=depth)
         scored = score_imbalance(model, test)
         parts.append(evaluate.eval_imbalance(scored).withColumn("horizon", F.lit(h)))
     out = parts[0]

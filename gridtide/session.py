@@ -51,13 +51,19 @@ def shared_folder(spark: SparkSession) -> str:
 _made: list[tuple[SparkSession, str]] = []
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that ``release`` deletes like the written tables."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write a frame that several jobs will read as a table in the shared folder and
     return a scan of it.  Lost executors cost a re-read, not the whole plan, and later
     jobs still prune columns.  ``release`` deletes what was written."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

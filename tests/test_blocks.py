@@ -1,15 +1,18 @@
 """Cut series give the rows of uncut ones, whatever the block length."""
 
 import math
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gridtide.features.imbalance import imbalance_features
-from gridtide.operators import grid, windows
+from gridtide.operators import grid, joins, windows
 from gridtide.operators.blocks import QUARTER
-from tests.helpers import close, same_rows, series, values, wave_frame
+from gridtide.session import materialize
+from tests.helpers import at, close, same_rows, series, values, wave_frame
+from tests.test_plans import plan
 
 SMALL, WHOLE = QUARTER.cut(37), QUARTER.cut(10**9)
 
@@ -124,3 +127,64 @@ def test_feature_matrix_cut_equals_whole(frame):
     b = imbalance_features(frame, s=QUARTER.cut(2500))
     assert a.count() == frame.count()
     assert same_rows(a, b, 6)
+
+
+def test_ewm_of_wide_spans_over_many_blocks(spark):
+    """One value per block of 2,880 slots: the mean reaches back over all of them."""
+    rng = np.random.default_rng(2)
+    n, step = 400, 2880
+    known = (100 + rng.normal(0, 20, n)).tolist()
+    rows = [("A", at(k * step), v) for k, v in enumerate(known)]
+    df = spark.createDataFrame(rows, "zone string, ts timestamp, imbl_price double")
+    for span in (8, 5001, 20001):
+        a, want, y = 2 / (span + 1), [], None
+        w = (1 - a) ** step
+        for v in known:
+            y = v if y is None else (w * y + a * v) / (w + a)
+            want.append(y)
+        got = [r.e for r in windows.ewm(df, QUARTER, "imbl_price", "e", span).orderBy("ts").collect()]
+        assert np.allclose(got, want, rtol=1e-9)
+
+
+def test_sweep_blocks_have_equal_depth(spark):
+    """A burst within a minute and one stray time still end in many blocks."""
+    burst = spark.range(200_000).select(F.lit("A").alias("zone"), (F.col("id") * 300 + 10**12).alias("_t"))
+    stray = spark.createDataFrame([("A", 0), ("B", 5)], "zone string, _t long")
+    blocks = joins._blocked(burst.unionByName(stray), ["zone"], 5_000).groupBy("zone", "_blk").count().collect()
+    sizes = [r["count"] for r in blocks if r.zone == "A"]
+    assert len(sizes) >= 40 and max(sizes) <= 10_000 and sum(sizes) == 200_001
+    assert [r["count"] for r in blocks if r.zone == "B"] == [1]
+    cut = joins._blocked(burst, ["zone"], 100).groupBy("_blk").agg(F.min("_t").alias("a"), F.max("_t").alias("b"), F.count("*").alias("n"))
+    cut = cut.orderBy("_blk").collect()
+    assert all(x.b < y.a for x, y in zip(cut, cut[1:])) and max(r.n for r in cut) <= 400
+
+
+def test_interval_sums_return_to_zero(spark):
+    iv = spark.range(50_000).select(
+        F.lit("A").alias("zone"), (F.col("id") % 7 / 10 + 0.1).alias("mw"),
+        F.timestamp_seconds(1735689600 + F.col("id") % 400 * 900).alias("start"),
+        F.timestamp_seconds(1735689600 + (F.col("id") % 400 + F.col("id") % 90 + 1) * 900).alias("end"),
+    )
+    outside = spark.createDataFrame([("B", 5.0, at(-50), at(-40))], "zone string, mw double, start timestamp, end timestamp")
+    got = grid.expand_intervals(
+        iv.unionByName(outside), QUARTER.cut(96), "mw", "start", "end", "2025-01-01", "2025-01-08", {"all": F.lit(True), "none": F.lit(False)}
+    ).toPandas()
+    a = got[got["zone"] == "A"].sort_values("ts")["all"].to_numpy()
+    want = np.zeros(673, dtype=np.int64)
+    for i in range(50_000):
+        want[i % 400 : i % 400 + i % 90 + 1] += i % 7 + 1
+    assert (a == want / 10).all() and (a[495:] == 0).all()
+    assert (got[got["zone"] == "B"]["all"] == 0).all() and len(got) == 2 * 673 and (got["none"] == 0).all()
+
+
+def test_medians_of_many_columns_in_one_pass(spark):
+    rng = np.random.default_rng(6)
+    data = {f"c{i}": [None if rng.random() < 0.3 else float(v) for v in rng.normal(0, 10, 200)] for i in range(6)}
+    data["c6"] = [None] * 199 + [3.0]
+    df = materialize(series(spark, data))
+    out = grid.fill_median(df, list(data))
+    got = out.orderBy("ts").toPandas()
+    for c, v in data.items():
+        med = float(np.median([x for x in v if x is not None]))
+        assert np.allclose(got[c], [med if x is None else x for x in v])
+    assert len(re.findall("FileScan", plan(out))) <= 4  # for one column as for many

@@ -1,6 +1,7 @@
 """Landed files, upserts and table maintenance on real folders."""
 
 import json
+import os
 import uuid
 
 import pytest
@@ -137,6 +138,63 @@ def test_scan_prunes_folders_and_pushes_time(spark, folder):
     assert "PartitionFilters: [isnotnull(year" in plan and "GreaterThanOrEqual(ts" in plan
 
 
+def test_upserts_read_only_what_the_rows_touch(spark, folder, monkeypatch):
+    store = Store(spark, folder)
+    old = spark.createDataFrame([("A", at(-9000, 60), 1.0), ("B", at(0, 60), 2.0)], "zone string, ts timestamp, price_eur_mwh double")
+    store.insert_ignore("prices", old.unionByName(_prices(spark, [3.0])))
+    read, plans = Store._read, []
+
+    def spied(self, name, leaves):
+        plans.append(sorted((z, y) for _, z, y in leaves))
+        return read(self, name, leaves)
+
+    monkeypatch.setattr(Store, "_read", spied)
+    store.insert_ignore("prices", _prices(spark, [9.0, 4.0]))
+    store.insert_replace("prices", _prices(spark, [5.0], start=1))
+    assert plans == [[("A", 2025)], [("A", 2025), ("A", 2025)]]
+    assert values(store.scan("prices"), "price_eur_mwh") == [1.0, 3.0, 5.0, 2.0]
+    store.insert_ignore("prices", _prices(spark, []))
+    assert store.scan("prices").count() == 4
+
+
+def test_readers_see_one_state(spark, folder, monkeypatch):
+    store = Store(spark, folder)
+    store.insert_ignore("prices", _prices(spark, [1.0]))
+    before = store.scan("prices")
+    store._load(_prices(spark, [7.0, 8.0]), "prices")  # a writer that died before its list
+    assert values(store.scan("prices"), "price_eur_mwh") == [1.0]
+    store.insert_replace("prices", _prices(spark, [2.0]))
+    assert values(before, "price_eur_mwh") == [1.0] and values(store.scan("prices"), "price_eur_mwh") == [2.0]
+    stale = [store._numbers("prices")[0]]
+    monkeypatch.setattr(Store, "_numbers", lambda self, name: stale)
+    with pytest.raises(RuntimeError, match="somebody else"):
+        store.insert_replace("prices", _prices(spark, [3.0]))
+
+
+def test_zones_with_odd_names(spark, folder):
+    store = Store(spark, folder)
+    rows = _prices(spark, [1.0, 2.0]).withColumn("zone", F.lit("S/E=3 x"))
+    store.insert_ignore("prices", rows)
+    store.insert_ignore("prices", rows)
+    assert [(r.zone, r.price_eur_mwh) for r in store.scan("prices", ordered=True).collect()] == [("S/E=3 x", 1.0), ("S/E=3 x", 2.0)]
+
+
+def test_sync_skips_files_in_the_ledger(spark, folder):
+    store = Store(spark, folder + "/t")
+    land_at = f"{folder}/in"
+    os.makedirs(land_at)
+    land(land_at, [{"timestampUTC": "2025-01-01T00:00:00Z", "imblSalesPrice": 1}], "a")
+    seen = []
+
+    def parse(payloads):
+        seen.append(payloads.count())
+        return feeds.parse_imbalance(payloads)
+
+    for _ in range(2):
+        rep = sync(store, {}, {"imbalance_prices": (feeds.payloads(spark, land_at, "SE3"), parse)})
+    assert seen == [1, 0] and rep.first().n == 1
+
+
 def test_missing_table_reads_empty(spark, folder):
     store = Store(spark, folder)
     assert store.scan_optional("weather").count() == 0
