@@ -96,6 +96,13 @@ def scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     return total
 
 
+def foremost(rough: np.ndarray, n: int, slack: float) -> np.ndarray:
+    """Positions of all values that may be among the n largest, each known up to ``slack``."""
+    if len(rough) <= n:
+        return np.arange(len(rough))
+    return np.flatnonzero(rough >= np.partition(rough, len(rough) - n)[len(rough) - n] - 2 * slack)
+
+
 def nearest(
     table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
     trees: int = TREES, bits: int = BITS, candidates: int = CANDIDATES, shard: int = SHARD, seed: int = SEED,
@@ -195,15 +202,18 @@ def nearest(
         order = np.argsort(left.column("s").to_numpy(), kind="stable")
         array, x = left.column("s").to_numpy()[order], _matrix(left.column("v"), dimensions)[order]
         keys = left.column("key").to_numpy()[order]
+        slack = 1e-12 * np.abs(x).sum(axis=1).max(initial=0)  # above the rounding of a product of either kind
         out: list[tuple] = []
         for key, s, stop, q in zip(
             right.column("key").to_pylist(), right.column("s").to_pylist(), right.column("level").to_pylist(), _matrix(right.column("v"), dimensions)
         ):
             a, b = prefix_ranges(array, s, bits)
             lo, hi = int(a[stop]), int(b[stop])
-            rough = x[lo:hi] @ q
-            best = np.argpartition(-rough, k + 4)[: k + 5] if len(rough) > k + 5 else np.arange(len(rough))
-            out += zip([key] * len(best), keys[lo + best].tolist(), scores(x[lo + best], q).tolist())
+            best = lo + foremost(x[lo:hi] @ q, k + 5, slack * np.abs(q).max(initial=0))
+            exact = scores(x[best], q)
+            # Of equal scores the smaller ids come first, whatever vectors they belong to.
+            first = np.lexsort((keys[best], -exact))[: k + 5]
+            out += zip([key] * len(first), keys[best[first]].tolist(), exact[first].tolist())
         names = ("key", "found", "score")
         kinds = (pa.int64(), pa.int64(), pa.float64())
         return pa.table({n: pa.array([o[i] for o in out], t) for i, (n, t) in enumerate(zip(names, kinds))})

@@ -26,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+EXAMPLE_KEY = "an example key; a job takes its own from a secret store"
 ROUNDS = 12
 FIRST_DAY = "1900-01-01"
 DAYS = (17, 4297)  # their product is the number of days from 1900 to 2099

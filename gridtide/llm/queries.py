@@ -15,7 +15,7 @@ from gridtide.llm.exact_dedup import exact_duplicates
 from gridtide.llm.manifest import Manifest, digest_of, verified
 from gridtide.llm.negatives import hard_negatives
 from gridtide.llm.neighbours import nearest
-from gridtide.llm.pii import pseudonymise
+from gridtide.llm.pii import EXAMPLE_KEY, pseudonymise
 from gridtide.llm.sentencepiece import Pieces, decode, encode
 from gridtide.llm.simhash import near_duplicates
 from gridtide.llm.token_counts import token_counts
@@ -121,13 +121,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-KEY = "an example key; a job takes its own from a secret store"
-
-
 @register
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonymise(docs, KEY, count_col="n_replaced")
+    return pseudonymise(docs, EXAMPLE_KEY, count_col="n_replaced")
 
 
 @register

@@ -96,3 +96,12 @@ def test_few_rows_and_no_rows(spark):
     assert got == {0: [(1, 16.0), (20, 8.0)], 20: [(1, 16.0), (0, 8.0)]}
     assert nearest(frame(spark, []), F.col("vec_id") % 20 == 0).collect() == []
     assert nearest(frame(spark, [(0, None)]), F.col("vec_id") % 20 == 0).collect() == []
+
+
+def test_equal_scores_of_different_vectors_go_by_id(spark):
+    """Every vector has the same product with the query, and ids run against their order."""
+    rng = np.random.default_rng(5)
+    rows = [(1000, [1.0] + [0.0] * 7)] + [(399 - i, [1.0, *rng.integers(1, 1000, 7).tolist()]) for i in range(400)]
+    rows = [(i, [float(c) for c in v]) for i, v in rows]
+    got = collected(nearest(frame(spark, rows), F.col("vec_id") == 1000, shard=50, trees=6))
+    assert got == {1000: [(i, 1.0) for i in range(20)]}
