@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from gridtide.llm.exact_dedup import drop_copies
 from gridtide.llm.packing import packed, words
-from gridtide.llm.pii import pseudonymise
+from gridtide.llm.pii import EXAMPLE_KEY, pseudonymise
 from gridtide.llm.simhash import drop_near_copies
 from gridtide.llm.toxicity import drop_toxic
 from gridtide.session import materialize
 
-KEY = "an example key; a job takes its own from a secret store"
+KEY = EXAMPLE_KEY
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
