@@ -11,10 +11,11 @@ from gridtide.catalog.align import BY, IMB
 from gridtide.catalog.core import query
 from gridtide.features import imbalance as fi
 from gridtide.features.imbalance import imbalance_features
+from gridtide.features import spot as fs
 from gridtide.features.spot import ANCHOR_WEIGHTS, spot_features
 from gridtide.functions import calendar as cal
 from gridtide.functions import scalars
-from gridtide.operators import quantiles
+from gridtide.operators import projections, quantiles
 from gridtide.operators.blocks import attach
 from gridtide.plans import adapters as A
 from gridtide.plans import master
@@ -512,3 +513,90 @@ def spot_feature_matrix(spark, sf):
 )
 def spot_anchor_features(spark, sf):
     return spot_features(spot_frame_of(spark, sf), anchors=True)
+
+
+# --- every column of the spot matrix ---------------------------------------------
+
+SMHI = ["smhi_wind_speed_ms", "smhi_wind_gust_ms", "smhi_cloud_fraction", "smhi_temperature_c", "smhi_precip_prob"]
+_SPOT_LAGS = {
+    **{f"price_lag_{n}h": ("price_eur_mwh", n) for n in (24, 48, 168)},
+    "wind_gen_lag24": ("wind_gen_mw", 24), "load_lag24": ("load_mw", 24), "nuclear_gen_lag24": ("nuclear_gen_mw", 24),
+    "nuclear48": ("nuclear_gen_mw", 48), **{f"{c}_lag{n}": (c, n) for c in FLOW for n in (24, 168)},
+    "net_pos_lag24": ("net_position_mw", 24), "imbl_price_lag24": ("imbl_price", 24), "imbl_price_lag168": ("imbl_price", 168),
+    "imbl_direction_lag24": ("direction", 24),
+}
+_HOURLY_HARMONICS = [(p, v, n, k) for p, v, n, top in (
+    ("daily", "slot", 24, 3), ("weekly", "how", 168, 3), ("annual", "hoy", 8760, 2)
+) for k in range(1, top + 1)]
+_SPOT_TIMES = {"night": "is_night", "peak": "is_peak", "weekend": "is_weekend", "winter": "CAST(season = 1 AS INT)", "summer": "CAST(season = 3 AS INT)"}
+_SPOT_SQL = SPOT + f""", {P.LOCATION_FORECAST}, sj AS (SELECT * FROM sf LEFT JOIN lf USING (zone, ts)),
+a0 AS (SELECT *, {", ".join(f"lag({c}, {n}) OVER w AS {name}" for name, (c, n) in _SPOT_LAGS.items())},
+  {' + '.join(f'lag(price_eur_mwh, {n}) OVER w * {x}' for n, x in ANCHOR_WEIGHTS.items())} AS price_ewa,
+  (lag(price_eur_mwh, 24) OVER w + lag(price_eur_mwh, 48) OVER w + lag(price_eur_mwh, 72) OVER w) / 3 AS price_3d_mean,
+  ({' + '.join(f'lag(windspeed_100m, {n}) OVER w' for n in fs.WEEK_LAGS)}) / 7 AS wind_7d_mean,
+  lag(CASE WHEN abs(imbl_price) > 200 THEN 1 ELSE 0 END, 24) OVER w AS imbl_spike_flag_lag24,
+  lag(up_reg_price - down_reg_price, 24) OVER w AS imbl_spread_lag24 FROM sj WINDOW w AS ({BY})),
+a1 AS (SELECT *, {_roll('price_lag_24h', 168, 'avg')} AS price_roll_168h_mean, {_roll('price_lag_24h', 168, 'stddev_samp')} AS price_roll_168h_std,
+  {_roll('price_lag_24h', 720, 'avg')} AS price_roll_720h_mean, {_roll('nuclear_gen_lag24', 168, 'max')} - nuclear_gen_lag24 AS nuclear_shortfall,
+  {_roll('net_pos_lag24', 168, 'avg')} AS net_pos_roll7d, {_roll('imbl_price_lag24', 24, 'avg')} AS imbl_roll_24h_mean,
+  {_roll('imbl_price_lag24', 24, 'stddev_samp')} AS imbl_roll_24h_std, windspeed_100m - wind_7d_mean AS wind_surprise FROM a0),
+{calendar_sql('a1', 24)},
+a2 AS (SELECT *, {wave_sql("hour", 24, "hour_{}")}, {wave_sql("month", 12, "month_{}")}, {wave_sql("dayofweek", 7, "dow_{}")},
+  {", ".join(wave_sql(v, n, p + "_{}_k" + str(k), k) for p, v, n, k in _HOURLY_HARMONICS)} FROM cal)
+SELECT *, price_lag_24h - price_ewa AS price_lag24_vs_ewa, price_lag_24h - price_3d_mean AS price_lag24_vs_3d,
+  price_roll_720h_mean * price_roll_168h_std AS regime_x_vol, price_lag_24h * hour_sin AS lag24_x_hour_sin,
+  price_lag_24h * hour_cos AS lag24_x_hour_cos,
+  CASE WHEN 15 - temperature < 0 THEN 0 ELSE 15 - temperature END AS heating_degree, cloudcover * solar_radiation AS cloud_x_solar,
+  wind_surprise * is_night AS wind_surprise_x_night, wind_surprise * price_ewa AS wind_vs_ewa,
+  {", ".join(f"windspeed_100m * {x} AS wind_x_{n}" for n, x in _SPOT_TIMES.items())}, windspeed_100m * windspeed_100m AS wind_squared,
+  {", ".join(f"temperature * {x} AS temp_x_{n}" for n, x in _SPOT_TIMES.items() if n in ("night", "peak", "winter"))},
+  windspeed_100m - fcst_wind_100m AS fcst_wind_surprise, cloudcover - fcst_cloud_cover AS fcst_cloud_surprise,
+  smhi_wind_speed_ms - windspeed_100m AS smhi_wind_surprise, wind_gen_lag24 / nullif(load_lag24 + 1, 0) AS wind_load_ratio,
+  wind_gen_lag24 * is_night AS wind_gen_x_night, wind_gen_lag24 * is_weekend AS wind_gen_x_weekend,
+  CASE WHEN load_lag24 - wind_gen_lag24 < 0 THEN 0 ELSE load_lag24 - wind_gen_lag24 END AS load_residual,
+  nuclear_gen_lag24 - nuclear48 AS nuclear_ramp_24h, nuclear_gen_lag24 * is_peak AS nuclear_x_peak,
+  flow_se4_mw_lag24 * is_peak AS se4_x_peak FROM a2"""
+_SPOT_WHOLE = {"season", "is_night", "is_peak", "is_weekend", "is_holiday", "imbl_spike_flag_lag24"}
+_SPOT_ALL = [
+    "price_lag_24h", *fs.PRICE, *fs.CALENDAR, "temperature", "windspeed_100m", "cloudcover", "heating_degree", "wind_7d_mean", "wind_surprise",
+    "wind_surprise_x_night", "wind_vs_ewa", *[f"wind_x_{n}" for n in _SPOT_TIMES], "wind_squared", "temp_x_night", "temp_x_peak",
+    "temp_x_winter", "cloud_x_solar", *WF, "fcst_wind_surprise", "fcst_cloud_surprise", *SMHI, "smhi_wind_surprise", *fs.GENERATION,
+    "nuclear_gen_lag24", "nuclear_ramp_24h", "nuclear_shortfall", "nuclear_x_peak",
+    *[f"{c}_lag{n}" for c in FLOW for n in (24, 168)], "net_pos_lag24", "net_pos_roll7d", "se4_x_peak", *fs.IMBALANCE,
+]
+
+
+@query(
+    "spot_feature_columns",
+    "zone:s ts:t " + " ".join(f"{c}:{'i' if c in _SPOT_WHOLE else 'd'}" for c in _SPOT_ALL),
+    _SPOT_SQL,
+)
+def spot_feature_columns(spark, sf):
+    """Every column of the spot matrix, the point forecast among them."""
+    frame = spot_frame_of(spark, sf).join(A.location_forecast(spark, sf), ["zone", "ts"], "left")
+    return spot_features(frame)
+
+
+_MODES = {
+    "regression": [*fi.BASE, *fi.CALENDAR, *fi.WEATHER, *fi.INTERACTIONS, *fi.REGULATION, *fi.FORECAST, *fi.NUCLEAR, *fi.GENERATION],
+    "spike": [*fi.BASE, *fi.SPIKE, *fi.CALENDAR, *fi.WEATHER, *fi.FORECAST, *fi.NUCLEAR, *fi.GENERATION],
+}
+_MODES = {m: list(dict.fromkeys([*cs, *[f"{f}_lag4" for f in FLOW], "net_pos_lag4", "net_pos_roll1d"])) for m, cs in _MODES.items()}
+_NAMED = list(dict.fromkeys(c for cs in _MODES.values() for c in cs))
+
+
+@query(
+    "feature_names",
+    "mode:s position:i feature:s",
+    f"""WITH m AS ({MASTER + _MATRIX_SQL}),
+    k AS (SELECT unnest([{", ".join(f"'{c}'" for c in _NAMED)}]) AS feature, unnest([{", ".join(f"count({c})" for c in _NAMED)}]) AS n FROM m),
+    w AS (SELECT * FROM (VALUES {", ".join(f"('{m}', {i}, '{c}')" for m, cs in _MODES.items() for i, c in enumerate(cs))}) t(mode, i, feature))
+    SELECT mode, row_number() OVER (PARTITION BY mode ORDER BY i) - 1 AS position, feature FROM w JOIN k USING (feature) WHERE n > 0""",
+)
+def feature_names(spark, sf):
+    """The ordered features of two modes that hold values in the matrix of all sources."""
+    feats = imbalance_features(master_of(spark, sf))
+    names = {m: fi.feature_list(feats.columns, m) for m in ("regression", "spike")}
+    known = projections.known_columns(feats, sorted({c for cs in names.values() for c in cs}))
+    rows = [(m, i, c) for m in names for i, c in enumerate(fi.feature_list(feats.columns, m, known))]
+    return spark.createDataFrame(rows, "mode string, position int, feature string")

@@ -219,6 +219,26 @@ def hindcast_slots(spark, sf):
     )
 
 
+@query(
+    "live_forecast_slots",
+    "zone:s generated_at:t ts:t ordered:i has_regime:i",
+    P.with_parts(P.EVENTS, P.IMBALANCE, P.DENSE_IMBALANCE, _HISTORY)
+    + """, c AS (SELECT zone, ts, count(p) OVER (PARTITION BY zone ORDER BY ts ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) = 4 AS complete FROM hist),
+    l AS (SELECT zone, max(ts) AS generated_at, max(ts) FILTER (complete) AS last_ts FROM c GROUP BY zone)
+    SELECT zone, generated_at, last_ts + k * INTERVAL 15 MINUTE AS ts, 1 AS ordered, 1 AS has_regime
+    FROM (SELECT *, unnest(generate_series(1, 96)) AS k FROM l WHERE last_ts IS NOT NULL)""",
+)
+def live_forecast_slots(spark, sf):
+    """Slots of the live forecast, which has a price band and a regime for each."""
+    hist = _history(spark, sf)
+    feats = materialize(imbalance_features(hist), "features")
+    prices, _ = forecast.fit_imbalance(feats, test_days=6, trees=6, depth=4)
+    spikes, _ = forecast.fit_spike_model(feats, test_days=6, rounds=3, least=100)
+    fc = forecast.live_forecast(hist, feats, prices, spikes)
+    order = (F.col("p05") <= F.col("p50")) & (F.col("p50") <= F.col("p95"))
+    return fc.select("zone", "generated_at", "ts", order.cast("int").alias("ordered"), F.col("regime").isNotNull().cast("int").alias("has_regime"))
+
+
 def _spot_features(spark, sf):
     return materialize(spot_features(spot_frame_of(spark, sf)), "features")
 

@@ -8,11 +8,11 @@ from gridtide.catalog import sql_parts as P
 from gridtide.catalog.align import BY, IMB, PR
 from gridtide.catalog.core import query
 from gridtide.catalog.features import MASTER, MASTER_FOUR, WF, four_sources, master_of
+from gridtide.features.imbalance import imbalance_features
 from gridtide.functions.scalars import is_spike
 from gridtide.operators import aggregates, quantiles
 from gridtide.operators.blocks import HOURLY
 from gridtide.plans import adapters as A
-from gridtide.plans import master
 from gridtide.plans import evaluate, master, serve
 
 SC = P.with_parts(P.EVENTS, P.PRICES, P.DENSE_PRICES, P.RUNS, P.SCORED)
@@ -392,6 +392,25 @@ def baseline_metrics(spark, sf):
     return evaluate.eval_baselines(A.scored(spark, sf), preds, 100)
 
 
+@query(
+    "imbalance_baselines", "baseline:s n:i mae:d rmse:d direction_accuracy:d",
+    MASTER_FOUR + """, l AS (SELECT *, lag(imbl_price, 1) OVER w AS lag1, count(imbl_price) OVER h AS known, avg(imbl_price) OVER h AS hour_mean
+      FROM mf WINDOW w AS (PARTITION BY zone ORDER BY ts), h AS (PARTITION BY zone ORDER BY ts ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)),
+    sc AS (SELECT imbl_price AS y, lag1, CASE WHEN known = 4 THEN hour_mean END AS mean_1h, spot_price FROM l WHERE imbl_price IS NOT NULL) """
+    + " UNION ALL ".join(
+        f"""SELECT '{n}' AS baseline, count(y) AS n, avg(abs({c} - y)) AS mae, sqrt(avg(({c} - y) * ({c} - y))) AS rmse,
+        {_DIR.format(p=c)} AS direction_accuracy FROM sc WHERE {c} IS NOT NULL HAVING count(y) > 0"""
+        for n, c in (("persistence", "lag1"), ("mean_1h", "mean_1h"), ("spot_proxy", "spot_price"))
+    ),
+)
+def imbalance_baselines(spark, sf):
+    """The last known price, the mean of the last hour and the day-ahead price as forecasts."""
+    frame = master.master_frame(A.imbalance(spark, sf), four_sources(spark, sf))
+    feats = imbalance_features(frame).where(F.col("imbl_price").isNotNull())
+    rows = feats.select(F.col("imbl_price").alias("y"), F.col("imbl_lag_1").alias("lag1"), F.col("imbl_roll_1h_mean").alias("mean_1h"), "spot_price")
+    return evaluate.eval_baselines(rows, {"persistence": "lag1", "mean_1h": "mean_1h", "spot_proxy": "spot_price"})
+
+
 _CURVE = SC + """, c AS (SELECT spike_proba AS s, sum(y_spike) AS pos, sum(1 - y_spike) AS neg FROM sc GROUP BY ALL),
   k AS (SELECT *, sum(pos) OVER (ORDER BY s DESC) AS tp, sum(neg) OVER (ORDER BY s DESC) AS fp,
     sum(pos) OVER () AS all_pos, sum(neg) OVER () AS all_neg FROM c)"""
@@ -843,3 +862,94 @@ def freshness(spark, sf):
     fc = A.forecast_runs(spark, sf)
     early = fc.where(F.col("generated_at") < F.lit("2024-01-31 12:00:00").cast("timestamp"))
     return serve.freshness({"forecasts": fc, "earlier": early}, F.lit("2024-02-01 06:30:00").cast("timestamp"))
+
+
+@query(
+    "recent_weather", "zone:s ts:t temperature:d windspeed_100m:d cloudcover:d",
+    P.with_parts(P.EVENTS, P.WEATHER) + "SELECT * FROM wx QUALIFY row_number() OVER (PARTITION BY zone ORDER BY ts DESC) <= 24",
+)
+def recent_weather(spark, sf):
+    return serve.recent_weather(A.weather(spark, sf), 24)
+
+
+@query(
+    "weather_range", "zone:s ts:t temperature:d fcst_temperature:d",
+    P.with_parts(P.EVENTS, P.WEATHER, P.WEATHER_FORECAST)
+    + """SELECT wx.zone, wx.ts, temperature, fcst_temperature FROM wx LEFT JOIN wf USING (zone, ts)
+    WHERE wx.ts BETWEEN TIMESTAMP '2024-01-04' AND TIMESTAMP '2024-01-12 06:00:00'""",
+)
+def weather_range(spark, sf):
+    """Weather of a range with the forecast beside it."""
+    view = master.weather_view(A.weather(spark, sf), {"fcst": (A.weather_forecast(spark, sf), WF)})
+    return serve.explore(view, "2024-01-04", "2024-01-12 06:00:00", "temperature")[0]
+
+
+_PAGE_SQL = """TIMESTAMP '2024-01-31 00:20:00'"""
+
+
+@query(
+    "imbalance_page_settled", "zone:s imbl_price:d ts:t age_minutes:i",
+    P.with_parts(P.EVENTS, P.IMBALANCE)
+    + f"""SELECT zone, arg_max(imbl_price, ts) AS imbl_price, max(ts) AS ts,
+      CAST(floor(epoch({_PAGE_SQL} - max(ts)) / 60) AS BIGINT) AS age_minutes
+    FROM imb WHERE imbl_price IS NOT NULL AND ts >= {_PAGE_SQL} - INTERVAL 168 HOUR GROUP BY zone""",
+)
+def imbalance_page_settled(spark, sf):
+    return _imbalance_page(spark, sf)["settled"]
+
+
+@query(
+    "imbalance_page_actuals", "zone:s ts:t imbl_price:d",
+    P.with_parts(P.EVENTS, P.IMBALANCE, P.DENSE_IMBALANCE) + f"SELECT zone, ts, imbl_price FROM dimb WHERE ts >= {_PAGE_SQL} - INTERVAL 48 HOUR",
+)
+def imbalance_page_actuals(spark, sf):
+    return _imbalance_page(spark, sf)["actuals"]
+
+
+@query(
+    "imbalance_page_forecast", "zone:s ts:t p50:d actual:s",
+    FCQ + f""", l AS (SELECT * FROM fc QUALIFY generated_at = max(generated_at) OVER (PARTITION BY zone)),
+    q AS (SELECT zone, p50, unnest(generate_series(ts, ts + INTERVAL 45 MINUTE, INTERVAL 15 MINUTE)) AS ts FROM l),
+    h AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY zone ORDER BY ts) <= 96),
+    {P.IMBALANCE}
+    SELECT h.zone, h.ts, p50, CASE WHEN imbl_price IS NOT NULL THEN printf('%.1f', round(imbl_price + 1e-9, 1))
+      WHEN h.ts > {_PAGE_SQL} THEN '—' ELSE 'pending' END AS actual
+    FROM h LEFT JOIN imb ON h.zone = imb.zone AND h.ts = imb.ts""",
+)
+def imbalance_page_forecast(spark, sf):
+    return _imbalance_page(spark, sf)["forecast"]
+
+
+_RANGE = SC + f", r AS (SELECT *, {P.local('ts')} AS l FROM sc WHERE CAST({P.local('ts')} AS DATE) BETWEEN DATE '2024-01-08' AND DATE '2024-01-20')"
+
+
+def _backtest(spark, sf):
+    return serve.backtest(A.scored(spark, sf), "2024-01-08", "2024-01-20")
+
+
+@query("backtest_range_daily", "day:s mae:d", _RANGE + " SELECT strftime(l, '%Y-%m-%d') AS day, avg(abs(p50 - y)) AS mae FROM r GROUP BY ALL")
+def backtest_range_daily(spark, sf):
+    return _backtest(spark, sf)["daily"]
+
+
+@query("backtest_range_hours", "hour:i mae:d", _RANGE + " SELECT hour(l) AS hour, avg(abs(p50 - y)) AS mae FROM r GROUP BY ALL")
+def backtest_range_hours(spark, sf):
+    return _backtest(spark, sf)["by_hour"]
+
+
+@query(
+    "backtest_range_distribution", "mean:d median:d std:d min:d max:d",
+    _RANGE + " SELECT avg(y) AS mean, median(y) AS median, stddev_samp(y) AS std, min(y) AS min, max(y) AS max FROM r",
+)
+def backtest_range_distribution(spark, sf):
+    return _backtest(spark, sf)["distribution"]
+
+
+@query(
+    "backtest_range_histogram", "bin:i n:i",
+    _RANGE + """, e AS (SELECT least(greatest(p50 - y, -300), 300) AS x FROM r), b AS (SELECT min(x) AS lo, max(x) AS hi FROM e),
+    k AS (SELECT least(floor((x - lo) / ((hi - lo) / 40)), 39) AS bin, count(*) AS n FROM e, b GROUP BY ALL)
+    SELECT g.bin, coalesce(n, 0) AS n FROM (SELECT unnest(range(40)) AS bin) g LEFT JOIN k ON g.bin = k.bin""",
+)
+def backtest_range_histogram(spark, sf):
+    return _backtest(spark, sf)["histogram"]

@@ -80,6 +80,11 @@ LIVE_FORECAST = """lv AS (
          avg(k) / 100 AS fcst_precip_prob, min(k) / 100 AS fcst_thunderstorm_prob
   FROM ev WHERE event_type <> 'view' GROUP BY ALL)"""
 
+LOCATION_FORECAST = """lf AS (
+  SELECT zone, time_bucket(INTERVAL 1 HOUR, ts) AS ts, avg(k) / 8 AS smhi_wind_speed_ms, max(k) / 5 AS smhi_wind_gust_ms,
+         avg(k) AS smhi_cloud_fraction, min(k) / 4 - 8 AS smhi_temperature_c, avg(k) / 100 AS smhi_precip_prob
+  FROM ev WHERE event_type <> 'purchase' GROUP BY ALL)"""
+
 # The wind and solar forecast on the quarter-hour grid of January, filled 4 slots.
 GENERATION_FORECAST = """gr AS (
   SELECT zone, time_bucket(INTERVAL 1 HOUR, ts) AS ts,

@@ -12,7 +12,8 @@ from gridtide.catalog.features import FILLED_FLOWS, FLOW, WF, WIDE_FLOWS, WX
 from gridtide.operators import grid, joins, projections
 from gridtide.operators.blocks import HOURLY, QUARTER
 from gridtide.plans import adapters as A
-from gridtide.plans import master
+from gridtide.plans import evaluate, master
+from gridtide.schemas import SCHEMAS
 from gridtide.session import scratch_path
 from gridtide.sources import feeds, tables
 
@@ -426,6 +427,126 @@ def store_sync(spark, sf):
     return tables.sync(store, rows)
 
 
+_PREDICTED = "2024-02-01 00:00:00"
+
+
+@query(
+    "store_predictions",
+    "zone:s ts:t generated_at:t p05:d p50:d p95:d",
+    P.with_parts(P.EVENTS, P.PRICES, P.DENSE_PRICES, P.RUNS, P.SCORED)
+    + f"SELECT zone, ts, TIMESTAMP '{_PREDICTED}' AS generated_at, p05, p50, p95 FROM sc",
+)
+def store_predictions(spark, sf):
+    """Predictions of a test set as a forecast run; saving them again changes nothing."""
+    store, scored = _stored(spark), A.scored(spark, sf)
+    for _ in range(2):
+        store.save_predictions("forecasts", scored, F.lit(_PREDICTED))
+    return store.scan("forecasts")
+
+
+@query(
+    "store_decisions",
+    "zone:s ts:t current_threshold:d recommended_threshold:d decision:s applied:s",
+    P.with_parts(P.EVENTS, P.PRICES)
+    + """, d AS (SELECT zone, ts, 0.45 AS current_threshold, least(price_eur_mwh / 200, 1.0) AS recommended_threshold,
+      CASE WHEN price_eur_mwh > 40 THEN 'applied' ELSE 'rejected' END AS decision FROM pr WHERE hour(ts) = 6)
+    SELECT *, CASE WHEN decision = 'applied' THEN 'true' ELSE 'false' END AS applied FROM d""",
+)
+def store_decisions(spark, sf):
+    """The log of threshold decisions, appended to in two parts."""
+    store, log = _stored(spark), _decisions(spark, sf)
+    for early in (True, False):
+        store.append("threshold_decisions", log.where((F.col("ts") < "2024-01-15") == early))
+    return store.scan("threshold_decisions")
+
+
+def _decisions(spark, sf):
+    p = F.col("price_eur_mwh")
+    decision = F.when(p > 40, "applied").otherwise("rejected")
+    return A.prices(spark, sf).where(F.hour("ts") == 6).select(
+        "zone", "ts", F.lit(0.45).alias("current_threshold"), F.least(p / 200, F.lit(1.0)).alias("recommended_threshold"),
+        decision.alias("decision"), F.lit("level").alias("reasoning"), (decision == "applied").alias("applied"),
+    )
+
+
+@query(
+    "store_threshold",
+    "threshold:d ts:t reason:s",
+    P.with_parts(P.EVENTS, P.PRICES)
+    + """, d AS (SELECT ts, avg(least(price_eur_mwh / 200, 1.0)) AS threshold FROM pr
+      WHERE hour(ts) = 6 AND price_eur_mwh > 40 GROUP BY ts)
+    SELECT threshold, ts, 'level' AS reason FROM d QUALIFY ts = max(ts) OVER ()""",
+)
+def store_threshold(spark, sf):
+    """The threshold in force after the applied decisions of all mornings (their mean where
+    several zones decide at once)."""
+    store, log = _stored(spark), _decisions(spark, sf).where("decision = 'applied'")
+    by_time = log.groupBy("ts", "decision", "reasoning").agg(F.avg("recommended_threshold").alias("recommended_threshold"))
+    store.set_threshold(by_time.withColumn("zone", F.lit("all")))
+    return store.get_threshold()
+
+
+@query(
+    "store_tables",
+    "table_name:s n:i",
+    "SELECT * FROM (VALUES " + ", ".join(f"('{n}')" for n in SCHEMAS if n != "prices")
+    + ") t(table_name), (SELECT 0 AS n) UNION ALL " + P.with_parts(P.EVENTS, P.PRICES).replace("WITH", "SELECT * FROM (WITH", 1)
+    + "SELECT 'prices', count(*) FROM pr)",
+)
+def store_tables(spark, sf):
+    """All tables declared, one of them filled."""
+    store = _stored(spark)
+    store.ensure_tables()
+    store.append("prices", A.prices(spark, sf))
+    return tables.coverage({n: store.scan(n) for n in SCHEMAS}).select("table_name", "n")
+
+
+@query(
+    "csv_export",
+    "zone:s ts:t p50:d",
+    P.with_parts(P.EVENTS, P.PRICES, P.RUNS)
+    + "SELECT zone, ts, round(p50 + 1e-9, 2) AS p50 FROM fc WHERE generated_at BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-12'",
+)
+def csv_export(spark, sf):
+    """A range of forecasts written as CSV with two decimals and read again."""
+    rows = A.forecast_runs(spark, sf).where(F.col("generated_at").between("2024-01-10", "2024-01-12"))
+    path = scratch_path(spark, "csv")
+    tables.export_csv(rows.select("zone", "ts", (F.col("p50") + 1e-9).alias("p50")), path)
+    return spark.read.schema("zone string, ts timestamp, p50 double").option("header", True).csv(path)
+
+
+@query(
+    "saved_metrics",
+    "zone:s n:i mae:d",
+    P.with_parts(P.EVENTS, P.PRICES, P.DENSE_PRICES, P.RUNS, P.SCORED)
+    + "SELECT zone, count(y) AS n, avg(abs(p50 - y)) AS mae FROM sc GROUP BY zone",
+)
+def saved_metrics(spark, sf):
+    """Metrics of the scored rows, saved and read again."""
+    path = scratch_path(spark, "metrics")
+    tables.save_metrics(evaluate.eval_spot(A.scored(spark, sf), by=["zone"]), path)
+    return spark.read.json(path)
+
+
+@query(
+    "filled_columns",
+    "column_name:s n:i",
+    P.with_parts(P.EVENTS, P.WEATHER, P.WEATHER_FORECAST)
+    + """, v AS (SELECT wx.*, fcst_wind_10m, NULL AS smhi_wind_speed_ms FROM wx LEFT JOIN wf USING (zone, ts))"""
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count({c}) AS n FROM v HAVING count({c}) > 0" for c in ("temperature", "fcst_wind_10m", "smhi_wind_speed_ms")
+    ),
+)
+def filled_columns(spark, sf):
+    """Columns left after those without any value are dropped, with their values."""
+    view = master.weather_view(
+        A.weather(spark, sf), {"fcst": (A.weather_forecast(spark, sf), WF), "smhi": (None, ["smhi_wind_speed_ms"])}
+    ).select("temperature", "fcst_wind_10m", "smhi_wind_speed_ms")
+    left = projections.drop_all_null(view)
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("x")) for c in left.columns])
+    return left.select(F.inline(pairs)).groupBy("column_name").agg(F.count("x").alias("n"))
+
+
 @query(
     "missing_tail",
     "zone:s border:s fetch_from:t fetch_to:t",
@@ -541,12 +662,12 @@ def number_coercion(spark, sf):
     "overlay_coalesce",
     "zone:s ts:t temperature:d fcst_temperature:d",
     P.with_parts(P.EVENTS, P.WEATHER, P.WEATHER_FORECAST)
-    + """, a AS (SELECT zone, ts, CASE WHEN hour(ts) < 12 THEN temperature END AS temperature FROM wx)
-    SELECT a.zone, a.ts, coalesce(a.temperature, wf.fcst_temperature) AS temperature, wf.fcst_temperature
-    FROM a LEFT JOIN wf ON a.zone = wf.zone AND a.ts = wf.ts""",
+    + """, d AS (SELECT zone, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM wx GROUP BY zone)
+    SELECT d.zone, d.ts, coalesce(wx.temperature, wf.fcst_temperature) AS temperature, wf.fcst_temperature
+    FROM d LEFT JOIN wx ON d.zone = wx.zone AND d.ts = wx.ts LEFT JOIN wf ON d.zone = wf.zone AND d.ts = wf.ts""",
 )
 def overlay_coalesce(spark, sf):
-    a = A.weather(spark, sf).select("zone", "ts", F.when(F.hour("ts") < 12, F.col("temperature")).alias("temperature"))
+    a = grid.densify(A.weather(spark, sf).select("zone", "ts", "temperature"), HOURLY)
     b = A.weather_forecast(spark, sf).select(
         "zone", "ts", F.col("fcst_temperature").alias("temperature"), "fcst_temperature"
     )
@@ -683,7 +804,7 @@ def score_join_all_runs(spark, sf):
     "nearest_lookup",
     "event_id:i temperature:d",
     P.with_parts(P.EVENTS, P.WEATHER)
-    + """, w AS (SELECT zone, ts, temperature FROM wx WHERE hour(ts) % 3 = 0),
+    + """, w AS (SELECT zone, ts, temperature FROM wx),
     p AS (SELECT e.event_id, e.ts AS t, w.ts AS pt, w.temperature AS pv FROM ev e
       ASOF LEFT JOIN w ON e.zone = w.zone AND e.ts >= w.ts),
     n AS (SELECT e.event_id, w.ts AS nt, w.temperature AS nv FROM ev e
@@ -692,7 +813,7 @@ def score_join_all_runs(spark, sf):
     FROM p JOIN n USING (event_id)""",
 )
 def nearest_lookup(spark, sf):
-    w = A.weather(spark, sf).where(F.hour("ts") % 3 == 0).select("zone", "ts", "temperature")
+    w = A.weather(spark, sf).select("zone", "ts", "temperature")
     return joins.nearest(A.events(spark, sf).select("zone", "ts", "event_id"), w, ["temperature"])
 
 
@@ -765,12 +886,11 @@ def weather_view(spark, sf):
     "outer_align",
     "zone:s ts:t price_eur_mwh:d nuclear_gen_mw:d wind_gen_mw:d",
     P.with_parts(P.EVENTS, P.PRICES, P.NUCLEAR, P.GENERATION)
-    + """, a AS (SELECT * FROM pr WHERE hour(ts) < 16)
-    SELECT zone, ts, price_eur_mwh, nuclear_gen_mw, wind_gen_mw
-    FROM a FULL JOIN nuc USING (zone, ts) FULL JOIN gen USING (zone, ts)""",
+    + """ SELECT zone, ts, price_eur_mwh, nuclear_gen_mw, wind_gen_mw
+    FROM pr FULL JOIN nuc USING (zone, ts) FULL JOIN gen USING (zone, ts)""",
 )
 def outer_align(spark, sf):
-    p = A.prices(spark, sf).where(F.hour("ts") < 16)
+    p = A.prices(spark, sf)
     g = A.generation(spark, sf).select("zone", "ts", "wind_gen_mw")
     return joins.outer_align([p, A.nuclear_gen(spark, sf), g], ["zone", "ts"])
 
@@ -830,7 +950,11 @@ def tail_days(spark, sf):
     return projections.tail_days(A.prices(spark, sf), 5)
 
 
-@query("sample_rows", "event_id:i value:d")
+@query(
+    "sample_rows",
+    "event_id:i value:d",
+    "SELECT event_id, value FROM events ORDER BY md5('42:' || event_id), event_id LIMIT 500",
+)
 def sample_rows(spark, sf):
     return projections.sample_n(A.events(spark, sf), 500, ["event_id"])
 

@@ -295,6 +295,6 @@ def feature_list(columns: list[str], known: set[str] | None = None) -> list[str]
         if ("flow_" in c and ("lag24" in c or "lag168" in c))
         or c in ("net_pos_lag24", "net_pos_roll7d", "se4_x_peak")
     ]
-    imbalance = [c for c in IMBALANCE if known is None or c in known]
-    wanted = PRICE + CALENDAR + weather + GENERATION + nuclear + flow + imbalance
-    return [c for c in dict.fromkeys(wanted) if c in columns]
+    wanted = PRICE + CALENDAR + weather + GENERATION + nuclear + flow + IMBALANCE
+    have = set(columns) if known is None else known & set(columns)
+    return [c for c in dict.fromkeys(wanted) if c in have]

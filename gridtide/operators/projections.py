@@ -124,8 +124,10 @@ def sort_time(df: DataFrame, ts: str = "ts", *more: str) -> DataFrame:
 
 
 def sample_n(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataFrame:
-    """A fixed random sample: the n rows with the smallest seeded hash of their key."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
+    """A fixed random sample: the n rows with the smallest digest of seed and key, one that
+    any engine can repeat."""
+    digest = F.md5(F.concat_ws(":", F.lit(seed), *[F.col(c).cast("string") for c in key]))
+    return df.orderBy(digest, *key).limit(n)
 
 
 def union_dedup(frames: Sequence[DataFrame], key: Sequence[str], keep: str = "first") -> DataFrame:

@@ -257,3 +257,15 @@ def unit_outages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").alias("start"),
         (F.col("ts") + F.make_dt_interval(hours=F.col("event_id") % 9 + F.lit(1))).alias("end"),
     )
+
+
+def location_forecast(spark: SparkSession, sf_dir: str, s: Series = HOURLY) -> DataFrame:
+    """Forecast means over locations."""
+    e = events(spark, sf_dir).where(F.col("event_type") != "purchase")
+    return e.groupBy("zone", s.time_of(s.position()).alias("ts")).agg(
+        (F.avg("k") / 8).alias("smhi_wind_speed_ms"),
+        (F.max("k") / 5).alias("smhi_wind_gust_ms"),
+        F.avg("k").alias("smhi_cloud_fraction"),
+        (F.min("k") / 4 - 8).alias("smhi_temperature_c"),
+        (F.avg("k") / 100).alias("smhi_precip_prob"),
+    )

@@ -24,6 +24,7 @@ from gridtide.models.splits import CORE_LAGS, tail_fraction, time_split
 from gridtide.operators.blocks import HOURLY, QUARTER, Series, attach
 from gridtide.operators.grid import ffill, future_grid
 from gridtide.operators.joins import latest_before, nearest, run_history
+from gridtide.operators.projections import known_columns
 from gridtide.plans import evaluate
 from gridtide.session import materialize
 
@@ -91,7 +92,8 @@ def fit_spot(
     # Several fits read these rows, so they are written once.
     rows = materialize(time_split(feats.dropna(subset=["price_eur_mwh", *core]), test_days, s.keys, s.ts))
     train, test = rows.where("part = 'train'"), rows.where("part = 'test'")
-    features = fs.feature_list(feats.columns)
+    wanted = fs.feature_list(feats.columns)
+    features = fs.feature_list(feats.columns, known_columns(rows, wanted))
     neutral = linear.fit_neutralizer(train, features)
     flat = linear.neutralize(train, neutral)
     base = linear.fit_baseline(flat, "price_eur_mwh")
@@ -160,6 +162,13 @@ PATH_FEATURES = [
 MEMORY = 96
 
 
+def _known_features(rows: DataFrame, mode: str, known: set[str] | None) -> list[str]:
+    """Features of a mode that hold any value in the rows to train on."""
+    if known is None:
+        known = known_columns(rows, fi.feature_list(rows.columns, mode))
+    return fi.feature_list(rows.columns, mode, known)
+
+
 def fit_imbalance(
     feats: DataFrame, s: Series = QUARTER, test_days: int = 60, known: set[str] | None = None,
     trees: int = 20, depth: int = 6, label: str = "target_price",
@@ -167,7 +176,7 @@ def fit_imbalance(
     rows = time_split(feats.dropna(subset=[label, *CORE_LAGS]), test_days, s.keys, s.ts)
     rows = materialize(rows)
     train = materialize(tail_fraction(rows.where("part = 'train'"), s, 0.1))
-    features = fi.feature_list(feats.columns, "regression", known)
+    features = _known_features(train, "regression", known)
     model = fit_quantiles(
         train.where("not valid"), features, label, train.where("valid"), trees=trees, depth=depth
     )
@@ -186,7 +195,7 @@ def fit_spike_model(
     """Classifier with its most profitable threshold on the held-out rows."""
     rows = feats.dropna(subset=["target_binary", "target_price", *CORE_LAGS])
     rows = materialize(time_split(rows, test_days, s.keys, s.ts))
-    features = fi.feature_list(feats.columns, "spike", known)
+    features = _known_features(rows, "spike", known)
     model = fit_spike(rows.where("part = 'train'"), features, s, rounds=rounds, least=least)
     scored = materialize(model.transform(rows.where("part = 'test'").drop("part")))
     curve = evaluate.profit_curve(scored, "spike_proba", "target_binary", "target_price")
@@ -377,6 +386,18 @@ def forecast_spike_path(
     return _label(model.transform(rows), hist, runs, s)
 
 
+def live_forecast(
+    hist: DataFrame, feats: DataFrame, price_model: QuantileForest, spike_model: SpikeModel, s: Series = QUARTER,
+    n: int = MEMORY, tz: str = cal.LOCAL_ZONE,
+) -> DataFrame:
+    """Prices and spike probabilities from the newest row of each series on; slots that
+    only one of the two models covers are left out."""
+    runs = hist.groupBy(*s.keys).agg(F.max(s.ts).alias("generated_at"))
+    prices = forecast_recursive(hist, feats, price_model, runs, s, n, tz)
+    spikes = forecast_spike(hist, feats, spike_model, runs, s, n, tz)
+    return prices.drop("step").join(spikes, [*s.keys, "generated_at", s.ts])
+
+
 def _label(scored: DataFrame, hist: DataFrame, runs: DataFrame, s: Series) -> DataFrame:
     on = [*s.keys, "generated_at"]
     out = scored.join(_last_state(hist, runs, s), on, "left")
@@ -437,7 +458,7 @@ def walk_forward(
 ) -> DataFrame:
     """Spike metrics per fold and their mean (fold 0)."""
     rows = materialize(feats.dropna(subset=["target_binary", *CORE_LAGS]))
-    features = fi.feature_list(feats.columns, "spike", known)
+    features = _known_features(rows, "spike", known)
     parts = []
     for k, (train, test) in enumerate(folds(rows, n, days, test_days, s), start=1):
         a, b = rows.where(train), rows.where(test)

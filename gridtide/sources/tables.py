@@ -190,6 +190,10 @@ class Store:
         at = F.current_timestamp() if generated_at is None else generated_at
         self.insert_ignore(name, fc.withColumn("generated_at", at.cast("timestamp")))
 
+    def save_predictions(self, name: str, scored: DataFrame, generated_at: Column | None = None) -> None:
+        """Predictions of a test set (zone, ts, p05, p50, p95, ...) as one forecast run."""
+        self.save_run(name, scored.select("zone", "ts", "p05", "p50", "p95"), generated_at)
+
     def get_threshold(self, default: float = 0.45) -> DataFrame:
         """The newest threshold row, or the default where none was ever set."""
         rows = self.scan_optional("thresholds")
