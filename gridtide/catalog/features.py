@@ -284,13 +284,29 @@ def master_of(spark, sf):
     )
 
 
-MASTER_COLUMNS = "zone:s ts:t imbl_price:d direction:i imbl_spot_diff:d up_reg_price:d down_reg_price:d " + " ".join(
-    f"{c}:d" for c in ["spot_price", "net_position_mw", *WX, *WF, *FLOW, *MESAN, *[c for c in LIVE if c not in WF], *GEN_FORECAST, *UNITS[:2]]
-) + " nuclear_outage_flag:i"
+_OWN = ["imbl_price", "imbl_spot_diff", "up_reg_price", "down_reg_price"]
 
 
-@query("master_frame", MASTER_COLUMNS, MASTER + "SELECT * FROM mf")
+@query(
+    "master_frame",
+    "zone:s ts:t direction:i " + " ".join(f"{c}:d" for c in [*_OWN, "spot_price", "net_position_mw", *WX, *WF, *FLOW]),
+    MASTER_FOUR + "SELECT * FROM mf",
+)
 def master_frame(spark, sf):
+    return master.master_frame(A.imbalance(spark, sf), four_sources(spark, sf))
+
+
+@query(
+    "master_frame_all",
+    "zone:s ts:t direction:i nuclear_outage_flag:i " + " ".join(
+        f"{c}:d" for c in [
+            *_OWN, "spot_price", "net_position_mw", *WX, *WF, *FLOW, *MESAN, *[c for c in LIVE if c not in WF], *GEN_FORECAST, *UNITS[:2],
+        ]
+    ),
+    MASTER + "SELECT * FROM mf",
+)
+def master_frame_all(spark, sf):
+    """All seven sources, with a second forecast where the first has nothing."""
     return master_of(spark, sf)
 
 

@@ -100,7 +100,16 @@ def rolling(
 # Weights grow over a block and are centred on 1, so a double holds e**(2 * 650).
 EWM_SHIFT = 460.0
 EWM_ROWS = 2880
-EWM_DOUBLINGS = 16  # steps of the scan over blocks: 65,536 blocks a series, else an error
+# The means at the starts of a series' blocks: a fold of ``m * mean + add`` over its steps
+# in time order, in chunks, as arrays grow by copying.
+EWM_STARTS = """flatten(aggregate(
+  transform(sequence(0, (size(_steps) - 1) div 256), c -> slice(_steps, c * 256 + 1, 256)),
+  named_struct('y', 0D, 'out', cast(array() AS array<array<double>>)),
+  (done, chunk) -> transform(array(aggregate(
+      chunk, named_struct('y', done.y, 'out', cast(array() AS array<double>)),
+      (a, s) -> named_struct('y', s.m * a.y + s.add, 'out', concat(a.out, array(a.y))))),
+    r -> named_struct('y', r.y, 'out', concat(done.out, array(r.out))))[0],
+  done -> done.out))"""
 
 
 class Ewm:
@@ -161,21 +170,20 @@ class Ewm:
 
     def carried(self, blocks: DataFrame) -> DataFrame:
         """``blocks`` (with ``tails``) with the mean carried in as ``_e_in`` and the slot of
-        its last value as ``_e_from``.  A scan by doubling: after k steps a block holds
-        the composition of its own and the 2**k - 1 steps before it."""
-        order = Window.partitionBy(*self.s.keys).orderBy(BLK)
-        before = order.rowsBetween(Window.unboundedPreceding, -1)
+        its last value as ``_e_from``; the fold has one step per block of a series."""
+        keys = list(self.s.keys)
+        before = Window.partitionBy(*keys).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
         out = blocks.withColumn("_e_from", F.last("_e_to", ignorenulls=True).over(before))
-        empty, start = F.col("_e_at").isNull(), F.col("_e_from").isNull()
         share = F.exp("_b_log") * self.kept(F.col("_e_at") - F.col("_e_from"))
-        out = out.withColumn("_m", F.when(empty, 1.0).when(start, 0.0).otherwise(share))
-        out = out.withColumn("_add", F.when(empty, 0.0).otherwise(F.col("_b_y") - F.col("_m") * F.coalesce("_b_first", F.lit(0.0))))
-        for k in range(EWM_DOUBLINGS):
-            m, add = (F.lag(c, 1 << k).over(order) for c in ("_m", "_add"))
-            out = out.withColumns({"_m": F.col("_m") * F.coalesce(m, F.lit(1.0)), "_add": F.col("_add") + F.col("_m") * F.coalesce(add, F.lit(0.0))})
-        fits = F.row_number().over(order) <= 1 << EWM_DOUBLINGS
-        last = F.when(fits, F.lag("_add").over(order)).otherwise(F.raise_error(F.lit("series of more blocks than EWM_DOUBLINGS allows")))
-        return out.withColumn("_e_in", F.when(F.col("_e_from").isNotNull(), last)).drop("_m", "_add", "_e_to", "_b_y", "_b_log", "_b_first")
+        m = F.when(F.col("_e_at").isNull(), 1.0).when(F.col("_e_from").isNull(), 0.0).otherwise(share)
+        add = F.expr("if(_e_at IS NULL, 0D, _b_y - _m * coalesce(_b_first, 0D))")
+        rest = [c for c in blocks.columns if c not in (*keys, "_e_to", "_b_y", "_b_log", "_b_first")]
+        rows = out.withColumn("_m", m).groupBy(*keys).agg(
+            F.sort_array(F.collect_list(F.struct(*rest, "_e_from", F.col("_m").alias("m"), add.alias("add")))).alias("_steps")
+        )
+        each = rows.select(*keys, F.explode(F.arrays_zip(F.col("_steps").alias("s"), F.expr(EWM_STARTS).alias("y"))).alias("_b"))
+        start = F.when(F.col("_b.s._e_from").isNotNull(), F.col("_b.y"))
+        return each.select(*keys, *[F.col(f"_b.s.{c}").alias(c) for c in (*rest, "_e_from")], start.alias("_e_in"))
 
     def mean(self, y: Column, log: Column, first: Column) -> Column:
         """The mean at a row from its block's mean, log share and first value there."""

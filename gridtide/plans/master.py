@@ -66,19 +66,20 @@ def master_frame(
     halo = max([n for n in reach.values() if n is not None], default=0)
     cut = spread(united.withColumn(s.ts, s.time_of(F.col(POS))), s, back=halo)
     seen = Window.partitionBy(*s.keys, BLK).orderBy(POS, "_src").rowsBetween(Window.unboundedPreceding, 0)
-    mark = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(POS).alias("at"), F.col(c).alias("v")))
-    held = {c: F.last(mark(c), ignorenulls=True).over(seen) for cs in columns for c in cs}
+    mark = lambda c: F.expr(f"if(`{c}` IS NULL, NULL, struct({POS} AS at, `{c}` AS v))")
     endless = [c for n, cs in zip(named, columns[1:]) if reach[n] is None for c in cs]
-    out = cut.withColumns({f"_v_{c}": x for c, x in held.items()})
+    held = [F.last(mark(c), ignorenulls=True).over(seen).alias(f"_v_{c}") for cs in columns for c in cs]
+    out = cut.select(*s.keys, s.ts, POS, BLK, "_src", *last, *held)
     if endless:
         carry = carry_last(cut, s, {f"_in_{c}": mark(c) for c in endless}).drop("_origin")
         out = out.join(carry, [*s.keys, BLK], "left")
     out = out.where((F.col("_src") == _GRID) & (F.col(BLK) == s.home))
 
     def value(k: int, c: str, most: int | None) -> Column:
-        x = F.coalesce(F.col(f"_v_{c}"), F.col(f"_in_{c}")) if c in endless else F.col(f"_v_{c}")
-        near = F.lit(True) if most is None else F.col(POS) - x["at"] <= most
-        return F.when(near & (F.lit(True) if not k else F.col(POS) <= F.col(f"_end_{k}")), x["v"])
+        x = f"coalesce(`_v_{c}`, `_in_{c}`)" if c in endless else f"`_v_{c}`"
+        near = "true" if most is None else f"{POS} - {x}.at <= {most}"
+        until = f"{POS} <= _end_{k}" if k else "true"
+        return F.expr(f"if({near} AND {until}, {x}.v, NULL)")
 
     found = {c: value(0, c, 0) for c in columns[0]}
     for k, n in enumerate(named, start=1):
