@@ -6,7 +6,10 @@ only the rest is merged.  Counting runs where the rows lie: no shuffle, one pass
 texts.
 
 Text is cut at white space first (no pre-token but white space crosses such a cut), so
-that a repeated word costs one look-up in a cache of bounded size.
+that a repeated word costs one look-up in a cache of bounded size.  A word with a character
+above U+024F is cut into pre-tokens by the library's own pre-tokenizer, for the kinds of
+such characters change with the Unicode version; its pre-tokens meet the proven set and the
+merges like any other.
 
 Defined cases: NULL text counts as empty (no bytes, no tokens); repeated rows are counted
 each; the strings of special tokens inside a text are special tokens, as the library reads
@@ -26,6 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 CACHE = 1_000_000  # words remembered by one worker, about 130 MB
+# The white space characters of Unicode.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def byte_letters() -> dict[int, str]:
@@ -58,12 +63,12 @@ class Counter:
         added = spec.get("added_tokens", [])
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
             raise ValueError("special tokens must match their own characters only")
-        self.tokenizer = Tokenizer.from_str(definition)
-        self.model = self.tokenizer.model
+        tokenizer = Tokenizer.from_str(definition)
+        self.model, self.library_parts = tokenizer.model, tokenizer.pre_tokenizer.pre_tokenize_str
         letters = byte_letters()
         self.letters = str.maketrans({chr(b): c for b, c in letters.items()})
         back = {c: b for b, c in letters.items()}
-        self.proven = set()
+        self.proven, self.proven_letters = set(), set(proven)
         for s in proven:
             try:
                 self.proven.add(bytes(back[c] for c in s).decode())
@@ -71,30 +76,28 @@ class Counter:
                 continue  # a part of a character is never a whole pre-token
         self.special = re.compile("|".join(re.escape(t["content"]) for t in added)) if added else None
         self.known: dict[str, int] = {}
-        # Up to U+024F, letters, digits and spaces are the same to this pattern and to the
-        # library's; texts with other characters are counted by the library.
-        low = [chr(c) for c in range(0x250)]
+        # Up to U+024F, letters and digits are the same to this pattern and to the library's.
         kinds = {"L": "", "N": ""}
-        for c in low:
+        for c in map(chr, range(0x250)):
             if (k := unicodedata.category(c)[0]) in kinds:
                 kinds[k] += c
-        odd = "".join(c for c in low if c.isspace() and c not in "\t\n\r ") + "\x1c\x1d\x1e\x1f"
-        self.plain = re.compile(f"[\x00-ɏ]*").fullmatch
-        self.odd = re.compile(f"[{re.escape(odd)}]").search
-        self.words = re.compile(r" ?[^ \t\n\r]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]").findall
         letter, number = kinds["L"], kinds["N"]
+        self.high = re.compile(f"[^\x00-\u024f{SPACES}]").search
+        self.words = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]").findall
         self.parts = re.compile(
             "'s|'t|'re|'ve|'m|'ll|'d"
-            f"| ?[{letter}]+| ?[{number}]+| ?[^ \t\n\r{letter}{number}]+|[ \t\n\r]+"
+            f"| ?[{letter}]+| ?[{number}]+| ?[^{SPACES}{letter}{number}]+|[{SPACES}]+"
         ).findall
 
-    def _merged(self, part: str) -> int:
-        return len(self.model.tokenize(part.encode().decode("latin-1").translate(self.letters)))
+    def _in_letters(self, part: str) -> str:
+        return part.encode().decode("latin-1").translate(self.letters)
 
     def _word(self, word: str) -> int:
-        n = 0
-        for part in self.parts(word):
-            n += 1 if part in self.proven else self._merged(part)
+        if self.high(word):
+            parts = [p for p, _ in self.library_parts(word)]
+            n = sum(1 if p in self.proven_letters else len(self.model.tokenize(p)) for p in parts)
+        else:
+            n = sum(1 if p in self.proven else len(self.model.tokenize(self._in_letters(p))) for p in self.parts(word))
         if len(self.known) >= CACHE:
             self.known.clear()
         if len(word) < 64:
@@ -102,8 +105,6 @@ class Counter:
         return n
 
     def _plain(self, text: str) -> int:
-        if not self.plain(text) or self.odd(text):
-            return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
         get, n = self.known.get, 0
         for word in self.words(text):
             k = get(word)

@@ -35,9 +35,30 @@ def test_odd_texts(counter, library, text):
     assert counter.count(text) == want(library, text)
 
 
+def test_every_character_between_spaces_and_letters(counter, library):
+    """Each code point next to letters, digits, single and double spaces."""
+    wrong = []
+    for c in map(chr, [*range(0x3100), *range(0xA000, 0xD800, 37), *range(0xF900, 0x20000, 53)]):
+        text = f"a{c}b {c}  {c} 7{c}{c}"
+        if counter.count(text) != want(library, text):
+            wrong.append(hex(ord(c)))
+    assert wrong == []
+
+
+def test_words_with_high_characters_meet_the_proven_set(counter, library, monkeypatch):
+    """A dash or a curly quote sends no other word past the shortcut."""
+    merged = []
+    real = counter.model
+    monkeypatch.setattr(counter, "model", type("Model", (), {"tokenize": lambda self, p: merged.append(p) or real.tokenize(p)})())
+    counter.known.clear()
+    text = "the house — and “the” garden … of the people"
+    assert counter.count(text) == want(library, text)
+    assert not merged or all(not p.isascii() for p in merged)
+
+
 def test_random_texts(counter, library):
     rng = random.Random(1)
-    letters = list("aZé ß\n\t  '.,s1²_-<|>") + [" the", " of", "  ", "'s", "'ll", "\r\n", "<|endoftext|>", "ŋ", "ж"]
+    letters = list("aZé ß\n\t  '.,s1²_-<|>") + [" the", " of", "  ", "'s", "'ll", "\r\n", "<|endoftext|>", "ŋ", "ж", "\u2003", "\xa0", "—", "日本", "é", "’s"]
     for _ in range(4000):
         text = "".join(rng.choices(letters, k=rng.randint(0, 30)))
         assert counter.count(text) == want(library, text), repr(text)
