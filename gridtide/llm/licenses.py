@@ -1,14 +1,21 @@
 """Licence scans by canonical digest, in SQL functions only.
 
 A text is brought to a canonical form (letter case, punctuation, copyright lines and
-spellings that count as the same), and its SHA-256 is joined to the digests of known
-licence texts.  What is compared is always a whole unit: the whole document, each of its
-paragraphs (between blank lines) and each of its lines, so a notice in a longer text is
-found as well.  Units that lack every word that all known texts share are not hashed;
-no unit that could match is lost by that.
+spellings that count as the same), and its SHA-256 is joined to the digests of known ones.
 
-The table of known texts has a fixed size and is broadcast; what is shuffled is one short
-row per document.
+* Notices (one line each) are known by the whole document, one of its paragraphs (between
+  blank lines) or one of its lines.
+* Licence texts are found whole wherever they stand, however their lines and paragraphs are
+  broken: the canonical text is cut where the first words of a known text begin, and from
+  each such place as many characters as that text has are hashed.
+
+The known licence texts lie in ``license_texts``, one file each, named by SPDX identifier;
+the terms alone, up to a line "END OF TERMS AND CONDITIONS", count as well.  ``known``
+takes a table of one's own.  Documents without any of the words that every known text has
+are not hashed; none that could match is lost by that.
+
+The table of known texts does not grow with the data and is broadcast; what is shuffled is
+one short row per document.
 
 Defined cases: NULL text is empty and matches nothing; several licences of one text are
 all listed, each once, in order; rows of one id (NULL too) are one document; an empty
@@ -17,6 +24,10 @@ table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,20 +73,11 @@ NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FO
 DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT
 OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 
-# Known texts and notices by SPDX identifier.
-KNOWN = [
-    ("MIT", _MIT),
-    ("MIT", "MIT License\n\n" + _MIT),
+# Known notices by SPDX identifier.
+NOTICES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "This project is licensed under the MIT License."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or "
-            "without fee is hereby granted, provided that the above copyright notice and this permission "
-            "notice appear in all copies.\n\n" + _WARRANTY),
-    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or "
-             "without fee is hereby granted.\n\n" + _WARRANTY),
-    ("BSD-2-Clause", _BSD + _BSD_END),
-    ("BSD-3-Clause", _BSD + _BSD_THIRD + _BSD_END),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", "This project is licensed under the Apache License, Version 2.0"),
     ("GPL-2.0-only", "This work is licensed under the GNU General Public License, version 2."),
@@ -87,6 +89,34 @@ KNOWN = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Licensed under CC0 1.0."),
 ]
+# Short licence texts; longer ones lie in ``license_texts``.
+SHORT_TEXTS = [
+    ("MIT", _MIT),
+    ("MIT", "MIT License\n\n" + _MIT),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or "
+            "without fee is hereby granted, provided that the above copyright notice and this permission "
+            "notice appear in all copies.\n\n" + _WARRANTY),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or "
+             "without fee is hereby granted.\n\n" + _WARRANTY),
+    ("BSD-2-Clause", _BSD + _BSD_END),
+    ("BSD-3-Clause", _BSD + _BSD_THIRD + _BSD_END),
+]
+TERMS_END = "END OF TERMS AND CONDITIONS"
+
+
+def stored_texts() -> list[tuple[str, str]]:
+    """(spdx, text) of the files in ``license_texts`` and of their terms alone."""
+    out = []
+    for f in sorted(files(__package__).joinpath("license_texts").iterdir(), key=lambda f: f.name):
+        spdx, text = f.name.removesuffix(".txt"), f.read_text(encoding="utf-8")
+        out.append((spdx, text))
+        if TERMS_END in text:
+            out.append((spdx, text[: text.index(TERMS_END)]))
+    return out
+
+
+#: (spdx, text, whether it is found inside other texts too)
+KNOWN = [(i, t, False) for i, t in NOTICES] + [(i, t, True) for i, t in SHORT_TEXTS + stored_texts()]
 # Spellings that count as the same.
 SAME = [
     ("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"),
@@ -101,6 +131,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 COPYRIGHT = r"(^|\n)[ \t/*#;-]*(copyright[ \t]+(\(c\)|©|[0-9]{4})|\(c\)[ \t]*[0-9]{4}|©|all rights reserved)[^\n]*"
 PUNCTUATION = r"[\x00-\x2f\x3a-\x60\x7b-\x7f“”‘’–—•]+"
 MARK = "licen[sc]e|permission|redistribution"  # every known text has one of these words
+START_WORDS = 5  # by which the beginning of a known text is recognised
 PARAGRAPHS, LINES = r"\n[ \t\r]*\n", r"\n"
 
 
@@ -112,27 +143,64 @@ def canonical(text: Column) -> Column:
     return F.trim(out)
 
 
-def known_digests(spark) -> DataFrame:
-    """(spdx, digest) of the known texts, a fixed number of rows."""
-    rows = spark.createDataFrame(KNOWN, "spdx string, text string")
-    return rows.select("spdx", F.sha2(canonical(F.col("text")), 256).alias("digest")).distinct()
+def known_texts(spark, known: Sequence[tuple[str, str, bool]] = KNOWN) -> DataFrame:
+    """(spdx, body, inside) of the known texts in canonical form, as many rows as there are
+    texts."""
+    rows = spark.createDataFrame(list(known), "spdx string, text string, inside boolean")
+    return rows.select("spdx", canonical(F.col("text")).alias("body"), "inside").distinct()
+
+
+def _runs(canon: Column, bodies: Sequence[str]) -> Column:
+    """Digests of all stretches of ``canon`` that begin like one of ``bodies`` and are as
+    long.  A cut at every such beginning makes the stretch a few neighbouring pieces: as
+    many as the known text has itself, and those that begin in its last words."""
+    start = {b: " ".join(b.split(" ")[:START_WORDS]) for b in bodies}
+    cut = f"(?<![^ ])(?=(?:{'|'.join(sorted(set(start.values())))})(?![^ ]))"
+    options: dict[str, set[tuple[int, int]]] = {}
+    for b in bodies:
+        options.setdefault(start[b], set()).add((len(re.findall(cut, b)) + START_WORDS, len(b)))
+    pieces = F.split(canon, cut)
+
+    def digests(piece: Column, at: Column) -> Column:
+        def one(n: int, length: int) -> Column:
+            text = F.array_join(F.slice(pieces, at + 1, F.lit(n)), "")
+            # One character more than the text has: none or a space, or its last word goes on.
+            return F.sha2(F.rtrim(F.substring(text, 1, length + 1)), 256)
+
+        out = F.array().cast("array<string>")
+        for s, sizes in options.items():
+            out = F.when(F.startswith(piece, F.lit(s)), F.array(*[one(n, k) for n, k in sorted(sizes)])).otherwise(out)
+        return out
+
+    return F.flatten(F.transform(pieces, digests))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: Sequence[tuple[str, str, bool]] = KNOWN
+) -> DataFrame:
     """Per id: whole (licence that the whole text is, or NULL), found (array of all
-    licences in units of the text) and n_units (units that match)."""
+    licences in the text) and n_texts (known texts and notices found, each once)."""
+    spark = docs.sparkSession
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     marked = rf"(?i){MARK}"
-    parts = F.array_distinct(F.concat(F.array(text), F.split(text, PARAGRAPHS), F.split(text, LINES)))
-    digests = F.transform(
-        F.filter(parts, lambda u: u.rlike(marked)),
-        lambda u: F.struct(F.sha2(canonical(u), 256).alias("digest"), (u == text).alias("is_whole")),
+    texts = known_texts(spark, known)
+    bodies = sorted({r["body"] for r in texts.where("inside").select("body").collect()})  # as many as are given
+    mine = docs.select(
+        F.col(f"`{id_col}`").alias("id"),
+        F.when(text.rlike(marked), text).alias("text"),
+        F.when(text.rlike(marked), canonical(text)).alias("canon"),
     )
-    units = docs.select(F.col(f"`{id_col}`").alias("id"), F.when(text.rlike(marked), digests).alias("units"))
-    each = units.select("id", F.explode_outer("units").alias("u")).select("id", "u.digest", "u.is_whole")
-    matched = each.join(F.broadcast(known_digests(docs.sparkSession)), "digest", "left")
-    return matched.groupBy(F.col("id").alias(id_col)).agg(
-        F.min(F.when(F.col("is_whole"), F.col("spdx"))).alias("whole"),
+    lines = F.array_distinct(F.concat(F.split("text", PARAGRAPHS), F.split("text", LINES)))
+    parts = F.transform(F.filter(lines, lambda u: u.rlike(marked)), lambda u: F.sha2(canonical(u), 256))
+    if bodies:
+        parts = F.concat(parts, _runs(F.col("canon"), bodies))
+    units = mine.select("id", F.sha2("canon", 256).alias("whole"), F.array_distinct(F.concat(F.array(F.sha2("canon", 256)), parts)).alias("digests"))
+    each = units.select("id", "whole", F.explode_outer("digests").alias("digest"))
+    digests = texts.select("spdx", F.sha2("body", 256).alias("digest")).distinct()
+    matched = each.join(F.broadcast(digests), "digest", "left")
+    out = matched.groupBy(F.col("id").alias(id_col)).agg(
+        F.min(F.when(F.col("whole") == F.col("digest"), F.col("spdx"))).alias("whole"),
         F.sort_array(F.collect_set("spdx")).alias("found"),
-        F.count("spdx").alias("n_units"),
+        F.collect_set(F.when(F.col("spdx").isNotNull(), F.col("digest"))).alias("n_texts"),
     )
+    return out.withColumn("n_texts", F.size("n_texts").cast("bigint"))

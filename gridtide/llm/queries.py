@@ -95,23 +95,31 @@ def _canonical_sql(text: str) -> str:
     return f"trim({out})"
 
 
-_KNOWN_ROWS = ", ".join(f"('{i}', '{t}')" for i, t in licenses.KNOWN)
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_KNOWN_ROWS = ", ".join(f"({_literal(i)}, {_literal(t)}, {inside})" for i, t, inside in licenses.KNOWN)
 ORACLES["op9_licenses"] = f"""
 WITH known AS (
-  SELECT DISTINCT spdx, sha256({_canonical_sql("text")}) AS digest FROM (VALUES {_KNOWN_ROWS}) k(spdx, text)
+  SELECT DISTINCT spdx, {_canonical_sql("text")} AS body, inside FROM (VALUES {_KNOWN_ROWS}) k(spdx, text, inside)
 ), docs AS (
   SELECT doc_id, coalesce(text, '') AS text FROM documents
+), marked AS (
+  SELECT doc_id, text, {_canonical_sql("text")} AS canon FROM docs WHERE regexp_matches(text, '(?i){licenses.MARK}')
 ), units AS (
-  SELECT doc_id, text, unnest(list_distinct(list_concat([text],
-    string_split_regex(text, '{licenses.PARAGRAPHS}'), string_split(text, chr(10))))) AS u FROM docs
+  SELECT doc_id, {_canonical_sql("u")} AS body FROM (SELECT doc_id, unnest(list_distinct(list_concat(
+    string_split_regex(text, '{licenses.PARAGRAPHS}'), string_split(text, chr(10))))) AS u FROM marked)
 ), hits AS (
-  SELECT doc_id, u = text AS is_whole, spdx FROM units
-  JOIN known ON digest = sha256({_canonical_sql("u")}) WHERE regexp_matches(u, '(?i){licenses.MARK}')
+  SELECT doc_id, true AS is_whole, spdx, k.body FROM marked JOIN known k ON canon = k.body
+  UNION ALL SELECT doc_id, false, spdx, k.body FROM units u JOIN known k ON u.body = k.body
+  UNION ALL SELECT doc_id, false, spdx, k.body FROM marked JOIN known k
+    ON inside AND contains(' ' || canon || ' ', ' ' || k.body || ' ')
 ), found AS (
   SELECT doc_id, min(spdx) FILTER (is_whole) AS whole, string_agg(DISTINCT spdx, ',' ORDER BY spdx) AS found,
-    count(*) AS n_units FROM hits GROUP BY doc_id
+    count(DISTINCT body) AS n_texts FROM hits GROUP BY doc_id
 )
-SELECT doc_id, whole, coalesce(found, '') AS found, coalesce(n_units, 0) AS n_units
+SELECT doc_id, whole, coalesce(found, '') AS found, coalesce(n_texts, 0) AS n_texts
 FROM (SELECT DISTINCT doc_id FROM docs) LEFT JOIN found USING (doc_id)
 """
 
