@@ -9,7 +9,12 @@ whatever costs least per token still to be placed; the cheapest result counts.
 Documents longer than the longest permitted length are cut into pieces of that length and
 a rest.  Packing needs ids and lengths only, so texts are not moved: every partition packs
 its own rows, in blocks of ``BLOCK`` pieces, and a lost partition is packed again alone
-(its rows must come in the same order again, as they do from files).
+(its rows must come in the same order again, as they do from files).  Which documents share
+a sequence, and the ids of sequences, therefore follow the way the table is split into
+partitions; another split gives another packing of the same pieces.
+
+``length`` is any column; with the count of ``token_counts.token_counter`` the start and
+length of a piece are the span of its token ids in the document.
 
 Defined cases: rows of length NULL, zero or less hold nothing to train on; they come back
 with length 0 and no sequence; ties in length go by row order; repeated rows and ids are
@@ -33,7 +38,7 @@ NAMES = ["id", "piece", "start", "length", "bin_id", "bin_size", "bin_start"]
 
 
 def words(text: Column) -> Column:
-    """Length in words, the default measure."""
+    """Length in words."""
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint")
 
 

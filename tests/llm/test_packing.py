@@ -2,9 +2,14 @@ import itertools
 import random
 
 import pytest
+from public_tokenizers import path as tokenizer_path
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from gridtide.llm import packing as m
+from gridtide.llm.queries import op6_packing
+
+SF_DIR = "/root/testdata/sf0.001"
 
 
 def valid(lengths, at, offset, final, sizes):
@@ -80,6 +85,21 @@ def test_every_token_is_packed_once(spark, monkeypatch, block):
     assert all(0 < r.filled <= 1 for r in report)
 
 
+def test_pieces_are_spans_of_token_ids(spark):
+    """The query's spans, filled with the library's ids, hold every document's ids once."""
+    path = tokenizer_path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text").collect()]
+    ids = {i: library.encode(t or "", add_special_tokens=False).ids for i, t in rows}
+    out = op6_packing(spark, SF_DIR).toPandas()
+    for i, own in out.groupby("doc_id"):
+        spans = [ids[i][a : a + n] for a, n in sorted(zip(own.start, own.length))]
+        assert [x for s in spans for x in s] == ids[i]
+    full = out[out.length > 0]
+    assert (full.groupby("bin_id").length.sum() <= full.groupby("bin_id").bin_size.first()).all()
+    assert set(out.doc_id) == set(ids)
+
+
 def test_words_and_empty_table(spark):
     texts = ["", None, " ", "one", "a b c\td", "w " * 40_000]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
