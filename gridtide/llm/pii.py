@@ -6,19 +6,24 @@ pseudonyms in every document, and the holder of the key can undo it:
 
 * card numbers of 13 to 19 digits with a right check digit (digits before it permuted, the
   check digit recomputed, separators kept),
+* bank account numbers (IBAN) whose remainder by 97 is right (country, letters and spaces
+  kept, digits permuted, both check digits recomputed),
 * IPv4 addresses, US social security numbers in their valid range,
-* telephone numbers (the last ten digits, punctuation and country code kept),
+* telephone numbers (the last ten digits, punctuation and country code kept; other
+  international numbers of 8 to 15 digits: all but the first three),
 * dates from 1900 to 2099 that exist (permuted over the 73,049 days, notation kept).
 
-Mail addresses and hexadecimal secrets (32 to 64 digits) have no such format and get a
-keyed digest of the same kind.  Everything else stays as it is, byte for byte.
+Mail addresses, hexadecimal secrets (32 to 64 digits) and cloud access key ids have no such
+format and get a keyed digest of the same kind: 128 bits for each part of an address, so
+different people do not share one.  Everything else stays as it is, byte for byte; dates
+with month names and IPv6 addresses are not looked for.
 
 Each row is handled where it lies: one pattern finds the values, a higher-order function
 rewrites them, and the pieces are joined again; no Python, no shuffle.
 
 Defined cases: NULL text stays NULL, empty text stays empty; numbers that fail their check
 stay; texts of any length are read whole; repeated rows give repeated results; all other
-columns come back unchanged, whatever their names.
+columns come back unchanged, whatever their names (one named like ``count_col`` is replaced).
 """
 
 from __future__ import annotations
@@ -43,8 +48,17 @@ PHONE = (
     r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
     r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])"
 )
+INTL = r"(?<![0-9A-Za-z+])\+[1-9](?:[ ./()-]{0,2}[0-9]){7,14}(?![0-9])"
+IBAN = (
+    r"(?<![0-9A-Za-z])(?=(?: ?[A-Z0-9]){15,34}(?![0-9A-Za-z]))[A-Z]{2}[0-9]{2}"
+    r"(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"
+)
+ACCESS = r"(?<![0-9A-Za-z])(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])"
 CARD = r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3})(?![0-9A-Za-z])"
-KINDS = {"mail": MAIL, "secret": HEX, "ip": IP, "iso": ISO, "local": LOCAL, "ssn": SSN, "phone": PHONE, "card": CARD}
+KINDS = {
+    "mail": MAIL, "secret": HEX, "access": ACCESS, "iban": IBAN, "ip": IP, "iso": ISO, "local": LOCAL, "ssn": SSN,
+    "phone": PHONE, "intl": INTL, "card": CARD,
+}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 
 
@@ -131,10 +145,39 @@ def _card(value: Column, key: str, undo: bool) -> Column:
     return _then(F.regexp_replace(value, "[^0-9]", ""), made)
 
 
-def _phone(value: Column, key: str, undo: bool) -> Column:
+def _mod97(chars: Column) -> Column:
+    """Remainder of letters and digits read as one number, A = 10 to Z = 35."""
+
+    def add(total: Column, i: Column) -> Column:
+        code = F.ascii(F.substring(chars, i, F.lit(1)))
+        return F.when(code < 65, total * 10 + code - 48).otherwise(total * 100 + code - 55) % 97
+
+    return F.aggregate(F.sequence(F.lit(1), F.char_length(chars)), F.lit(0), add)
+
+
+def _iban(value: Column, key: str, undo: bool) -> Column:
+    """A number whose check fails may still be four characters before a card number."""
+
+    def checked(s: Column) -> Column:
+        body, country = F.substring(s, F.lit(5), F.char_length(s) - 4), F.substring(s, 1, 2)
+        digits = F.regexp_replace(body, "[^0-9]", "")
+
+        def made(new: Column) -> Column:
+            remainder = _mod97(F.concat(_refill(body, new), country, F.lit("00")))
+            return _refill(value, F.concat(_padded(F.lit(98) - remainder, F.lit(2)), new))
+
+        right = (_mod97(F.concat(body, F.substring(s, 1, 4))) == 1) & (F.char_length(digits) >= 2)
+        return F.when(right, _then(permute_digits(digits, key, "iban", undo), made))
+
+    rest = F.substring(value, F.lit(6), F.char_length(value))
+    card = F.when(rest.rlike(_whole(CARD)), F.concat(F.substring(value, 1, 5), _card(rest, key, undo)))
+    return F.coalesce(_then(F.replace(value, F.lit(" "), F.lit("")), checked), card, value)
+
+
+def _phone(value: Column, key: str, undo: bool, kind: str = "phone") -> Column:
     def made(d: Column) -> Column:
-        kept = F.char_length(d) - 10
-        new = permute_digits(F.substring(d, kept + 1, F.lit(10)), key, "phone", undo)
+        kept = F.lit(3) if kind == "intl" else F.char_length(d) - 10
+        new = permute_digits(F.substring(d, kept + 1, F.char_length(d) - kept), key, kind, undo)
         return _refill(value, F.concat(F.substring(d, F.lit(1), kept), new))
 
     return _then(F.regexp_replace(value, "[^0-9]", ""), made)
@@ -190,8 +233,8 @@ def _date(value: Column, key: str, undo: bool) -> Column:
 def _mail(value: Column, key: str) -> Column:
     at = F.split(F.lower(value), "@")
     return _then(at, lambda p: F.concat(
-        F.substring(_digest(key, "user", F.concat_ws("@", p)), 1, 12), F.lit("@"),
-        F.substring(_digest(key, "host", p[1]), 1, 8), F.lit(".invalid"),
+        F.substring(_digest(key, "user", F.concat_ws("@", p)), 1, 32), F.lit("@"),
+        F.substring(_digest(key, "host", p[1]), 1, 32), F.lit(".invalid"),
     ))
 
 
@@ -200,6 +243,10 @@ def _secret(value: Column, key: str) -> Column:
     return F.when(value == F.upper(value), F.upper(new)).otherwise(new)
 
 
+def _access(value: Column, key: str) -> Column:
+    return F.concat(F.substring(value, 1, 4), F.upper(F.substring(_digest(key, "access", value), 1, 16)))
+
+
 def pseudonym(value: Column, key: str, undo: bool = False) -> Column:
     """The pseudonym of one found value.  ``undo`` takes back permuted values; digests of
     mail addresses and secrets cannot be taken back and stay."""
@@ -207,10 +254,13 @@ def pseudonym(value: Column, key: str, undo: bool = False) -> Column:
     return (
         F.when(F.contains(value, F.lit("@")), value if undo else _mail(value, key))
         .when(kind("secret"), value if undo else _secret(value, key))
+        .when(kind("access"), value if undo else _access(value, key))
+        .when(kind("iban"), _iban(value, key, undo))
         .when(kind("ip"), _ip(value, key, undo))
         .when(kind("iso") | kind("local"), _date(value, key, undo))
         .when(kind("ssn"), _ssn(value, key, undo))
         .when(kind("phone"), _phone(value, key, undo))
+        .when(kind("intl"), _phone(value, key, undo, "intl"))
         .when(kind("card"), _card(value, key, undo))
         .otherwise(value)
     )
@@ -223,7 +273,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     if not key:
         raise ValueError("a key is needed")
     text = F.col("row")[text_col]
-    candidate = text.rlike("[0-9@]")
+    candidate = text.rlike("[0-9@]|A[KS]IA")
     found = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select(
         "row",
         F.when(candidate, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).alias("old"),
@@ -234,7 +284,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     between = F.split(text, ANY, -1)
     rebuilt = F.concat_ws("", F.zip_with(between, F.concat(F.col("new"), F.array(F.lit(""))), lambda a, b: F.concat(a, b)))
     changed = F.when(F.col("new").isNotNull(), rebuilt).otherwise(text)
-    columns = [changed.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]
+    columns = [changed.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c != count_col]
     if count_col:
         differ = F.filter(F.zip_with("old", "new", lambda a, b: a != b), lambda x: x)
         columns.append(F.coalesce(F.when(F.col("new").isNotNull(), F.size(differ)), F.lit(0)).cast("bigint").alias(count_col))
