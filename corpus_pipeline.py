@@ -3,21 +3,29 @@
 Each stage takes what the one before it kept; ``run`` writes every stage as a table in the
 shared folder, so a lost executor costs a part of one stage.  All stages but the last
 return the columns of ``documents``.
+
+Defined cases: NULL and empty texts are scored like others, count as copies of each other,
+have fingerprint zero and hold nothing to pack; rows with a NULL doc_id are scored and are
+never dropped as copies; without labels of both kinds all texts score the share of toxic
+ones; further columns, whatever their names, stay as they are; no documents give no rows.
 """
 
 from __future__ import annotations
 
+from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridtide.llm.exact_dedup import drop_copies
-from gridtide.llm.packing import packed, words
+from gridtide.llm.packing import packed
 from gridtide.llm.pii import EXAMPLE_KEY, pseudonymise
 from gridtide.llm.simhash import drop_near_copies
+from gridtide.llm.token_counts import token_counter
 from gridtide.llm.toxicity import drop_toxic
 from gridtide.session import materialize
 
 KEY = EXAMPLE_KEY
+TOKENIZER = tokenizer_path("byte_bpe_50k.json")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +51,8 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every piece of every document in a training sequence."""
-    return packed(docs, words(F.col("text")))
+    """The place of every piece, a span of token ids, of every document in a sequence."""
+    return packed(docs, token_counter(spark, TOKENIZER)(F.col("text")))
 
 
 STAGES = [
