@@ -18,8 +18,8 @@ has a fixed size (about 40 KB).
 
 Defined cases: NULL text is empty; texts without words get the calibrated score of no
 windows; labels that are NULL, or whose document or text is missing, teach nothing; with
-labelled rows of one class only (or none) the score is the smoothed share of that class
-for every text; repeated rows are scored each; an empty table gives an empty result.
+labelled rows of one class only (or none) the score is the smoothed share of toxic ones
+for every text, a third without any; repeated rows are scored each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -204,8 +204,9 @@ class Model:
 
 
 def _constant(toxic: int, ordinary: int) -> Model:
+    """The share of toxic labels for every text; without any label, ordinary (a third)."""
     zero = np.zeros(FEATURES)
-    return Model(None, zero, np.ones(FEATURES), np.concatenate([[np.log((toxic + 0.5) / (ordinary + 0.5))], zero]))
+    return Model(None, zero, np.ones(FEATURES), np.concatenate([[np.log((toxic + 0.5) / (ordinary + 1))], zero]))
 
 
 def _calibrate(dictionaries: Dictionaries, features: np.ndarray, labels: np.ndarray, ridge: float = 1.0) -> Model:

@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline as m
 from gridtide.llm.pii import pseudonymise
@@ -60,8 +61,9 @@ def test_private_values_are_replaced(stages):
         assert not re.search(r"[a-z0-9]+@[a-z0-9]+\.example", r.text)
 
 
-def test_every_word_is_packed(stages):
-    length = {i: len(re.findall(r"[^\x20\x09-\x0d]+", r.text)) for i, r in by_id(stages[4]).items()}
+def test_every_token_is_packed(stages):
+    library = Tokenizer.from_file(m.TOKENIZER)
+    length = {i: len(library.encode(r.text, add_special_tokens=False).ids) for i, r in by_id(stages[4]).items()}
     got = {}
     for r in stages[5].collect():
         got[r.doc_id] = got.get(r.doc_id, 0) + r.length
@@ -78,3 +80,22 @@ def test_empty_documents(spark, stages, tmp_path):
     for _, stage in m.STAGES:
         docs = materialize(stage(spark, docs, SF_DIR), "empty")
     assert docs.count() == 0
+
+
+def test_nulls_clashing_columns_and_no_labels(spark, tmp_path):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, score int, fp long, id string, key int"
+    texts = [(None, None), (None, "no id"), (1, None), (2, ""), (3, "one text"), (4, "one  text"), (5, "write to a@b.org " * 400)]
+    rows = [(i, t, None, None, None if t is None else len(t), "r", 7, 8, "i", 9) for i, t in texts]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in m.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns == [c.split(" ")[0] for c in schema.split(", ")]
+    kept = docs.collect()
+    assert sorted(r.doc_id or 0 for r in kept) == [0, 0, 1, 3, 5]
+    assert all((r.row, r.score, r.fp, r.id, r.key) == ("r", 7, 8, "i", 9) for r in kept)
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in kept)
+    packed = m.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} == {None, 1, 3, 5}
+    assert [r.bin_id for r in packed if r.doc_id == 1] == [None]
