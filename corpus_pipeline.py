@@ -20,7 +20,7 @@ from gridtide.llm.exact_dedup import drop_copies
 from gridtide.llm.packing import packed
 from gridtide.llm.pii import EXAMPLE_KEY, pseudonymise
 from gridtide.llm.simhash import drop_near_copies
-from gridtide.llm.token_counts import token_counter
+from gridtide.llm.token_counts import token_measure
 from gridtide.llm.toxicity import drop_toxic
 from gridtide.session import materialize
 
@@ -52,7 +52,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every piece, a span of token ids, of every document in a sequence."""
-    return packed(docs, token_counter(spark, TOKENIZER)(F.col("text")))
+    return packed(docs, F.col("text"), measure=token_measure(spark, TOKENIZER))
 
 
 STAGES = [

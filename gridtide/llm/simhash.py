@@ -30,9 +30,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from gridtide.llm import bitmaps, golay
+from gridtide.llm.batches import values
 from gridtide.llm.components import components
 from gridtide.session import materialize
 
@@ -68,10 +69,10 @@ def fingerprint(text: bytes | None, words: int = WORDS) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """(id, fp) per row, computed where the row lies."""
 
-    @pandas_udf("bigint")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @arrow_udf("bigint")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series([fingerprint(t, words) for t in texts], dtype="int64")
+            yield pa.array([fingerprint(t, words) for t in values(texts)], pa.int64())
 
     return docs.select(F.col(f"`{id_col}`").alias("id"), of(F.col(f"`{text_col}`").cast("binary")).alias("fp"))
 

@@ -8,6 +8,7 @@ from tokenizers import Tokenizer
 
 from gridtide.llm import packing as m
 from gridtide.llm.queries import op6_packing
+from gridtide.llm.token_counts import token_counter
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -105,3 +106,14 @@ def test_words_and_empty_table(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     assert [r.n for r in docs.select(m.words(F.col("text")).alias("n")).collect()] == [0, None, 0, 1, 3, 40_000]
     assert m.packed(docs.limit(0), m.words(F.col("text"))).collect() == []
+
+
+def test_tokens_are_counted_where_they_are_packed(spark):
+    """One Python worker a task: the plan holds no second Python operator for the count."""
+    path = tokenizer_path("byte_bpe_50k.json")
+    out = op6_packing(spark, SF_DIR)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan and plan.count("MapInArrow") == 1  # one_worker
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    apart = m.packed(docs, token_counter(spark, path)(F.col("text")))
+    assert out.collect() == apart.collect() != []
