@@ -14,7 +14,9 @@ the first whole as long as they have ``train_bytes`` together; beyond that the l
 thinned to runs of words from all their parts.  Of ordinary text the dictionary trainer
 takes lines drawn from all parts of all texts, ``LINE_BYTES`` together.  Scoring reads every
 window of every text, where the row lies, without a shuffle; the model that is broadcast
-has a fixed size (about 40 KB).
+has a fixed size (about 40 KB).  A task remembers the differences of ``CACHE`` windows: it
+numbers up to about ``WORDS`` words, and the numbers of a window's words are its key, so
+that no two windows are taken for each other.
 
 Defined cases: NULL text is empty; texts without words get the calibrated score of no
 windows; labels that are NULL, or whose document or text is missing, teach nothing; with
@@ -30,14 +32,18 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
+
+from gridtide.llm.batches import values
 
 WINDOW = 3  # words of a window where a caller names no other; ``train`` takes two
-CACHE = 1 << 17  # windows whose difference a worker remembers
+CACHE = 1 << 20  # windows whose difference a task remembers, 10 bytes each
+WORDS = 1 << 18  # words that a task numbers before it starts anew
+CHUNK = 4_096  # windows looked up, and compressed, at a time
 BASE_BYTES, OWN_BYTES = 16_384, 2_048
 RUN = 200  # words of a line of ordinary text, and of a run of a thinned text
 LINE_BYTES = 4_000_000  # of ordinary lines that the dictionary trainer takes
@@ -159,33 +165,90 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(compression_params=parameters, dict_data=known)
 
 
+class Numbers(dict):
+    """A number for each word, given when it is first asked for; 0 for none."""
+
+    def __init__(self):
+        super().__init__({b"": 0})
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class DifferenceCounter:
     def __init__(self, ordinary: zstandard.ZstdCompressor, toxic: zstandard.ZstdCompressor, window: int = WINDOW):
-        self.ordinary, self.toxic = ordinary.compress, toxic.compress
+        self.ordinary, self.toxic = ordinary.multi_compress_to_buffer, toxic.multi_compress_to_buffer
         self.window = window
-        self.known: dict[bytes, int] = {}
-
-    def difference(self, words: bytes) -> int:
-        """Bytes that the toxic dictionary saves on a window."""
-        found = self.known.get(words)
-        if found is None:
-            if len(self.known) >= CACHE:
-                self.known.clear()
-            window = b"%b %b " % (ANCHOR, words)
-            found = self.known[words] = len(self.ordinary(window)) - len(self.toxic(window))
-        return found
+        self.bits = 63 // window  # of a word's number in a key; windows of over three words are not remembered
+        self.numbers = Numbers()
+        self.known = np.zeros(CACHE, dtype=np.uint64)  # the key that stands in each place, 0 for none
+        self.saved = np.zeros(CACHE, dtype=np.int16)
+
+    def _compressed(self, words: list[bytes], at: Iterable[int]) -> np.ndarray:
+        """Bytes that the toxic dictionary saves on the windows at these places."""
+        size = self.window
+        framed = [b"%b %b " % (ANCHOR, b" ".join(words[i * size : (i + 1) * size]).rstrip()) for i in at]
+        if not framed:
+            return np.zeros(0, dtype=np.int16)
+        return np.array([len(a) - len(b) for a, b in zip(self.ordinary(framed), self.toxic(framed))], dtype=np.int16)
+
+    def _keys(self, words: list[bytes]) -> np.ndarray:
+        if len(self.numbers) >= WORDS:
+            self.numbers = Numbers()
+            self.known[:] = 0
+        own = np.fromiter(map(self.numbers.__getitem__, words), dtype=np.uint64, count=len(words))
+        keys = own[:: self.window].copy()
+        for j in range(1, self.window):
+            keys |= own[j :: self.window] << np.uint64(j * self.bits)
+        return keys
+
+    def _differences(self, words: list[bytes]) -> np.ndarray:
+        """The same for all of at most ``CHUNK`` windows."""
+        if self.bits < 21:
+            return self._compressed(words, range(len(words) // self.window))
+        keys = self._keys(words)
+        places = (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(len(self.known))
+        saved, new = self.saved[places], np.flatnonzero(self.known[places] != keys)
+        _, first, again = np.unique(keys[new], return_index=True, return_inverse=True)
+        saved[new] = self._compressed(words, new[first].tolist())[again]
+        # Keys that fall to one place in this chunk: both columns must get the same one of them.
+        _, last = np.unique(places[new][::-1], return_index=True)
+        new = new[::-1][last]
+        self.known[places[new]], self.saved[places[new]] = keys[new], saved[new]
+        return saved
+
+    def _rows(self, words: list[bytes], windows: list[int]) -> np.ndarray:
+        step = CHUNK * self.window
+        found = [self._differences(words[i : i + step]) for i in range(0, len(words), step)]
+        saved = np.concatenate(found) if found else np.zeros(0, dtype=np.int16)
+        n, kinds = np.array(windows), LOSSES[-1] + STEPS[-1] + 1
+        text = np.repeat(np.arange(len(n)), n)
+        total = np.bincount(text, weights=saved, minlength=len(n))
+        kind = np.clip(saved, -LOSSES[-1], STEPS[-1]) + LOSSES[-1]
+        counts = np.bincount(text * kinds + kind, minlength=len(n) * kinds).reshape(len(n), kinds)
+        at = [counts[:, LOSSES[-1] + k :].sum(axis=1) for k in STEPS] + [counts[:, : LOSSES[-1] - k + 1].sum(axis=1) for k in LOSSES]
+        at, n = np.array(at, dtype=float).T, np.maximum(n, 1)
+        return np.column_stack([np.log(n), total / n, at * 10 / n[:, None], np.log1p(at)])
+
+    def features_of(self, texts: Iterable[bytes | None]) -> Iterator[np.ndarray]:
+        """For each text: windows, mean saving, and windows by saving, as shares and as
+        logarithms.  Short texts are looked up together."""
+        words: list[bytes] = []  # each text filled up with empty words to whole windows
+        windows: list[int] = []
+        for text in texts:
+            own = words_of(text or b"")
+            windows.append(-(-len(own) // self.window))
+            words += own
+            words += [b""] * (windows[-1] * self.window - len(own))
+            if len(words) >= CHUNK * self.window:
+                yield from self._rows(words, windows)
+                words, windows = [], []
+        if windows:
+            yield from self._rows(words, windows)
 
     def features(self, text: bytes | None) -> np.ndarray:
-        """Windows, mean saving, and windows by saving, as shares and as logarithms."""
-        words = words_of(text or b"")
-        counts: Counter = Counter()
-        for i in range(0, len(words), self.window):
-            counts[self.difference(b" ".join(words[i : i + self.window]))] += 1
-        n = sum(counts.values())
-        at = [sum(c for g, c in counts.items() if g >= k) for k in STEPS]
-        at += [sum(c for g, c in counts.items() if g <= -k) for k in LOSSES]
-        saved, at = sum(g * c for g, c in counts.items()), np.array(at, dtype=float)
-        return np.concatenate([[np.log(max(n, 1)), saved / max(n, 1)], at * 10 / max(n, 1), np.log1p(at)])
+        return next(self.features_of([text]))
 
 
 FEATURES = 2 + 2 * (len(STEPS) + len(LOSSES))
@@ -251,10 +314,10 @@ def train(
     teaching = with_text(classes[1].unionByName(classes[0]))
     bound = _bound([r.n for r in teaching.select(F.octet_length("text").alias("n")).collect()], train_bytes)
 
-    @pandas_udf("binary")
-    def sent(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @arrow_udf("binary")
+    def sent(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            yield pd.Series([thinned(t, bound) for t in b])
+            yield pa.array([thinned(t, bound) for t in values(b)], pa.binary())
 
     taught = teaching.select("id", "label", sent("text").alias("text")).orderBy("id", "text").collect()
     by_class = {k: [bytes(r.text) for r in taught if r.label == k] for k in (1, 0)}
@@ -263,11 +326,11 @@ def train(
     dictionaries = Dictionaries.train(by_class[1], by_class[0], window=window)
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
-    @pandas_udf("array<double>")
-    def measured(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @arrow_udf("array<double>")
+    def measured(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         counter = shared.value.differences()
         for b in batches:
-            yield pd.Series([counter.features(t) for t in b])
+            yield pa.array(list(counter.features_of(values(b))), pa.list_(pa.float64()))
 
     fitted = with_text(_sample(known, calibration)).select("label", measured("text").alias("x")).collect()
     features, found = np.array([r.x for r in fitted]), np.array([r.label for r in fitted])
@@ -276,23 +339,25 @@ def train(
     return _calibrate(dictionaries, features, found)
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
+def scored(docs: DataFrame, model: Model, text_col: str | Column = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with the probability of being toxic (0 to 1)."""
+    text = F.col(f"`{text_col}`") if isinstance(text_col, str) else text_col
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
         counter = model.dictionaries.differences() if model.dictionaries else None
         for b in batches:
-            yield pd.Series([model.score(counter.features(t) if counter else model.mean) for t in b], dtype="float64")
+            rows = counter.features_of(values(b)) if counter else [model.mean] * len(b)
+            yield pa.array([model.score(x) for x in rows], pa.float64())
 
     columns = [F.col(f"`{c}`") for c in docs.columns if c != score_col]
-    return docs.select(*columns, score(F.col(f"`{text_col}`").cast("binary")).alias(score_col))
+    return docs.select(*columns, score(text.cast("binary")).alias(score_col))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
     """``docs`` that score under the threshold, with their own columns."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
-    kept = scored(packed, train(docs, labels, text_col=text_col)).where(F.col("score") < threshold)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = scored(packed, train(docs, labels, text_col=text_col), F.col("row")[text_col]).where(F.col("score") < threshold)
     return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

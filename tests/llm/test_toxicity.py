@@ -110,3 +110,34 @@ def test_windows_of_two_words_and_a_bounded_memory_of_them(model, monkeypatch):
     monkeypatch.setattr(m, "CACHE", 10)
     few = dictionaries.differences()
     assert all((few.features(t) == w).all() for t, w in zip(texts, want)) and len(few.known) <= 10
+
+
+def test_texts_together_give_what_each_gives_alone(monkeypatch):
+    """Also where a text ends within a window, keys share a place and words start anew."""
+    texts = [t.encode() for _, t, _ in corpus(40)] + [b"", None, b"gronk", b"a b c d e f g"]
+    for window in (1, 2, 3, 4):
+        dictionaries = m.Dictionaries.train(texts[0:40:5], texts[1:40:5], window=window)
+        plain = [len(x) for x in map(m.words_of, (t or b"" for t in texts))]
+        alone = [dictionaries.differences().features(t) for t in texts]
+        assert [round(np.exp(x[0])) for x in alone] == [max(-(-n // window), 1) for n in plain]
+        one, other = m._compressor(dictionaries.ordinary), m._compressor(dictionaries.toxic)
+        words = m.words_of(texts[0])
+        framed = [b"%b %b " % (m.ANCHOR, b" ".join(words[i : i + window])) for i in range(0, len(words), window)]
+        saved = [len(one.compress(x)) - len(other.compress(x)) for x in framed]
+        assert alone[0][1] == sum(saved) / len(saved)
+        for cache, numbered, chunk in ((1 << 16, 1 << 18, 4096), (7, 1 << 18, 50), (1 << 10, 30, 16)):
+            monkeypatch.setattr(m, "CACHE", cache)
+            monkeypatch.setattr(m, "WORDS", numbered)
+            monkeypatch.setattr(m, "CHUNK", chunk)
+            counter = dictionaries.differences()
+            for _ in range(2):
+                together = list(counter.features_of(texts))
+                assert len(together) == len(texts) and all((a == b).all() for a, b in zip(together, alone))
+
+
+def test_windows_come_to_the_compressor_many_at_a_time(model):
+    counter, calls = model[3].dictionaries.differences(), []
+    real = counter.ordinary
+    counter.ordinary = lambda framed: calls.append(len(framed)) or real(framed)
+    assert len(list(counter.features_of(t.encode() for _, t, _ in model[0][:200]))) == 200
+    assert len(calls) <= 4 and sum(calls) > 1000
