@@ -49,8 +49,9 @@ def without(df: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     """Rows of ``df`` whose id is not in ``gone`` (one column of that name).
 
     Rows whose bit is clear pass where they lie; only the others, which are the rows to
-    drop and a few coincidences, are shuffled for the exact anti-join.  Rows with a NULL
-    id stay.  All columns come back as they were.
+    drop and a few coincidences, are shuffled for the exact anti-join.  The coincidences
+    (up to one row in 16, more for a bitmap at its bound) are gathered into few partitions.
+    Rows with a NULL id stay.  All columns come back as they were.
     """
     bits = size_for(gone.count())
     key = F.xxhash64(F.col(f"`{id_col}`"))
@@ -65,5 +66,5 @@ def without(df: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
     suspect = F.col("hit") & F.col("id").isNotNull()
     ids = gone.select(F.col(f"`{id_col}`").alias("id")).where("id is not null").distinct()
     return seen.where(~suspect).select(*cols).unionByName(
-        seen.where(suspect).join(ids, "id", "left_anti").select(*cols)
+        seen.where(suspect).join(ids, "id", "left_anti").select(*cols).hint("rebalance")
     )

@@ -51,7 +51,7 @@ def exact_duplicates(
     )
     wanted = F.lit(True) if digest_all else F.col("level2")
     hashed = materialize(
-        same_start.select("id", "level2", F.when(wanted, F.unhex(F.sha2("body", 256))).alias("digest")), "digests"
+        same_start.select("id", "level2", F.when(wanted, F.unhex(F.sha2("body", 256))).alias("digest")), "digests", narrow=True
     )
     groups = materialize(
         hashed.where("level2")
@@ -78,4 +78,4 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """``docs`` without the rows whose text another row with a smaller id has.  Rows with
     a NULL id stay: a decision by id cannot name them."""
     marks = exact_duplicates(docs, id_col, text_col)
-    return bitmaps.without(docs, materialize(marks.where("not kept").select(id_col), "dropped"), id_col)
+    return bitmaps.without(docs, materialize(marks.where("not kept").select(id_col), "dropped", narrow=True), id_col)

@@ -123,6 +123,7 @@ def links(fps: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
         .where("n > 1"),
         "keys",
+        narrow=True,
     )
     members = keyed.join(shared.where("n > 2").select("key", "n"), "key")
     few = members.where(F.col("n") <= CROWD).groupBy("key").agg(F.collect_set("fp").alias("fps"))
@@ -140,7 +141,7 @@ def links(fps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """One row per row of ``docs``: id, fp and component_id, the smallest id that links
     of at most two differing bits reach."""
-    rows = materialize(fingerprints(docs, id_col, text_col, words), "fingerprints")
+    rows = materialize(fingerprints(docs, id_col, text_col, words), "fingerprints", narrow=True)
     fps = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     labels = components(links(fps)).withColumnRenamed("node", "fp")
     named = materialize(fps.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp")), "named")
@@ -153,4 +154,4 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """``docs`` with one row of each component, that of the smallest id."""
     found = near_duplicates(docs, id_col, text_col, words)
     gone = found.where(F.col(id_col) != F.col("component_id")).select(id_col)
-    return bitmaps.without(docs, materialize(gone, "dropped"), id_col)
+    return bitmaps.without(docs, materialize(gone, "dropped", narrow=True), id_col)

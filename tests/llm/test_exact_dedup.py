@@ -5,8 +5,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from gridtide.llm import bitmaps
+from gridtide.llm import bitmaps, exact_dedup
 from gridtide.llm.exact_dedup import drop_copies, exact_duplicates
+from gridtide.session import materialize
 
 SCHEMA = "doc_id long, text string, keep_id string, row int, page long, hit int"
 
@@ -79,3 +80,19 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert exact_duplicates(docs).collect() == []
     assert drop_copies(docs).collect() == []
+
+
+def test_small_tables_and_coincidences_take_few_files(spark, tmp_path, monkeypatch):
+    made = {}
+
+    def noted(df, name="step", **more):
+        made[name] = materialize(df, name, **more)
+        return made[name]
+
+    monkeypatch.setattr(exact_dedup, "materialize", noted)
+    docs = spark.range(0, 6000, 1, 12).selectExpr("id AS doc_id", "concat('a fine text ', id % 4000) AS text")
+    drop_copies(docs).write.parquet(f"{tmp_path}/kept")
+    kept = spark.read.parquet(f"{tmp_path}/kept")
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(4000))
+    assert len(kept.inputFiles()) < 16  # 12 parts of the input, few more of coincidences
+    assert {name: len(made[name].inputFiles()) for name in ("digests", "dropped")} == {"digests": 1, "dropped": 1}

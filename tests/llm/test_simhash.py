@@ -4,9 +4,10 @@ import numpy as np
 import pytest
 import xxhash
 
-from gridtide.llm import golay
+from gridtide.llm import golay, simhash
 from gridtide.llm.components import components
 from gridtide.llm.simhash import drop_near_copies, fingerprint, keys_of, links, near_duplicates
+from gridtide.session import materialize
 
 
 def plain_fingerprint(text):
@@ -142,3 +143,18 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert near_duplicates(docs).collect() == []
     assert drop_near_copies(docs).collect() == []
+
+
+def test_small_tables_take_few_files(spark, monkeypatch):
+    made = {}
+
+    def noted(df, name="step", **more):
+        made[name] = materialize(df, name, **more)
+        return made[name]
+
+    monkeypatch.setattr(simhash, "materialize", noted)
+    docs = spark.range(0, 240, 1, 12).selectExpr("id AS doc_id", "concat_ws(' ', sha2(string(id % 200), 256), id % 200, 'end') AS text")
+    kept = simhash.drop_near_copies(docs)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(200))
+    small = ("fingerprints", "keys", "dropped")
+    assert {name: len(made[name].inputFiles()) for name in small} == dict.fromkeys(small, 1)
